@@ -4,80 +4,104 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-#: Bits of the hash that the directory may use before rows of one key are told apart by their own position.
+from .common import staged
+
+#: Bits of the key's hash that the directory may use.
 HASH_BITS = 48
-#: Cells of the finest level per shard that the total calls for, as a power of two.
-SPARE_BITS = 5
-#: Production default of the query: bytes of text in a shard.
-LIMIT_BYTES = 4 << 20
+#: Cells of the finest level for each shard that the total calls for, as a power of two; bits added where cells are still too large.
+SPARE_BITS, MORE_BITS = 4, 8
+#: Production value of the query: bytes of text in a shard.
+LIMIT_BYTES = 1 << 20
 
 
 def key_hash(column: F.Column) -> F.Column:
-    """The first 48 bits of the MD5 of the key as text, so that other engines can compute the same; a null key is the empty text."""
+    """The first 48 bits of the MD5 of the key as text, which other engines can compute too; a null key hashes as the empty text."""
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def _total(df: DataFrame) -> int:
-    return int(df.agg(F.sum("bytes")).first()[0] or 0)
-
-
 def directory(sizes: DataFrame, limit: int) -> DataFrame:
-    """The directory over rows (h, bytes): (prefix, depth, bytes) of each shard, splitting on one more bit only where a bucket is over the limit.
+    """The leaves (depth, prefix, bytes, rows, one_key) of the directory over rows (h, bytes).
 
-    Each level is one aggregation of the finest cells, which number about 32 times the shards; cells still over the limit go to a finer level.
+    A node is the rows that share ``depth`` leading bits. The root splits if it is over the limit, and so does each node below it that
+    is, until it fits or all its rows share one hash. All levels of a pass come from one aggregation into cells of the finest level, which
+    number about 16 for each shard; only cells that are still too large are read again with more bits.
     """
-    spark = sizes.sparkSession
-    total = _total(sizes)
-    top = min(HASH_BITS, max(0, (total // max(1, limit))).bit_length() + SPARE_BITS)
-    found, open_, low = [], sizes, 0
+    total = int(sizes.agg(F.sum("bytes")).first()[0] or 0)
+    low, top = 0, min(HASH_BITS, (total // max(1, limit)).bit_length() + SPARE_BITS)
+    rows, found = sizes, None
     while True:
-        cells = open_.groupBy(F.shiftright("h", HASH_BITS - top).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-        # every cell counts towards its ancestors of all depths; a shard is the highest node within the limit
-        nodes = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("depth"))
-        nodes = nodes.groupBy("depth", F.expr(f"shiftright(cell, {top} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"))
-        over = nodes.where((F.col("bytes") > limit) & (F.col("depth") < top)).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
-        root = nodes.where(F.col("depth") == low)
-        below = nodes.withColumn("parent", F.shiftright("prefix", 1)).join(over, ["depth", "parent"], "left_semi").select("depth", "prefix", "bytes")
-        leaves = root.select("depth", "prefix", "bytes").union(below.where(F.col("depth") > low)).where((F.col("bytes") <= limit) | (F.col("depth") == top))
-        if top == HASH_BITS:
-            found.append(leaves)
-            break
-        found.append(leaves.where(F.col("bytes") <= limit))
-        still = leaves.where(F.col("bytes") > limit).select(F.col("prefix").alias("cell0"))
-        if still.isEmpty():
-            break
-        open_ = open_.withColumn("cell0", F.shiftright("h", HASH_BITS - top)).join(still, "cell0", "left_semi").drop("cell0")
-        low, top = top + 1, min(HASH_BITS, top + 12)
-        # a cell of one long document can't be split; levels below it are few, as only such cells are left
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select("prefix", "depth", "bytes")
+        cells = rows.groupBy(F.expr(f"shiftright(h, {HASH_BITS - top})").alias("cell")).agg(
+            F.sum("bytes").alias("bytes"), F.count("*").alias("rows"), F.min("h").alias("lo"), F.max("h").alias("hi")
+        )
+        nodes = cells.select("*", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("depth"))
+        nodes = nodes.groupBy("depth", F.expr(f"shiftright(cell, {top} - depth)").alias("prefix")).agg(
+            F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        )
+        nodes = nodes.withColumn("splits", (F.col("bytes") > limit) & (F.col("lo") < F.col("hi")))
+        nodes = staged(nodes, "nodes")
+        parents = nodes.where("splits").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+        below = nodes.where(F.col("depth") > low).withColumn("parent", F.expr("shiftright(prefix, 1)")).join(parents, ["depth", "parent"], "left_semi")
+        live = nodes.where(F.col("depth") == low).unionByName(below.drop("parent"))
+        leaves = live.where("not splits").select("depth", "prefix", "bytes", "rows", (F.col("lo") == F.col("hi")).alias("one_key"))
+        found = leaves if found is None else found.unionByName(leaves)
+        open_ = live.where(F.col("splits") & (F.col("depth") == top)).select(F.col("prefix").alias("cell"))
+        if open_.isEmpty():
+            return found
+        rows = rows.withColumn("cell", F.expr(f"shiftright(h, {HASH_BITS - top})")).join(open_, "cell", "left_semi").drop("cell")
+        low, top = top, min(HASH_BITS, top + MORE_BITS)
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
-    """Each row's (doc_id, bytes, shard_depth, shard_prefix, shard_bytes); a shard is the rows whose first ``shard_depth`` hash bits are ``shard_prefix``.
+    """Each row's (doc_id, bytes, shard_depth, shard_prefix, shard_part, shard_bytes); (depth, prefix, part) names its shard.
 
-    Every shard fits ``limit`` bytes, except that one document longer than the limit is a shard by itself at the last depth, and so are all
-    rows of one key: those share every bit, and ``shard_part`` (0 elsewhere) cuts them by their running bytes in chunks of at most the limit.
-    Null text has 0 bytes, a null key hashes as the empty text; no rows give no shards.
+    Every shard's texts fit ``limit`` bytes; one text longer than that is a shard by itself. Rows that share one key also share every bit
+    of its hash: if together they are over the limit, ``shard_part`` (0 elsewhere) cuts them by running bytes, counted per input
+    partition and then across partitions, so no task gathers them; their ``shard_bytes`` is that of the whole bucket. Null text has 0
+    bytes, a null key hashes as the empty text, no rows give no shards.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    rows = rows.withColumn("h", key_hash(F.col("doc_id")))
-    found = directory(rows.select("h", "bytes"), limit)
-    from .common import staged
-
-    found = staged(found, "directory")
-    depths = sorted(r[0] for r in found.select("depth").distinct().collect())  # at most HASH_BITS values
-    tries = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", HASH_BITS - d).alias("prefix")) for d in depths]) if depths else F.array()
-    if not depths:
-        return rows.select("doc_id", "bytes", F.lit(0).alias("shard_depth"), F.lit(0).cast("long").alias("shard_prefix"), F.col("bytes").alias("shard_bytes"), F.lit(0).alias("shard_part")).limit(0)
-    put = rows.select("doc_id", "bytes", "h", F.explode(tries).alias("t")).select("doc_id", "bytes", F.col("t.depth").alias("depth"), F.col("t.prefix").alias("prefix"))
-    put = put.join(found.withColumnRenamed("bytes", "shard_bytes"), ["depth", "prefix"])
-    full = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit)
-    return put.select("doc_id", "bytes", F.col("depth").cast("int").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), "shard_bytes", full.alias("_full"))
+    rows = staged(rows.withColumn("h", key_hash(F.col("doc_id"))), "sizes")
+    found = staged(directory(rows.select("h", "bytes"), limit), "directory")
+    depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()] or [0]  # HASH_BITS + 1 values at most
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(h, {HASH_BITS - d})").alias("prefix")) for d in depths]))
+    put = rows.select("doc_id", "bytes", at.alias("t")).select("doc_id", "bytes", "t.*").join(found.withColumnRenamed("bytes", "shard_bytes"), ["depth", "prefix"])
+    put = put.withColumn("part", F.lit(0).cast("long"))
+    full = (F.col("shard_bytes") > limit) & (F.col("rows") > 1)
+    if not found.where((F.col("bytes") > limit) & (F.col("rows") > 1)).isEmpty():
+        tight = staged(put.where(full).withColumn("src", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "tight")
+        leaf = ["depth", "prefix"]
+        sums = tight.groupBy(*leaf, "src").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("most"))
+        across = W.partitionBy(*leaf).orderBy("src")  # a row for each input partition
+        sums = sums.select(*leaf, "src", (F.sum("all").over(across) - F.col("all")).alias("base"), F.max("most").over(W.partitionBy(*leaf)).alias("most"))
+        run = F.sum("bytes").over(W.partitionBy(*leaf, "src").orderBy("nth")) - F.col("bytes")
+        cut = tight.withColumn("run", run).join(sums, [*leaf, "src"])
+        cut = cut.withColumn("part", F.floor((F.col("base") + F.col("run")) / F.greatest(F.lit(limit) - F.col("most"), F.lit(1))).cast("long"))
+        put = put.where(~full).unionByName(cut.select(put.columns))
+    return put.select("doc_id", "bytes", F.col("depth").cast("long").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), F.col("part").alias("shard_part"), "shard_bytes")
+
+
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+    """Write the documents as Parquet folders ``shard=depth-prefix-part`` and return the assignment; the join is by key, rows of one key share a shard's bucket."""
+    put = staged(shard(docs, key, text, limit), "shards")
+    name = F.concat_ws("-", "shard_depth", "shard_prefix", "shard_part").alias("shard")
+    put_once = put.select(F.col("doc_id").alias("_k"), name).groupBy("_k").agg(F.min("shard").alias("shard"))
+    docs.join(put_once, docs[key].eqNullSafe(put_once["_k"])).drop("_k").repartition("shard").write.partitionBy("shard").parquet(path)
+    return put
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = {
+    "op10_sharding": f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
+n AS (SELECT d, h >> ({HASH_BITS} - d) AS prefix, sum(bytes)::BIGINT AS bytes, sum(bytes) > {LIMIT_BYTES} AND min(h) < max(h) AS splits
+      FROM r, (SELECT unnest(range(0, {HASH_BITS} + 1))::INTEGER AS d) GROUP BY 1, 2),
+f AS (SELECT x.* FROM n x LEFT JOIN n p ON p.d = x.d - 1 AND p.prefix = x.prefix >> 1 WHERE NOT x.splits AND (x.d = 0 OR p.splits))
+SELECT doc_id, r.bytes, f.d::BIGINT AS shard_depth, f.prefix AS shard_prefix, 0::BIGINT AS shard_part, f.bytes AS shard_bytes
+FROM r JOIN f ON r.h >> ({HASH_BITS} - f.d) = f.prefix"""
+}
+QUERIES = {"op10_sharding": op10_sharding}
