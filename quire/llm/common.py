@@ -150,34 +150,3 @@ def hashed_words(texts: list[bytes], values: np.ndarray = _VALUES, outside: np.n
 def utf8_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-# ---------------------------------------------------------------- sums of long vectors over all tasks
-
-
-def vector_sum(df: DataFrame, slots: int) -> DataFrame:
-    """Sum the int64 or float64 vectors in rows (slot int, kind string, blob binary) by slot, streaming: a task holds only its slots' sums."""
-
-    def add(batches):
-        sums: dict[tuple[int, str], np.ndarray] = {}
-        for b in batches:
-            for slot, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v = np.frombuffer(blob, kind)
-                if (slot, kind) in sums:
-                    sums[slot, kind] += v
-                else:
-                    sums[slot, kind] = v.copy()
-        for (slot, kind), v in sums.items():
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "kind": [kind], "blob": pa.array([v.tobytes()], pa.binary())})
-
-    schema = "slot int, kind string, blob binary"
-    n = min(slots, df.sparkSession.sparkContext.defaultParallelism * 2)
-    return df.select("slot", "kind", "blob").mapInArrow(add, schema).repartition(n, "slot").mapInArrow(add, schema)
-
-
-def read_vector(df: DataFrame, slots: int, width: int, kind: str) -> np.ndarray:
-    """The summed vectors, joined by slot on the driver: slots * width values, whatever the input."""
-    out = np.zeros((slots, width), kind)
-    for slot, _, blob in df.collect():
-        out[slot] = np.frombuffer(blob, kind)
-    return out.reshape(-1)

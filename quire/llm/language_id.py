@@ -225,8 +225,8 @@ def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> dict | None:
     return train(texts, langs)
 
 
-def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = TRAIN_DOCS) -> DataFrame:
-    """Each row's (doc_id, held_out, lang_pred, score, n_words, n_switches).
+def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = TRAIN_DOCS, carry: bool = False) -> DataFrame:
+    """Each row's (doc_id, held_out, lang_pred, score, n_words, n_switches); with ``carry`` after all input columns (theirs of these names go, but for the id).
 
     The model is learned from text and lang of rows whose CRC-32 of the id is not 1 modulo 3, a bounded sample of them; it labels every word
     of every whole text. A word is a run of letters; a text's words form chains of CHAIN words. lang_pred is the language of the
@@ -252,8 +252,28 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
                 pred = [m["names"][i] if f else UNKNOWN for i, f in zip(sums.argmax(axis=1), found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred), pa.array(score), pa.array(counts), pa.array(switches)], ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"])
 
-    held = rows.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "text")
-    return held.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
+    added = "held_out boolean, lang_pred string, score double, n_words long, n_switches long"
+    held = F.coalesce(crc_mod(key, 3) == 1, F.lit(False)).alias("held_out")
+    if not carry:
+        return docs.select(F.col(key).alias("doc_id"), held, F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, {added}")
+    own = docs.drop("held_out", "lang_pred", "score", "n_words", "n_switches")
+    place = own.columns.index(text)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(b.columns) - 1
+            for out in run([pa.RecordBatch.from_arrays([b.column(n), b.column(n), b.column(place)], ["a", "b", "c"])]):
+                yield pa.RecordBatch.from_arrays([*b.columns, *out.columns[2:]], [*b.schema.names, *out.schema.names[2:]])
+
+    from pyspark.sql.types import StructType
+
+    return own.withColumn("held_out", held).mapInArrow(carried, StructType([*own.schema.fields, *_parsed(added)]))
+
+
+def _parsed(ddl: str) -> list:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl).fields
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def _bins(s: np.ndarray) -> np.ndarray:
 
 
 def fold(df: DataFrame, kind: str, op: str, slots: int = SLOTS) -> np.ndarray:
-    """Fold rows (slot int, blob binary) of all tasks into one vector of fixed size on the driver; ``op`` is sum or or."""
+    """Fold rows (slot int, blob binary) of all tasks into one vector of fixed size on the driver; ``op`` is or, add, or sum (which stops at the type's largest value)."""
 
     def add(batches):
         got: dict[int, np.ndarray] = {}
@@ -80,6 +80,8 @@ def fold(df: DataFrame, kind: str, op: str, slots: int = SLOTS) -> np.ndarray:
                     got[slot] = v.copy()
                 elif op == "or":
                     got[slot] |= v
+                elif op == "add":
+                    got[slot] += v
                 else:
                     got[slot] = np.minimum(got[slot].astype(np.int64) + v, np.iinfo(kind).max).astype(kind)
         for slot, v in got.items():
