@@ -21,8 +21,9 @@ WORDS = 5
 NUM, DEN = 75, 100
 TABLE_BITS, SLOTS = 20, 64
 #: Bits of the fixed-size filters over hashes; fuller filters let more rows through to an exact join, never fewer.
-FILTER_BITS = 24
-BINS = 16
+FILTER_BITS = 26
+#: Parts of the hash space that the suffix filter compares.
+BINS = 256
 _COEFF = mix64(np.arange(101, 101 + WORDS, dtype=U64)) | U64(1)
 
 
@@ -60,9 +61,9 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def _bins(s: np.ndarray) -> np.ndarray:
-    """Set members in each of 16 hash ranges, packed as 16-bit counts in four longs."""
-    c = np.bincount((s >> U64(60)).astype(np.int64), minlength=BINS)
-    return np.minimum(c, 32767).astype("<u2").view("<i8")
+    """How many members lie in each of 256 hash ranges; a saturated count only weakens the suffix filter."""
+    c = np.bincount((s >> U64(56)).astype(np.int64), minlength=BINS)
+    return np.minimum(c, 32767).astype(np.int16)
 
 
 # ---------------------------------------------------------------- vectors folded over tasks
@@ -104,7 +105,7 @@ def _rows_of(vector: np.ndarray):
 
 
 def bit_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A bit set of 2^FILTER_BITS bits over a long column (2 MB, whatever the input)."""
+    """A bit set of 2^FILTER_BITS bits over a long column (8 MB, whatever the input)."""
 
     def mark(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -127,7 +128,9 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """First pass: (doc_id, n, sig) of each document, and the task's counts of shingles by hash bucket as rows (slot, blob)."""
+    """First pass: (doc_id, n, sig, bins) of each document, and the task's counts of shingles by hash bucket as rows (slot, blob)."""
+    names = ["doc_id", "n", "sig", "bins", "slot", "blob"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.int32(), pa.binary()]
 
     def run(batches):
         counts, held, size = np.zeros(1 << TABLE_BITS, np.int32), [], 0
@@ -140,26 +143,28 @@ def scan(docs: DataFrame) -> DataFrame:
                 held, size = [], 0
 
         for b in batches:
-            ns, sigs = [], []
+            ns, sigs, bins = [], [], []
             texts = utf8_texts(b.column(1))
             for i, j in text_blocks(texts):
                 for s in shingle_sets(texts[i:j]):
                     ns.append(len(s))
                     sigs.append(set_digest(s))
+                    bins.append(_bins(s))
                     held.append(s)
                     size += len(s)
                 if size > 1 << 20:
                     count()
             ns += [0] * (len(texts) - len(ns))
             sigs += [0] * (len(texts) - len(sigs))
-            none = pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), *none], ["doc_id", "n", "sig", "slot", "blob"])
+            bins += [None] * (len(texts) - len(bins))
+            cols = [b.column(0), ns, sigs, bins, pa.nulls(len(ns)), pa.nulls(len(ns))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(cols, kinds, strict=True)], names)
         count()
         rows = list(_rows_of(counts))
-        k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "n", "sig", "slot", "blob"])
+        none = [pa.nulls(len(rows), t) for t in kinds[:4]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, slot int, blob binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, bins array<smallint>, slot int, blob binary")
 
 
 def _ordered(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +175,13 @@ def _ordered(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
-    """Prefix postings (h, sig); with a filter, only hashes that pass it, and with n, pos, the centre score and the bins of the suffix filter.
+    """Prefix postings (h, sig); with a filter, only hashes that pass it, and with n, pos and the centre score.
 
     The score is the mean of log counts: among near copies it is highest for the text that the others were made from.
     """
     wide = bits is not None
-    names = ["h", "sig", "n", "pos", "score", "b0", "b1", "b2", "b3"] if wide else ["h", "sig"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()][: len(names)]
+    names = ["h", "sig", "n", "pos", "score"] if wide else ["h", "sig"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32()][: len(names)]
 
     def run(batches):
         counts = table.value
@@ -198,7 +203,6 @@ def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
                     row = [pre.view(np.int64), np.full(len(pre), set_digest(s), np.int64)]
                     if wide:
                         row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.full(len(pre), np.log(c).mean(), np.float32)]
-                        row += [np.full(len(pre), x, np.int64) for x in _bins(s)]
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 if cols[0]:
@@ -236,22 +240,19 @@ def least_overlap(na: Column, nb: Column, num: int = NUM, den: int = DEN) -> Col
 
 
 def may_link(a: str, b: str) -> Column:
-    """Length, positional and suffix filters on a pair that meets at a shingle; ``a`` and ``b`` prefix the columns n, pos, b0..b3.
+    """Length and positional filters on two postings of one shingle: before it at most min(pos) shingles agree, after it at most the shorter rest."""
+    c = lambda s, x: F.col(f"{s}.{x}").cast("long")
+    na, nb = c(a, "n"), c(b, "n")
+    length = F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM
+    return length & (1 + F.least(na - c(a, "pos") - 1, nb - c(b, "pos") - 1) + F.least(c(a, "pos"), c(b, "pos")) >= least_overlap(na, nb))
 
-    Positional: before the meeting point at most min(pos) shingles agree, after it at most the shorter rest. Suffix: over a fixed partition
-    of the hash space the differences of the part sizes add up to at most the size of the symmetric difference.
-    """
-    c = lambda s, x: F.col(f"{s}.{x}")
-    na, nb = c(a, "n").cast("long"), c(b, "n").cast("long")
-    need = least_overlap(na, nb)
-    length = (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM)
-    place = 1 + F.least(na - c(a, "pos") - 1, nb - c(b, "pos") - 1) + F.least(c(a, "pos"), c(b, "pos")) >= need
-    diff = F.lit(0)
-    for k in range(4):
-        for sh in (0, 16, 32, 48):
-            part = lambda s: F.shiftrightunsigned(c(s, f"b{k}"), sh).bitwiseAND(0xFFFF)  # noqa: B023, E731
-            diff = diff + F.abs(part(a) - part(b))
-    return length & place & (diff <= na + nb - 2 * need)
+
+def suffix_filter(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Drop pairs (a, b) whose sets differ too much: over a fixed partition of the hash space, the differences of the parts' sizes add up to at most the size of the symmetric difference."""
+    side = lambda x: info.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
+    diff = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(diff <= F.col("na") + F.col("nb") - 2 * least_overlap(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,26 +276,35 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sc = spark.sparkContext
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = staged(scan(docs), "scan")
-    table = sc.broadcast(fold(first.where("slot is not null"), "i4", "sum")) if not first.where("slot is not null").isEmpty() else None
+    blobs = first.where("slot is not null")
     nodes = first.where("slot is null").select("doc_id", "n", "sig")
-    if table is None:
+    if blobs.isEmpty():
         return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    table = sc.broadcast(fold(blobs, "i4", "sum"))
 
     thin = prefix_pass(docs, table).groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
     shared = staged(thin.where("lo <> hi").select("h"), "shared")
-    bits = sc.broadcast(bit_filter(shared, "h"))
-    same = ["n", "pos", "score", "b0", "b1", "b2", "b3"]
-    wide = prefix_pass(docs, table, bits).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in same])
+    wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "score")])
     posts = staged(wide.join(shared.hint("merge"), "h", "left_semi"), "posts")
-
-    reps = nodes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    some = staged(reps.join(posts.select("sig").distinct(), "sig", "left_semi"), "nodes")
-    ids = sc.broadcast(bit_filter(some, "doc_id"))
-    pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos", "b0", "b1", "b2", "b3")).alias("p"))
+    info = first.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+    info = staged(info.join(posts.select("sig").distinct(), "sig", "left_semi"), "info")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The candidate pairs that link; only documents that pass all filters are shuffled with their sets."""
+        pairs = staged(suffix_filter(pairs, info), "pairs")
+        some = staged(info.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig", "left_semi").select("sig", "doc_id"), "nodes")
+        if some.isEmpty():
+            return pairs
+        sets = set_pass(docs, sc.broadcast(bit_filter(some, "doc_id"))).join(some.hint("merge"), ["doc_id", "sig"], "left_semi")
+        sets = staged(sets.select("sig", "shingles"), "sets")
+        found = staged(verify(pairs, sets), "links")
+        unstage(sets, some, pairs)
+        return found
+
+    pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos")).alias("p"))
     star = posts.alias("x").join(pivot.select("h", "p.*").alias("p"), "h").where(F.col("x.sig") != F.col("p.sig")).where(may_link("x", "p"))
-    star = staged(star.select(F.least("x.sig", "p.sig").alias("a"), F.greatest("x.sig", "p.sig").alias("b")).distinct(), "pairs")
-    sets = staged(set_pass(docs, ids).join(some.hint("merge"), ["doc_id", "sig"], "left_semi").select("sig", "shingles"), "sets")
-    links = staged(verify(star, sets), "links")
+    star = staged(star.select(F.least("x.sig", "p.sig").alias("a"), F.greatest("x.sig", "p.sig").alias("b")).distinct(), "star")
+    links = links_of(star)
     comps = staged(components(links), "comps")
 
     named = posts.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -302,16 +312,16 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     left = staged(named.join(mixed, "h", "left_semi"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
-    rest = rest.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(verify(rest, sets), "links")
+    more = links_of(rest.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comps = staged(components(links.union(more)), "comps")
 
+    reps = nodes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     classes = reps.select("sig", F.col("doc_id").alias("class_id")).join(comps.withColumnRenamed("node", "sig"), "sig", "left")
     classes = classes.withColumn("comp", F.coalesce("comp", "sig"))
     roots = classes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     classes = staged(classes.join(roots, "comp").select("sig", "class_id", "component_id"), "classes")
-    unstage(sets, posts, left, shared, some)
+    unstage(posts, left, shared, info, star)
     lone = F.col("n") == 0
     return nodes.join(classes, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
