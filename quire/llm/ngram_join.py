@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, hashed_words, mix64, staged, text_blocks, unstage, utf8_texts
+from .common import U64, hashed_words, mix64, release, staged, text_blocks, unstage, utf8_texts
 from .graph import components
 
 WORDS = 5
@@ -175,13 +175,14 @@ def _ordered(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
-    """Prefix postings (h, sig); with a filter, only hashes that pass it, and with n, pos and the centre score.
+    """Prefix postings (h, sig); with a filter, only hashes that pass it, and with n, pos, nth and the centre score. nth counts the
+    kept ones before: shingles that no other text has can't agree.
 
     The score is the mean of log counts: among near copies it is highest for the text that the others were made from.
     """
     wide = bits is not None
-    names = ["h", "sig", "n", "pos", "score"] if wide else ["h", "sig"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32()][: len(names)]
+    names = ["h", "sig", "n", "pos", "nth", "score"] if wide else ["h", "sig"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float32()][: len(names)]
 
     def run(batches):
         counts = table.value
@@ -202,7 +203,7 @@ def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
                         continue
                     row = [pre.view(np.int64), np.full(len(pre), set_digest(s), np.int64)]
                     if wide:
-                        row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.full(len(pre), np.log(c).mean(), np.float32)]
+                        row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.arange(len(pre), dtype=np.int32), np.full(len(pre), np.log(c).mean(), np.float32)]
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 if cols[0]:
@@ -240,11 +241,11 @@ def least_overlap(na: Column, nb: Column, num: int = NUM, den: int = DEN) -> Col
 
 
 def may_link(a: str, b: str) -> Column:
-    """Length and positional filters on two postings of one shingle: before it at most min(pos) shingles agree, after it at most the shorter rest."""
+    """Length and positional filters on two postings of one shingle: before it at most min(nth) shingles agree, after it at most the shorter rest."""
     c = lambda s, x: F.col(f"{s}.{x}").cast("long")
     na, nb = c(a, "n"), c(b, "n")
     length = F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM
-    return length & (1 + F.least(na - c(a, "pos") - 1, nb - c(b, "pos") - 1) + F.least(c(a, "pos"), c(b, "pos")) >= least_overlap(na, nb))
+    return length & (1 + F.least(na - c(a, "pos") - 1, nb - c(b, "pos") - 1) + F.least(c(a, "nth"), c(b, "nth")) >= least_overlap(na, nb))
 
 
 def suffix_filter(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -284,8 +285,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     thin = prefix_pass(docs, table).groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
     shared = staged(thin.where("lo <> hi").select("h"), "shared")
-    wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "score")])
+    release(spark)
+    wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "nth", "score")])
     posts = staged(wide.join(shared.hint("merge"), "h", "left_semi"), "posts")
+    release(spark)
     info = first.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
     info = staged(info.join(posts.select("sig").distinct(), "sig", "left_semi"), "info")
 
@@ -301,7 +304,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         unstage(sets, some, pairs)
         return found
 
-    pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos")).alias("p"))
+    pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos", "nth")).alias("p"))
     star = posts.alias("x").join(pivot.select("h", "p.*").alias("p"), "h").where(F.col("x.sig") != F.col("p.sig")).where(may_link("x", "p"))
     star = staged(star.select(F.least("x.sig", "p.sig").alias("a"), F.greatest("x.sig", "p.sig").alias("b")).distinct(), "star")
     links = links_of(star)
