@@ -22,8 +22,9 @@ NUM, DEN = 75, 100
 TABLE_BITS, SLOTS = 20, 64
 #: Bits of the fixed-size filters over hashes; fuller filters let more rows through to an exact join, never fewer.
 FILTER_BITS = 26
-#: Parts of the hash space that the suffix filter compares.
-BINS = 256
+#: Parts of the hash space that the suffix filter compares; components of up to so many nodes are broadcast.
+BINS, BROADCAST_ROWS = 256, 500_000
+PARITIES = ("p0", "p1", "p2", "p3")
 _COEFF = mix64(np.arange(101, 101 + WORDS, dtype=U64)) | U64(1)
 
 
@@ -60,10 +61,10 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-n * num // den) + 1 if n else 0
 
 
-def _bins(s: np.ndarray) -> np.ndarray:
-    """How many members lie in each of 256 hash ranges; a saturated count only weakens the suffix filter."""
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Whether the number of members in each of 256 hash ranges is odd, as four longs."""
     c = np.bincount((s >> U64(56)).astype(np.int64), minlength=BINS)
-    return np.minimum(c, 32767).astype(np.int16)
+    return np.packbits((c & 1).astype(bool)).view("<i8")
 
 
 # ---------------------------------------------------------------- vectors folded over tasks
@@ -128,9 +129,9 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """First pass: (doc_id, n, sig, bins) of each document, and the task's counts of shingles by hash bucket as rows (slot, blob)."""
-    names = ["doc_id", "n", "sig", "bins", "slot", "blob"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.int32(), pa.binary()]
+    """First pass: (doc_id, n, sig, p0 to p3) of each document, and the task's counts of shingles by hash bucket as rows (slot, blob)."""
+    names = ["doc_id", "n", "sig", *PARITIES, "slot", "blob"]
+    kinds = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
 
     def run(batches):
         counts, held, size = np.zeros(1 << TABLE_BITS, np.int32), [], 0
@@ -143,28 +144,28 @@ def scan(docs: DataFrame) -> DataFrame:
                 held, size = [], 0
 
         for b in batches:
-            ns, sigs, bins = [], [], []
+            ns, sigs, odd = [], [], []
             texts = utf8_texts(b.column(1))
             for i, j in text_blocks(texts):
                 for s in shingle_sets(texts[i:j]):
                     ns.append(len(s))
                     sigs.append(set_digest(s))
-                    bins.append(_bins(s))
+                    odd.append(_parities(s))
                     held.append(s)
                     size += len(s)
                 if size > 1 << 20:
                     count()
             ns += [0] * (len(texts) - len(ns))
             sigs += [0] * (len(texts) - len(sigs))
-            bins += [None] * (len(texts) - len(bins))
-            cols = [b.column(0), ns, sigs, bins, pa.nulls(len(ns)), pa.nulls(len(ns))]
+            odd += [np.zeros(4, np.int64)] * (len(texts) - len(odd))
+            cols = [b.column(0), ns, sigs, *[[int(x) for x in c] for c in (np.stack(odd).T if odd else [[]] * 4)], pa.nulls(len(ns)), pa.nulls(len(ns))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(cols, kinds, strict=True)], names)
         count()
         rows = list(_rows_of(counts))
-        none = [pa.nulls(len(rows), t) for t in kinds[:4]]
+        none = [pa.nulls(len(rows), t) for t in kinds[:7]]
         yield pa.RecordBatch.from_arrays([*none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, bins array<smallint>, slot int, blob binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, p0 long, p1 long, p2 long, p3 long, slot int, blob binary")
 
 
 def _ordered(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +186,16 @@ def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float32()][: len(names)]
 
     def run(batches):
-        counts = table.value
+        counts, done = table.value, set()
         for b in batches:
             texts = utf8_texts(b.column(1))
             for i, j in text_blocks(texts):
                 cols: list[list] = [[] for _ in names]
                 for s in shingle_sets(texts[i:j]):
-                    if not len(s):
+                    sig = set_digest(s) if len(s) else None
+                    if sig is None or sig in done:  # a copy within the task adds nothing
                         continue
+                    done.add(sig)
                     pre, c = _ordered(s, counts)
                     pos = np.arange(len(pre))
                     keep = counts[(pre >> U64(64 - TABLE_BITS)).astype(np.int64)] > 1  # a count of 1: no other document has it
@@ -201,7 +204,7 @@ def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
                     pre, pos = pre[keep], pos[keep]
                     if not len(pre):
                         continue
-                    row = [pre.view(np.int64), np.full(len(pre), set_digest(s), np.int64)]
+                    row = [pre.view(np.int64), np.full(len(pre), sig, np.int64)]
                     if wide:
                         row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.arange(len(pre), dtype=np.int32), np.full(len(pre), np.log(c).mean(), np.float32)]
                     for col, v in zip(cols, row, strict=True):
@@ -248,12 +251,18 @@ def may_link(a: str, b: str) -> Column:
     return length & (1 + F.least(na - c(a, "pos") - 1, nb - c(b, "pos") - 1) + F.least(c(a, "nth"), c(b, "nth")) >= least_overlap(na, nb))
 
 
+def parts_agree(a: str, b: str) -> Column:
+    """Suffix filter: over a fixed partition of the hash space, each part with an odd and an even count holds at least one shingle of the symmetric difference, and linked sets differ little."""
+    c = lambda s, x: F.col(f"{s}.{x}")
+    na, nb = c(a, "n").cast("long"), c(b, "n").cast("long")
+    differ = sum((F.bit_count(c(a, p).bitwiseXOR(c(b, p))) for p in PARITIES[1:]), F.bit_count(c(a, "p0").bitwiseXOR(c(b, "p0"))))
+    return differ <= na + nb - 2 * least_overlap(na, nb)
+
+
 def suffix_filter(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Drop pairs (a, b) whose sets differ too much: over a fixed partition of the hash space, the differences of the parts' sizes add up to at most the size of the symmetric difference."""
-    side = lambda x: info.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
-    diff = F.aggregate(F.zip_with("binsa", "binsb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(diff <= F.col("na") + F.col("nb") - 2 * least_overlap(F.col("na"), F.col("nb"))).select("a", "b")
+    """The pairs (a, b) that pass the suffix filter."""
+    both = pairs.join(info.alias("x"), F.col("a") == F.col("x.sig")).join(info.alias("y"), F.col("b") == F.col("y.sig"))
+    return both.where(parts_agree("x", "y")).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -287,10 +296,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     shared = staged(thin.where("lo <> hi").select("h"), "shared")
     release(spark)
     wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "nth", "score")])
-    posts = staged(wide.join(shared.hint("merge"), "h", "left_semi"), "posts")
+    posts = staged(wide, "posts")
     release(spark)
-    info = first.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
-    info = staged(info.join(posts.select("sig").distinct(), "sig", "left_semi"), "info")
+    info = staged(first.where("n > 0").groupBy("sig").agg(*[F.min(x).alias(x) for x in ("doc_id", "n", *PARITIES)]), "info")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         """The candidate pairs that link; only documents that pass all filters are shuffled with their sets."""
@@ -307,14 +315,20 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos", "nth")).alias("p"))
     star = posts.alias("x").join(pivot.select("h", "p.*").alias("p"), "h").where(F.col("x.sig") != F.col("p.sig")).where(may_link("x", "p"))
     star = staged(star.select(F.least("x.sig", "p.sig").alias("a"), F.greatest("x.sig", "p.sig").alias("b")).distinct(), "star")
+    release(spark)
     links = links_of(star)
     comps = staged(components(links), "comps")
 
-    named = posts.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    left = staged(named.join(mixed, "h", "left_semi"), "mixed")
+    named = comps.withColumnRenamed("node", "sig")
+    named = posts.join(F.broadcast(named) if comps.count() <= BROADCAST_ROWS else named, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    # a shingle of two texts has been decided by the star
+    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("h")
+    left = named.join(mixed, "h", "left_semi").join(info.select("sig", *PARITIES), "sig")
+    left = staged(left.select("h", "sig", "comp", "n", "pos", "nth", *PARITIES), "mixed")
+    release(spark)
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
+    fits = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y") & parts_agree("x", "y")
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & fits)
     more = links_of(rest.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comps = staged(components(links.union(more)), "comps")
