@@ -1,0 +1,90 @@
+"""Operators on small literal inputs."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions import text as t
+from quire.operators import align, lexicon, records, screens
+from quire.sources import pages
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
+
+
+def test_text_columns(spark):
+    assert one(spark, t.recase(F.lit("AB"), F.lit("xyz"))) == "XYZ"
+    assert one(spark, t.recase(F.lit("Ab"), F.lit("xyz"))) == "Xyz"
+    assert [one(spark, t.roman(F.lit(x))) for x in ("XIV", "IIX", "42", "q")] == [14, 10, 42, None]
+    assert one(spark, t.blocks(F.lit("a\nb\n\n c \n \n"))) == ["a\nb", "c"]
+    assert one(spark, t.tokens(F.lit(None).cast("string"))) == []
+    assert one(spark, t.signature(F.lit('Bad "x y" in /a/b 12'))) == "bad <q> in <path> N"
+
+
+def test_near_misses_finds_swaps(spark):
+    lex = spark.createDataFrame([("there", 300), ("three", 1), ("thexe", 1), ("other", 1)], "form string, n long")
+    lex = lex.union(spark.createDataFrame([("theer", 1)], "form string, n long"))
+    assert {tuple(r) for r in lexicon.near_misses(lex).collect()} == {("thexe", "there", 300), ("theer", "there", 300), ("three", "there", 300)}
+
+
+def test_seams_and_dispositions(spark):
+    docs = spark.createDataFrame([(1, "Fine line.\nlower start.\nOpen end"), (2, None), (3, "")], "doc_id long, text string")
+    found = {(r.doc_id, r.pos, r.kind) for r in screens.seams(docs).collect()}
+    assert found == {(1, 1, "lower-start"), (1, 2, "tail-terminal")}
+    cleared = spark.createDataFrame([(1, "tail-terminal")], "doc_id long, kind string")
+    assert [r.kind for r in screens.boundary_audit(docs, cleared).collect()] == ["lower-start"]
+
+
+def test_omissions_count_occurrences(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d a b c d x")], "item_id long, text string")
+    pairs = spark.createDataFrame([(1, 7)], "doc_id long, item_id long")
+    assert [tuple(r) for r in align.omission_runs(docs, items, pairs).select("start", "length").collect()] == [(4, 5)]
+
+
+def test_monotone_chain(spark):
+    rows = spark.createDataFrame([(1, 1, p, q) for p, q in ((0, 5), (1, 0), (2, 1), (3, 9), (4, 2))], "doc_id long, item_id long, pos long, item_pos long")
+    assert sorted(r.item_pos for r in align.monotone(rows).collect()) == [0, 1, 2]
+
+
+def test_coverage(spark):
+    rows = spark.createDataFrame([("abcdé", "abcde"), ("abc", "xyz"), ("", ""), (None, "a")], "page string, witness string")
+    assert [r.status for r in align.coverage(rows).collect()] == ["ok", "fail", "blank", "missing"]
+
+
+def test_block_alignment(spark):
+    rows = [(1, "a", 0, ["x", "y"]), (1, "a", 1, ["p", "q"]), (1, "b", 0, ["p", "q"])]
+    got = align.block_alignment(spark.createDataFrame(rows, "pair long, side string, pos int, words array<string>")).collect()
+    assert {(r.a_pos, r.b_pos) for r in got} == {(0, None), (1, 0)}
+
+
+def test_gates_and_order(spark):
+    found = spark.createDataFrame([("g", 1), ("g", 2), ("h", 1)], "gate string, id long")
+    waived = spark.createDataFrame([(1,)], "id long")
+    got = {r.gate: r.status for r in records.gate_status(found, waived, ["g", "h", "i"], ["id"]).collect()}
+    assert got == {"g": "fail", "h": "waived", "i": "pass"}
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate((1, 2, 5, 3))], "k long, i int, v int")
+    assert tuple(records.order_checks(rows, "k", ["i"], "v").first()) == (1, 4, 1, 1)
+
+
+def test_nest_round_trip(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "k long")
+    kids = spark.createDataFrame([(1, "b"), (1, "a")], "k long, v string")
+    nested = records.nest(parents, kids, "k", ["v"])
+    assert {r.k: [x.v for x in r["items"]] for r in nested.collect()} == {1: ["a", "b"], 2: []}
+    assert sorted(tuple(r) for r in records.flatten(nested, "k").collect()) == [(1, "a"), (1, "b")]
+
+
+def test_pages_are_never_skipped(spark, tmp_path):
+    for n, body in ((1, "One <!-- notes: x; joins-next: space -->"), (3, "Three")):
+        (tmp_path / f"pg-{n:03}.md").write_text(body)
+    got = pages.read_pages(spark, str(tmp_path), 1, 1).first()
+    assert (got.n, got.body, got.joins_next) == (1, "One", "space")
+    with pytest.raises(FileNotFoundError):
+        pages.read_pages(spark, str(tmp_path), 1, 3)
+
+
+def test_write_only_if_clean(spark, tmp_path):
+    df = spark.range(2)
+    assert pages.write_if_clean(df, df, str(tmp_path / "out")) == 2 and not (tmp_path / "out").exists()
+    assert pages.write_if_clean(df, df.limit(0), str(tmp_path / "out")) == 0 and (tmp_path / "out").exists()
