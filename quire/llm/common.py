@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled by one numpy pass; temporaries take about 30 times as much.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: The white space that separates words (space, tab to carriage return).
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 U64 = np.uint64

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join: rare-first prefixes, length, positional and suffix filters, one verification per pair.
 
 The global order of shingles is (count of the shingle's hash bucket over all documents, hash): any fixed order gives right results, and
-this one puts frequent passages last at the cost of one table of 2^20 counts, whatever the input. Texts are hashed again in each
+this one puts frequent passages last at the cost of one table of 2^22 counts, whatever the input. Texts are hashed again in each
 pass instead of being kept: a pass costs less than shuffling or storing all shingles. Only documents that share a prefix shingle
 with another text are ever shuffled with their sets.
 """
@@ -19,10 +19,10 @@ from .graph import components
 WORDS = 5
 #: Similarity as a fraction: documents link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-TABLE_BITS, SLOTS = 20, 64
+TABLE_BITS, SLOTS = 22, 64
 #: Bits of the fixed-size filters over hashes; fuller filters let more rows through to an exact join, never fewer.
 FILTER_BITS = 26
-#: Parts of the hash space that the suffix filter compares; components of up to so many nodes are broadcast.
+#: Parts of the hash space that the suffix filter compares; tables of up to so many nodes are broadcast.
 BINS, BROADCAST_ROWS = 256, 500_000
 PARITIES = ("p0", "p1", "p2", "p3")
 _COEFF = mix64(np.arange(101, 101 + WORDS, dtype=U64)) | U64(1)
@@ -71,7 +71,8 @@ def _parities(s: np.ndarray) -> np.ndarray:
 
 
 def fold(df: DataFrame, kind: str, op: str, slots: int = SLOTS) -> np.ndarray:
-    """Fold rows (slot int, blob binary) of all tasks into one vector of fixed size on the driver; ``op`` is or, add, or sum (which stops at the type's largest value)."""
+    """Fold rows (slot int, blob binary) of all tasks into one vector of fixed size on the driver; ``op`` is or, add, or sum (of bytes as 32-bit numbers)."""
+    wide = "<i4" if op == "sum" else kind
 
     def add(batches):
         got: dict[int, np.ndarray] = {}
@@ -79,23 +80,21 @@ def fold(df: DataFrame, kind: str, op: str, slots: int = SLOTS) -> np.ndarray:
             for slot, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = np.frombuffer(blob, kind)
                 if slot not in got:
-                    got[slot] = v.copy()
+                    got[slot] = v.astype(wide)
                 elif op == "or":
                     got[slot] |= v
-                elif op == "add":
-                    got[slot] += v
                 else:
-                    got[slot] = np.minimum(got[slot].astype(np.int64) + v, np.iinfo(kind).max).astype(kind)
+                    got[slot] += v
         for slot, v in got.items():
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slot", "blob"])
 
     schema = "slot int, blob binary"
     n = min(slots, 2 * df.sparkSession.sparkContext.defaultParallelism)
     parts = df.select("slot", "blob").repartition(n, "slot").mapInArrow(add, schema).collect()
-    width = max((len(r[1]) for r in parts), default=0) // np.dtype(kind).itemsize
-    out = np.zeros((slots, max(1, width)), kind)
+    width = max((len(r[1]) for r in parts), default=0) // np.dtype(wide).itemsize
+    out = np.zeros((slots, max(1, width)), wide)
     for slot, blob in parts:
-        out[slot] = np.frombuffer(blob, kind)
+        out[slot] = np.frombuffer(blob, wide)
     return out.reshape(-1)
 
 
@@ -134,13 +133,13 @@ def scan(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
 
     def run(batches):
-        counts, held, size = np.zeros(1 << TABLE_BITS, np.int32), [], 0
+        counts, held, size = np.zeros(1 << TABLE_BITS, np.uint8), [], 0
 
         def count():
             nonlocal held, size
             if held:
                 got = np.bincount((np.concatenate(held) >> U64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-                np.add(counts, got, out=counts, casting="unsafe")
+                np.minimum(counts + got, 255, out=counts, casting="unsafe")  # so a task's share stays small; frequent is enough to know
                 held, size = [], 0
 
         for b in batches:
@@ -290,7 +289,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     nodes = first.where("slot is null").select("doc_id", "n", "sig")
     if blobs.isEmpty():
         return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    table = sc.broadcast(fold(blobs, "i4", "sum"))
+    table = sc.broadcast(fold(blobs, "u1", "sum"))
 
     thin = prefix_pass(docs, table).groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
     shared = staged(thin.where("lo <> hi").select("h"), "shared")
@@ -306,23 +305,26 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         some = staged(info.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig", "left_semi").select("sig", "doc_id"), "nodes")
         if some.isEmpty():
             return pairs
-        sets = set_pass(docs, sc.broadcast(bit_filter(some, "doc_id"))).join(some.hint("merge"), ["doc_id", "sig"], "left_semi")
+        known = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some.hint("merge")
+        sets = set_pass(docs, sc.broadcast(bit_filter(some, "doc_id"))).join(known, ["doc_id", "sig"], "left_semi")
         sets = staged(sets.select("sig", "shingles"), "sets")
         found = staged(verify(pairs, sets), "links")
         unstage(sets, some, pairs)
         return found
 
-    pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos", "nth")).alias("p"))
-    star = posts.alias("x").join(pivot.select("h", "p.*").alias("p"), "h").where(F.col("x.sig") != F.col("p.sig")).where(may_link("x", "p"))
-    star = staged(star.select(F.least("x.sig", "p.sig").alias("a"), F.greatest("x.sig", "p.sig").alias("b")).distinct(), "star")
+    pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos", "nth")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    both = posts.alias("x").join(pivot.select("h", "k", "p.*").alias("p"), "h").withColumn("pair", (F.col("x.sig") != F.col("p.sig")) & may_link("x", "p"))
+    # a shingle of two texts is decided by the star alone
+    met = staged(both.where("pair or k > 2").select("h", "k", *[f"x.{c}" for c in ("sig", "n", "pos", "nth")], F.when(F.col("pair"), F.col("p.sig")).alias("center")), "met")
+    star = met.where("center is not null").select(F.least("sig", "center").alias("a"), F.greatest("sig", "center").alias("b")).distinct()
+    star = staged(star, "star")
     release(spark)
     links = links_of(star)
     comps = staged(components(links), "comps")
 
     named = comps.withColumnRenamed("node", "sig")
-    named = posts.join(F.broadcast(named) if comps.count() <= BROADCAST_ROWS else named, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    # a shingle of two texts has been decided by the star
-    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("h")
+    named = met.where("k > 2").drop("k", "center").join(F.broadcast(named) if comps.count() <= BROADCAST_ROWS else named, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     left = named.join(mixed, "h", "left_semi").join(info.select("sig", *PARITIES), "sig")
     left = staged(left.select("h", "sig", "comp", "n", "pos", "nth", *PARITIES), "mixed")
     release(spark)
@@ -338,7 +340,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     classes = classes.withColumn("comp", F.coalesce("comp", "sig"))
     roots = classes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     classes = staged(classes.join(roots, "comp").select("sig", "class_id", "component_id"), "classes")
-    unstage(posts, left, shared, info, star)
+    unstage(posts, met, left, shared, info, star)
     lone = F.col("n") == 0
     return nodes.join(classes, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
