@@ -176,13 +176,13 @@ def _ordered(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
     """Prefix postings (h, sig); with a filter, only hashes that pass it, and with n, pos, nth and the centre score. nth counts the
-    kept ones before: shingles that no other text has can't agree.
+    kept ones before: shingles that no other text has can't agree; prev is the kept one before.
 
     The score is the mean of log counts: among near copies it is highest for the text that the others were made from.
     """
     wide = bits is not None
-    names = ["h", "sig", "n", "pos", "nth", "score"] if wide else ["h", "sig"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float32()][: len(names)]
+    names = ["h", "sig", "n", "pos", "nth", "score", "prev"] if wide else ["h", "sig"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.int64()][: len(names)]
 
     def run(batches):
         counts, done = table.value, set()
@@ -205,7 +205,7 @@ def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
                         continue
                     row = [pre.view(np.int64), np.full(len(pre), sig, np.int64)]
                     if wide:
-                        row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.arange(len(pre), dtype=np.int32), np.full(len(pre), np.log(c).mean(), np.float32)]
+                        row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.arange(len(pre), dtype=np.int32), np.full(len(pre), np.log(c).mean(), np.float32), np.append(np.int64(0), pre[:-1].view(np.int64))]
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 if cols[0]:
@@ -294,8 +294,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     thin = prefix_pass(docs, table).groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
     shared = staged(thin.where("lo <> hi").select("h"), "shared")
     release(spark)
-    wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "nth", "score")])
+    wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "nth", "score", "prev")])
     posts = staged(wide, "posts")
+    unstage(shared)
     release(spark)
     info = staged(first.where("n > 0").groupBy("sig").agg(*[F.min(x).alias(x) for x in ("doc_id", "n", *PARITIES)]), "info")
 
@@ -310,14 +311,16 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         sets = staged(sets.select("sig", "shingles"), "sets")
         found = staged(verify(pairs, sets), "links")
         unstage(sets, some, pairs)
+        release(spark)
         return found
 
     pivot = posts.groupBy("h").agg(F.max(F.struct("score", "sig", "n", "pos", "nth")).alias("p"), F.count("*").alias("k")).where("k > 1")
     both = posts.alias("x").join(pivot.select("h", "k", "p.*").alias("p"), "h").withColumn("pair", (F.col("x.sig") != F.col("p.sig")) & may_link("x", "p"))
     # a shingle of two texts is decided by the star alone
-    met = staged(both.where("pair or k > 2").select("h", "k", *[f"x.{c}" for c in ("sig", "n", "pos", "nth")], F.when(F.col("pair"), F.col("p.sig")).alias("center")), "met")
+    met = staged(both.where("pair or k > 2").select("h", "k", *[f"x.{c}" for c in ("sig", "n", "pos", "nth", "prev")], F.when(F.col("pair"), F.col("p.sig")).alias("center")), "met")
     star = met.where("center is not null").select(F.least("sig", "center").alias("a"), F.greatest("sig", "center").alias("b")).distinct()
     star = staged(star, "star")
+    unstage(posts)
     release(spark)
     links = links_of(star)
     comps = staged(components(links), "comps")
@@ -326,10 +329,12 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     named = met.where("k > 2").drop("k", "center").join(F.broadcast(named) if comps.count() <= BROADCAST_ROWS else named, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     left = named.join(mixed, "h", "left_semi").join(info.select("sig", *PARITIES), "sig")
-    left = staged(left.select("h", "sig", "comp", "n", "pos", "nth", *PARITIES), "mixed")
+    left = staged(left.select("h", "sig", "comp", "n", "pos", "nth", "prev", *PARITIES), "mixed")
     release(spark)
     x, y = left.alias("x"), left.alias("y")
-    fits = (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y") & parts_agree("x", "y")
+    # texts that share the kept shingle before have met there, and what ruled them out there rules them out here
+    again = (F.col("x.nth") > 0) & (F.col("y.nth") > 0) & (F.col("x.prev") == F.col("y.prev"))
+    fits = ~again & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y") & parts_agree("x", "y")
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & fits)
     more = links_of(rest.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -340,7 +345,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     classes = classes.withColumn("comp", F.coalesce("comp", "sig"))
     roots = classes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     classes = staged(classes.join(roots, "comp").select("sig", "class_id", "component_id"), "classes")
-    unstage(posts, met, left, shared, info, star)
+    unstage(met, left, info, star)
     lone = F.col("n") == 0
     return nodes.join(classes, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
