@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -55,6 +56,13 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Hold the session's Arrow batches to 4 MB of data, so that Python workers and their buffers stay small whatever the texts' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when their objects are collected as garbage."""
     gc.collect()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _byte_values, crc_mod, text_blocks, utf8_texts, word_hashes
+from .common import BLOCK_BYTES, _byte_values, crc_mod, small_batches, text_blocks, utf8_texts, word_hashes
 
 #: Bounds of the training sample: documents, and words of their runs.
 TRAIN_DOCS, TRAIN_WORDS = 3000, 300_000
@@ -233,6 +233,7 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     largest sum of word marginals (ties: first by name), score its mean. A text that is null or has no letter is ``und`` with score 0;
     so is every text if no labelled row exists. Null ids are not held out (their CRC is null) and never train.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rest = crc_mod("doc_id", 3)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, hashed_words, staged, text_blocks, unstage, utf8_texts
+from .common import U64, hashed_words, small_batches, staged, text_blocks, unstage, utf8_texts
 
 #: Bound of the labelled sample that trains the classifier, its hashed features and gradient steps.
 TRAIN_ROWS, FEATURES, TRAIN_STEPS = 4000, 1 << 15, 120
@@ -153,6 +153,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], ridge: fl
     the prior's posteriors; columns of the names added are replaced; no words at all leave every rate 1. Texts are never shuffled:
     the last pass computes each row's posteriors again.
     """
+    small_batches(docs.sparkSession)
     names = sorted(targets)
     sc = docs.sparkSession.sparkContext
     weights = sc.broadcast(fit(docs, labels, names, max_rows))

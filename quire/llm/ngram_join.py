@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, hashed_words, mix64, release, staged, text_blocks, unstage, utf8_texts
+from .common import U64, hashed_words, mix64, release, small_batches, staged, text_blocks, unstage, utf8_texts
 from .graph import components
 
 WORDS = 5
@@ -281,6 +281,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     group of near copies costs about one verification per member instead of one per pair. Rows with a null id are returned with
     component_id null where nothing else is in it. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

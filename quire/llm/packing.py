@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LENGTH = 2048
 #: Rests of documents are cut into pieces of at most so many tokens: smaller pieces balance better.
 PIECE = 512
@@ -100,6 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, key: str =
     again. Null and empty texts are the end id alone; repeated rows are packed each; sequence_id is the input partition's number
     times 2^40 plus a count. No rows give no pieces.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     room = WINDOWS * max(1, length - SLACK)
     piece = max(1, min(PIECE, length // 2))
