@@ -124,6 +124,12 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _chosen(ids: pa.Array, bits: np.ndarray) -> pa.Array:
+    """Which ids pass the filter or are null."""
+    values = ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(U64)
+    return pa.array(_passes(bits, values) | ids.is_null().to_numpy(zero_copy_only=False))
+
+
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -174,20 +180,21 @@ def _ordered(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[order[: prefix_length(len(s))]], c
 
 
-def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
-    """Prefix postings (h, sig); with a filter, only hashes that pass it, and with n, pos, nth and the centre score. nth counts the
+def prefix_pass(docs: DataFrame, table, reps, bits=None) -> DataFrame:
+    """Prefix postings: h alone, or with a filter (h, sig) of the hashes that pass it, with n, pos, nth and the centre score. Only
+    documents whose id passes ``reps`` (or is null) count: one of each class of equal sets, and copies that a full filter lets through. nth counts the
     kept ones before: shingles that no other text has can't agree; prev is the kept one before.
 
     The score is the mean of log counts: among near copies it is highest for the text that the others were made from.
     """
     wide = bits is not None
-    names = ["h", "sig", "n", "pos", "nth", "score", "prev"] if wide else ["h", "sig"]
+    names = ["h", "sig", "n", "pos", "nth", "score", "prev"] if wide else ["h"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.int64()][: len(names)]
 
     def run(batches):
         counts, done = table.value, set()
         for b in batches:
-            texts = utf8_texts(b.column(1))
+            texts = utf8_texts(b.column(1).filter(_chosen(b.column(0), reps.value)))
             for i, j in text_blocks(texts):
                 cols: list[list] = [[] for _ in names]
                 for s in shingle_sets(texts[i:j]):
@@ -203,9 +210,9 @@ def prefix_pass(docs: DataFrame, table, bits=None) -> DataFrame:
                     pre, pos = pre[keep], pos[keep]
                     if not len(pre):
                         continue
-                    row = [pre.view(np.int64), np.full(len(pre), sig, np.int64)]
+                    row = [pre.view(np.int64)]
                     if wide:
-                        row += [np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.arange(len(pre), dtype=np.int32), np.full(len(pre), np.log(c).mean(), np.float32), np.append(np.int64(0), pre[:-1].view(np.int64))]
+                        row += [np.full(len(pre), sig, np.int64), np.full(len(pre), len(s), np.int32), pos.astype(np.int32), np.arange(len(pre), dtype=np.int32), np.full(len(pre), np.log(c).mean(), np.float32), np.append(np.int64(0), pre[:-1].view(np.int64))]
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
                 if cols[0]:
@@ -292,14 +299,16 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     table = sc.broadcast(fold(blobs, "u1", "sum"))
 
-    thin = prefix_pass(docs, table).groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
-    shared = staged(thin.where("lo <> hi").select("h"), "shared")
+    info = staged(first.where("n > 0").groupBy("sig").agg(*[F.min(x).alias(x) for x in ("doc_id", "n", *PARITIES)]), "info")
+    reps = sc.broadcast(bit_filter(info, "doc_id"))
+    # a hash met twice is in two texts, or in copies that the filter let through; posts leave those out
+    thin = prefix_pass(docs, table, reps).groupBy("h").agg(F.count("*").alias("k"))
+    shared = staged(thin.where("k > 1").select("h"), "shared")
     release(spark)
-    wide = prefix_pass(docs, table, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "nth", "score", "prev")])
+    wide = prefix_pass(docs, table, reps, sc.broadcast(bit_filter(shared, "h"))).groupBy("h", "sig").agg(*[F.max(x).alias(x) for x in ("n", "pos", "nth", "score", "prev")])
     posts = staged(wide, "posts")
     unstage(shared)
     release(spark)
-    info = staged(first.where("n > 0").groupBy("sig").agg(*[F.min(x).alias(x) for x in ("doc_id", "n", *PARITIES)]), "info")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         """The candidate pairs that link; only documents that pass all filters are shuffled with their sets."""
