@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,3 +100,20 @@ def zones(rows: DataFrame, key: str, order: str, opens: dict[str, str]) -> DataF
 def sections(rows: DataFrame, heading: Column, key: str, order: str) -> DataFrame:
     """Add section (0 before the first heading, then counting) to ordered lines. [W4]"""
     return rows.withColumn("section", F.sum(heading.cast("long")).over(W.partitionBy(key).orderBy(order)))
+
+
+def with_companions(texts: DataFrame, batch: str, keys: list[str]) -> DataFrame:
+    """Add status to the texts of all batches: tree in the fullest batch, ties to the least name; merged where another batch's section has its keys there; else refused. [J22]"""
+    sizes = texts.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.count("*").alias("n"))
+    tree = sizes.orderBy(F.desc("n"), batch).limit(1).select(F.col(batch).alias("_tree"))
+    rows = texts.join(F.broadcast(tree), F.col(batch) == F.col("_tree"), "left")
+    sections = rows.where("_tree is not null").select(*keys).distinct().withColumn("_known", F.lit(True))
+    status = F.when(F.col("_tree").isNotNull(), "tree").when(F.col("_known"), "merged").otherwise("refused")
+    return rows.join(sections, keys, "left").withColumn("status", status).drop("_tree", "_known")
+
+
+def rekey(judged: DataFrame, new: DataFrame, key: str, house: Callable[[Column], Column]) -> DataFrame:
+    """(key, verdict): whether a judgement of ``judged`` (key, text) holds for ``new`` (key, text): same, house where only the house pass changed the text, reread otherwise, gone without a new text. [J23]"""
+    rows = judged.select(key, F.col("text").alias("old")).join(new.select(key, F.col("text").alias("now"), F.lit(True).alias("there")), key, "left")
+    verdict = F.when(F.col("there").isNull(), "gone").when(F.col("old").eqNullSafe(F.col("now")), "same").when(house(F.col("old")).eqNullSafe(F.col("now")), "house").otherwise("reread")
+    return rows.select(key, verdict.alias("verdict"))

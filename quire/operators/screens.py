@@ -108,3 +108,16 @@ def join_kinds(docs: DataFrame, by: str = "source", key: str = "doc_id") -> Data
         .when(n.rlike(r"^\p{Ll}"), "space").when(ends_open(t), "space").otherwise("para")
     )
     return rows.groupBy(by, kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def long_s_gate(pages: DataFrame, work: str, text: str = "text", least: int = 30, share: float = 0.1) -> DataFrame:
+    """Add medial_s, long_s and fails: a page of a work that has long s, with ``least`` medial s or more and hardly any long ones. [P16]
+
+    Works are aggregated before the join, so that a work of any size is spread over tasks. Null text has none of either.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = pages.withColumns({"medial_s": F.regexp_count(body, F.lit(r"s(?=\p{L})")).cast("long"), "long_s": (F.length(body) - F.length(F.replace(body, F.lit("ſ"), F.lit("")))).cast("long")})
+    printed = rows.groupBy(F.col(work).alias("_work")).agg((F.max("long_s") > 0).alias("_printed"))
+    rows = rows.join(printed, F.col(work).eqNullSafe(F.col("_work")), "left")
+    rare = F.col("long_s") < share * (F.col("long_s") + F.col("medial_s"))
+    return rows.withColumn("fails", F.col("_printed") & (F.col("medial_s") >= least) & rare).drop("_work", "_printed")

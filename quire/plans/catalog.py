@@ -450,3 +450,34 @@ def source_card(spark, d):
     found = screens.seams(docs).groupBy("doc_id").agg(F.count("*").alias("n")).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n").alias("n_seams"))
     cards = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"))
     return cards.join(kinds, "source", "left").join(found, "source", "left").fillna(0, ["n_seams"])
+
+
+# ---------------------------------------------------------------- gates and merges
+
+
+_LONG = r"d AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN regexp_replace(coalesce(text, ''), 's(\p{L})', 'ſ\1', 'g') ELSE coalesce(text, '') END AS t FROM documents)"
+
+
+@query(rf"WITH {_LONG}, c AS (SELECT doc_id, source, length(t) - length(replace(t, 's', '')) - len(regexp_extract_all(t, 's([^\p{{L}}]|$)')) AS medial_s, length(t) - length(replace(t, 'ſ', '')) AS long_s FROM d), w AS (SELECT source, max(long_s) > 0 AS printed FROM c GROUP BY source) SELECT doc_id, medial_s, long_s, printed AND medial_s >= 30 AND long_s < 0.1 * (long_s + medial_s) AS fails FROM c JOIN w ON c.source IS NOT DISTINCT FROM w.source")
+def long_s_gate(spark, d):
+    """English texts are given long s in the middle of words; the tables have none."""
+    text = F.coalesce("text", F.lit(""))
+    long = F.when(F.col("lang") == "en", F.regexp_replace(text, r"s(\p{L})", "ſ$1")).otherwise(text)
+    rows = table(spark, d, "documents").select("doc_id", "source", long.alias("text"))
+    return screens.long_s_gate(rows, "source").select("doc_id", "medial_s", "long_s", "fails")
+
+
+@query("WITH t AS (SELECT conv_id, turn // 2 AS pair, role FROM conversations), b AS (SELECT role FROM t WHERE role IS NOT NULL GROUP BY role ORDER BY count(*) DESC, role LIMIT 1), s AS (SELECT DISTINCT conv_id, pair FROM t WHERE role = (SELECT role FROM b)) SELECT t.conv_id, t.pair, t.role, CASE WHEN t.role = (SELECT role FROM b) THEN 'tree' WHEN s.conv_id IS NOT NULL THEN 'merged' ELSE 'refused' END AS status, count(*) AS n FROM t LEFT JOIN s ON t.conv_id = s.conv_id AND t.pair = s.pair GROUP BY ALL")
+def companion_merge(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.expr("turn div 2").alias("pair"), "role")
+    return records.with_companions(rows, "role", ["conv_id", "pair"]).groupBy("conv_id", "pair", "role", "status").agg(F.count("*").alias("n"))
+
+
+@query(r"WITH o AS (SELECT l.doc_id, d.text, d.lang FROM (SELECT DISTINCT doc_id FROM labels) l JOIN documents d USING (doc_id)), n AS (SELECT doc_id, CASE lang WHEN 'en' THEN text WHEN 'de' THEN replace(text, 'ss', 'ß') ELSE lower(text) END AS now FROM documents) SELECT doc_id, CASE WHEN text IS NOT DISTINCT FROM now THEN 'same' WHEN replace(text, 'ss', 'ß') IS NOT DISTINCT FROM now THEN 'house' ELSE 'reread' END AS verdict FROM o JOIN n USING (doc_id)")
+def rekey_judgements(spark, d):
+    """The new texts are derived: English ones stay, German ones get ß by the house rule, the others lose their capitals."""
+    docs = table(spark, d, "documents")
+    house = lambda c: F.replace(c, F.lit("ss"), F.lit("ß"))
+    now = F.when(F.col("lang") == "en", F.col("text")).when(F.col("lang") == "de", house(F.col("text"))).otherwise(F.lower("text"))
+    judged = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return records.rekey(judged, docs.select("doc_id", now.alias("text")), "doc_id", house)
