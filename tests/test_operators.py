@@ -88,3 +88,18 @@ def test_write_only_if_clean(spark, tmp_path):
     df = spark.range(2)
     assert pages.write_if_clean(df, df, str(tmp_path / "out")) == 2 and not (tmp_path / "out").exists()
     assert pages.write_if_clean(df, df.limit(0), str(tmp_path / "out")) == 0 and (tmp_path / "out").exists()
+
+
+def test_long_s_gate_needs_a_work_with_long_s(spark):
+    rows = [(1, "a", "iso " * 40), (2, "a", "ſo"), (3, "b", "iso " * 40), (4, None, None)]
+    got = screens.long_s_gate(spark.createDataFrame(rows, "doc_id long, work string, text string"), "work").collect()
+    assert sorted((r["doc_id"], r["medial_s"], r["long_s"], r["fails"]) for r in got) == [(1, 40, 0, True), (2, 0, 1, False), (3, 40, 0, False), (4, 0, 0, False)]
+
+
+def test_companions_and_rekeying(spark):
+    rows = [("x", 1), ("x", 2), ("y", 1), ("z", 9), (None, 2)]
+    got = records.with_companions(spark.createDataFrame(rows, "batch string, k long"), "batch", ["k"]).collect()
+    assert {(r["batch"], r["k"], r["status"]) for r in got} == {("x", 1, "tree"), ("x", 2, "tree"), ("y", 1, "merged"), ("z", 9, "refused"), (None, 2, "merged")}
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, None)], "k long, text string")
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (3, "x"), (5, None)], "k long, text string")
+    assert {(r["k"], r["verdict"]) for r in records.rekey(old, new, "k", F.upper).collect()} == {(1, "same"), (2, "house"), (3, "reread"), (4, "gone"), (5, "same")}
