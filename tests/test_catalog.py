@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quire.plans import catalog
+from quire.plans import catalog, edition  # noqa: F401  (edition adds its queries to the catalogue)
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
