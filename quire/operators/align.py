@@ -169,3 +169,67 @@ def line_set_jaccard(docs: DataFrame, by: str = "source", key: str = "doc_id", b
     near = near.select(by, "a", "s", F.explode("ns").alias("n")).where("n is not null")
     i, u = F.size(F.array_intersect("s", "n.s")), F.size(F.array_union("s", "n.s"))
     return near.select(by, "a", F.col(f"n.{key}").alias("b"), F.floor(i * 1000 / F.greatest(u, F.lit(1))).cast("long").alias("permille")).where(F.col("permille") >= int(least * 1000))
+
+
+# ---------------------------------------------------------------- sites where voices differ
+
+_SITE = "array<struct<kind:string,start:bigint,a:string,b:string,before:string,after:string,third:string,agrees:string>>"
+#: Words of context, how far an anchor may lie from a site, and how much longer than the site the third voice's gap may be.
+CONTEXT, REACH, SLACK = 6, 5, 3
+
+
+def _third_reading(links: dict[int, int], third: list[str], i1: int, i2: int, n: int) -> str | None:
+    """What the third voice has between the nearest tokens on both sides that it shares; None where they are too far or the gap too long."""
+    left = next((i for i in range(i1 - 1, max(-1, i1 - 1 - REACH), -1) if i in links), None)
+    right = next((i for i in range(i2, min(n, i2 + REACH)) if i in links), None)
+    if left is None or right is None:
+        return None
+    lo, hi = links[left] + (i1 - left), links[right] - (right - i2)
+    return " ".join(third[lo:hi]) if 0 <= hi - lo <= i2 - i1 + SLACK else None
+
+
+def _sites(a: list[str], b: list[str], third: list[str] | None) -> list[dict]:
+    out, links = [], {}
+    if third is not None:
+        for m in SequenceMatcher(None, a, third, autojunk=False).get_matching_blocks():
+            links.update((m.a + k, m.b + k) for k in range(m.size))
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if tag == "equal" or all(len(w) <= 2 or w.isnumeric() for w in a[i1:i2] + b[j1:j2]):
+            continue
+        x, y = " ".join(a[i1:i2]), " ".join(b[j1:j2])
+        read = _third_reading(links, third, i1, i2, len(a)) if third is not None else None
+        agrees = "unknown" if read is None else "a" if read == x else "b" if read == y else "neither"
+        out.append({"kind": tag, "start": i1, "a": x, "b": y, "before": " ".join(a[max(0, i1 - CONTEXT) : i1]), "after": " ".join(a[i2 : i2 + CONTEXT]), "third": read, "agrees": agrees})
+    return out
+
+
+def collation_sites(pairs: DataFrame, a: str, b: str, third: str, keys: list[str]) -> DataFrame:
+    """(keys, kind, start, a, b, before, after, third, agrees): each run of folded words in which witness ``b`` differs from ``a``, and which of them the third voice reads.
+
+    Runs of numerals and words of two letters or fewer are left out. A null third voice is unknown everywhere; null texts are empty. The rows given
+    are compared one by one, each whole, in a task. [J8, J12]
+    """
+
+    @F.pandas_udf(_SITE)
+    def compare(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([_sites(list(p), list(q), None if r is None else list(r)) for p, q, r in zip(x, y, z, strict=True)])
+
+    w = lambda c: F.regexp_extract_all(fold_accents(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = pairs.select(*keys, w(a).alias("_a"), w(b).alias("_b"), F.when(F.col(third).isNotNull(), w(third)).alias("_c"))
+    return rows.select(*keys, F.inline(compare("_a", "_b", "_c")))
+
+
+def shared_errors(sites: DataFrame, lexicon: DataFrame, keys: list[str], least: int = 50, rare: int = 5, sure: int = 200) -> DataFrame:
+    """(keys, start, own, other, own_n, other_n) of single words that two agreed witnesses may share as an error, from their sites against a third voice.
+
+    The third voice's form must be frequent, of three letters or more and near the other's in spelling. It is selected if the witnesses' form is
+    rare; otherwise if that pair occurs once, neither form begins or ends the other, and the third's is very frequent. [J11]
+    """
+    pair = sites.where("kind = 'replace' and before <> '' and after <> '' and not contains(a, ' ') and not contains(b, ' ') and length(b) >= 3")
+    pair = pair.where(F.levenshtein("a", "b") <= F.greatest(F.lit(2), F.floor(F.length("b") / 3))).select(*keys, "start", F.col("a").alias("own"), F.col("b").alias("other"))
+    met = pair.join(lexicon.select(F.col("form").alias("other"), F.col("n").alias("other_n")).where(F.col("n") >= least), "other")
+    met = met.join(lexicon.select(F.col("form").alias("own"), F.col("n").alias("own_n")), "own", "left").fillna(0, ["own_n"])
+    once = met.groupBy("own", "other").agg(F.count("*").alias("_k"))
+    ends = lambda x, y: F.startswith(F.col(x), F.col(y)) | F.endswith(F.col(x), F.col(y))
+    apart = (F.col("_k") == 1) & ~ends("own", "other") & ~ends("other", "own") & (F.col("other_n") >= sure)
+    return met.join(once, ["own", "other"]).where((F.col("own_n") < rare) | apart).select(*keys, "start", "own", "other", "own_n", "other_n")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import lines
-from quire.operators import edition
+from quire.functions.text import ACCENTED, PLAIN, lines
+from quire.operators import align, edition
 from quire.operators.edition import BAR
 from quire.plans.catalog import LEX, LINES, _lex, query, table
 
@@ -139,3 +139,31 @@ def call_policy(spark, d):
     )
     judged = edition.judge_calls(calls, ["src0"], [r"/[0-9]*7\.md$"], ["/de/"], ["src1", "src2", "src3"])
     return judged.select("doc_id", F.coalesce("rule", F.lit("none")).alias("rule"), "allow")
+
+
+_FOLDED = rf"regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(
+    rf"WITH t AS (SELECT conv_id, turn, {_FOLDED} AS w FROM conversations WHERE text IS NOT NULL), p AS (SELECT *, list_position(list_transform(w, lambda x: length(x) >= 6), true) AS i FROM t) "
+    "SELECT conv_id, turn, (i - 1)::BIGINT AS start, w[i] AS a, 'zzq' AS b, array_to_string(w[greatest(1, i - 6):i - 1], ' ') AS before, array_to_string(w[i + 1:i + 6], ' ') AS after, "
+    "CASE WHEN i = 1 OR i = len(w) THEN 'unknown' WHEN turn % 3 = 0 THEN 'a' WHEN turn % 3 = 1 THEN 'b' ELSE 'unknown' END AS agrees FROM p WHERE i IS NOT NULL"
+)
+def collation_sites(spark, d):
+    """The second witness has ``zzq`` for the first word of six or more letters; the third voice is one of the two, or absent."""
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text")
+    rows = rows.withColumn("other", F.regexp_replace("text", r"(?s)^(.*?)(?<![\p{L}\p{N}])[\p{L}\p{N}]{6,}", "$1zzq"))
+    rows = rows.withColumn("ocr", F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.col("other")))
+    return align.collation_sites(rows, "text", "other", "ocr", ["conv_id", "turn"]).drop("kind", "third")
+
+
+@query(
+    rf"WITH {LEX}, t AS (SELECT conv_id, turn, {_FOLDED} AS w FROM conversations), p AS (SELECT conv_id, turn, w, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t), f AS (SELECT *, x = 'that' AND lag(x) OVER o <> 'that' AND lead(x) OVER o <> 'that' AS hit FROM p WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)) "
+    "SELECT conv_id, turn, (i - 1)::BIGINT AS start, 'thxt' AS own, 'that' AS other, 0::BIGINT AS own_n, (SELECT n FROM lex WHERE form = 'that') AS other_n FROM f WHERE hit AND (SELECT n FROM lex WHERE form = 'that') >= 50"
+)
+def shared_errors(spark, d):
+    """The two agreed witnesses read ``thxt`` for each lone ``that`` of the third voice."""
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.lower("text").alias("text"))
+    lone = r"(?<![\p{L}\p{N}])(?<!that[^\p{L}\p{N}]{1,4})that(?=[^\p{L}\p{N}]+(?!that(?![\p{L}\p{N}]))[\p{L}\p{N}])"
+    rows = rows.withColumn("own", F.regexp_replace("text", lone, "thxt")).withColumn("none", F.lit(None).cast("string"))
+    return align.shared_errors(align.collation_sites(rows, "own", "text", "none", ["conv_id", "turn"]), _lex(spark, d), ["conv_id", "turn"])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import edition
+from quire.operators import align, edition
 from quire.operators.edition import BAR
 
 
@@ -75,3 +75,24 @@ def test_policy(spark):
     df = spark.createDataFrame(calls, "tool string, path string, command string, want string")
     for r in edition.judge_calls(df, ["no"], [r"\.env$"], ["/gen/"], ["work"]).collect():
         assert (r.rule, r.allow) == (r.want, r.want is None), r
+
+
+def test_collation_sites(spark):
+    rows = [
+        (1, "the old king sat here", "the old ring sat here", "the old king sat here"), (2, "one old king sat here", "one old sat here", "one old sat here"), (3, "aaa bbb ccc", "aaa xxx ccc", "aaa yyy ccc"),
+        (4, "see page 12 now", "see page 13 now", None), (5, None, "words", ""), (6, "aaa bbb ccc", "aaa bxb ccc", None),
+    ]
+    df = spark.createDataFrame(rows, "k int, a string, b string, c string")
+    got = [(r.k, r.kind, r.start, r.a, r.b, r.third, r.agrees) for r in align.collation_sites(df, "a", "b", "c", ["k"]).orderBy("k").collect()]
+    assert got == [
+        (1, "replace", 2, "king", "ring", "king", "a"), (2, "delete", 2, "king", "", "", "b"), (3, "replace", 1, "bbb", "xxx", "yyy", "neither"),
+        (5, "insert", 0, "", "words", None, "unknown"), (6, "replace", 1, "bbb", "bxb", None, "unknown"),
+    ]
+
+
+def test_shared_errors(spark):
+    site = "k int, kind string, start long, a string, b string, before string, after string"
+    rows = [(1, "replace", 3, "thc", "the", "x", "y"), (2, "replace", 3, "fame", "same", "x", "y"), (3, "replace", 3, "sames", "same", "x", "y"), (4, "replace", 0, "thc", "the", "", "y"), (5, "insert", 1, "", "the", "x", "y")]
+    words = lex(spark, the=900, fame=40, same=300, sames=40)
+    got = {(r.k, r.own, r.other) for r in align.shared_errors(spark.createDataFrame(rows, site), words, ["k"]).collect()}
+    assert got == {(1, "thc", "the"), (2, "fame", "same")}
