@@ -16,8 +16,8 @@ from .ngram_join import SLOTS, fold
 VOCAB_BITS, INPUT, CLASSES, OWN = 18, 4096, 128, 96
 #: Tokens seen on each side, embedding and hidden sizes.
 SIDE, DIM, HIDDEN = 2, 12, 32
-#: Training: of every SHARE documents one in each round, minibatches of so many tokens.
-ROUNDS, SHARE, BATCH, RATE = 2, 16, 2048, 0.05
+#: Training: each document in one of so many rounds, minibatches of so many tokens.
+ROUNDS, BATCH, RATE = 4, 2048, 0.05
 _SHAPES = {"emb": (INPUT + 1, DIM), "w1": (2 * SIDE * DIM, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
@@ -115,7 +115,7 @@ class Net:
 
 
 def train(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """Rounds of local training in each task on its share of the documents, averaged by the tokens each task saw; a fixed share, so the work follows the input."""
+    """Rounds of local training in each task, averaged by the tokens each task saw; a hash of the id deals every document to one round."""
     sc = docs.sparkSession.sparkContext
     flat = Net(counts).flat
     per = -(-(_SIZE + 1) // SLOTS)
@@ -137,7 +137,7 @@ def train(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
                 parts = v.reshape(SLOTS, per)
                 yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([x.astype("<f8").tobytes() for x in parts], pa.binary())], ["slot", "blob"])
 
-        some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SHARE)) == k).select("text")
+        some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS)) == k).select("text")
         got = fold(some.mapInArrow(run, "slot int, blob binary"), "<f8", "add")
         if len(got) == per * SLOTS and got[_SIZE]:
             flat = (got[:_SIZE] / got[_SIZE]).astype(np.float32)
@@ -147,8 +147,8 @@ def train(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
 def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's (doc_id, n_tokens, pll, pll_per_token): the sum and mean of log P(token | both sides) over all tokens of the whole text.
 
-    Tokens are hashed words; their counts come from all documents, and the network is trained by every task on a fixed share of them. Null,
-    empty and blank texts have 0 tokens, pll 0 and a null mean. Rows with a null id are scored but don't train.
+    Tokens are hashed words; their counts come from all documents, and the network is trained on every one of them. Null,
+    empty and blank texts have 0 tokens, pll 0 and a null mean.
     """
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext

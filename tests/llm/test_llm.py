@@ -225,6 +225,14 @@ def test_lm_scores_prefer_the_corpus(spark):
     assert lm_score.lm_score(hard(spark)).count() == len(HARD) and lm_score.lm_score(docs.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_document(spark):
+    text = "one two three four five six seven eight " * 40
+    for i in [*range(12), None]:
+        rows = spark.createDataFrame([(i, text)], TEXT)
+        counts = lm_score.corpus_counts(rows)
+        assert not np.array_equal(lm_score.train(rows, counts), lm_score.Net(counts).flat), i
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.columns[0] == "doc_id" and out.count() > 0
