@@ -13,8 +13,8 @@ from .common import U64, hashed_words, small_batches, staged, text_blocks, unsta
 
 #: Bound of the labelled sample that trains the classifier, its hashed features and gradient steps.
 TRAIN_ROWS, FEATURES, TRAIN_STEPS = 4000, 1 << 15, 120
-#: Weight of keeping rates near 1 against meeting targets; most gradient steps, and the change of a rate below which they end.
-RIDGE, STEPS, CHANGE = 0.05, 60, 1e-4
+#: A domain's share may miss its target by so much. The weight of keeping rates near 1 starts at RIDGE and falls to a quarter until all meet that, but not below LEAST; most passes in all.
+TOLERANCE, RIDGE, LEAST, PASSES = 0.002, 0.05, 1e-7, 80
 #: Targets of the query as shares of all tokens: domains are quality and toxicity of `labels`.
 TARGETS = {"q1t0": 0.96, "q0t0": 0.04, "q1t1": 0.0, "q0t1": 0.0}
 
@@ -97,58 +97,66 @@ def posteriors(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.
     return softmax(out + weights[-1]), words
 
 
-def rates_after(p: np.ndarray, pulls: list[tuple[float, np.ndarray]], ridge: float) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after the steps so far, each a (step size, domain residual): a function of the posteriors alone, so no rates are stored between steps."""
-    r = np.ones(len(p))
-    for size, residual in pulls:
-        r = np.maximum(0.0, r - size * (p @ residual + ridge * (r - 1)))
-    return r
+def rates_of(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors ``p``: a function of the posteriors and one number per domain, so no rates are stored between steps."""
+    return np.maximum(0.0, 1 - p @ pull)
 
 
-def solve(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[list[tuple[float, np.ndarray]], list[float]]:
-    """Projected gradient on rows (n_tokens, p array): least squares of expected domain shares against targets plus ridge times the squared distance of rates from 1, weighted by tokens.
+def solve(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """The domains' pulls for rows (n_tokens, p array), and by how much their expected shares then miss the targets.
 
-    Each step is one distributed sum of D numbers. The step size is the inverse of the curvature bound (the largest eigenvalue of the
-    token-weighted second moments of the posteriors, plus ridge). Returns the steps and the objective before each.
+    For one weight ``ridge``, rates of 0 or more minimise the squared misses of the shares plus ridge times the token-weighted squared
+    distance of rates from 1. At that minimum a rate is max(0, 1 - p . pull) with ridge * pull = miss: a convex problem in D numbers,
+    solved by Newton steps, each one distributed sum of D * (D + 1) + 1 numbers and halved where the objective would rise. The weight
+    falls until every domain is within TOLERANCE, so rates leave 1 no further than the targets ask; where soft posteriors make the
+    targets impossible, it ends at LEAST with the nearest shares.
     """
     d = len(targets)
-    moments = table.select("n_tokens", *[F.element_at("p", i + 1).alias(f"p{i}") for i in range(d)])
-    w = F.col("n_tokens").cast("double")
-    row = moments.agg(F.sum("n_tokens"), *[F.sum(w * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(d) for j in range(d)]).first()
-    total = float(row[0] or 0)
-    if not total:
-        return [], []
-    size = 1.0 / (float(np.linalg.eigvalsh(np.array(row[1:], float).reshape(d, d) / total)[-1]) + ridge)
-    pulls: list[tuple[float, np.ndarray]] = []
-    costs: list[float] = []
-    for _ in range(steps):
-        done = list(pulls)
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got, away = np.zeros(d), 0.0
+
+    def sums(pull: np.ndarray) -> np.ndarray | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros(d * (d + 1) + 2)
             for b in batches:
                 if b.num_rows:
                     p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                     n = b.column(0).to_numpy(zero_copy_only=False).astype(float)
-                    r = rates_after(p, done, ridge)  # noqa: B023
-                    got += (n * r) @ p
-                    away += float(n @ (r - 1) ** 2)
-            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in (*got, away)], [f"s{i}" for i in range(d + 1)])
-
-        out = table.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(d + 1))).agg(*[F.sum(f"s{i}") for i in range(d + 1)]).first()
-        residual = np.array(out[:d]) / total - targets
-        costs.append(0.5 * float(residual @ residual) + 0.5 * ridge * out[d] / total)
-        pulls.append((size, residual))
-        if len(costs) > 1 and abs(costs[-2] - costs[-1]) < CHANGE * max(costs[-1], 1e-12):
-            break
-    return pulls, costs
+                    r = rates_of(p, pull)
+                    got += np.concatenate([(n * r) @ p, ((p.T * (n * (r > 0))) @ p).ravel(), [n @ (r * r), n.sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in got], [f"s{i}" for i in range(len(got))])
+
+        width = d * (d + 1) + 2
+        out = table.select("n_tokens", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(width))).agg(*[F.sum(f"s{i}") for i in range(width)]).first()
+        return np.array(out[:-1]) / out[-1] if out[-1] else None
+
+    pull = np.zeros(d)
+    got = sums(pull)
+    if got is None:
+        return pull, np.zeros(d)
+    left = passes - 1
+    while True:
+        cost = lambda g, x: 0.5 * g[-1] + targets @ x + 0.5 * ridge * x @ x  # noqa: B023, E731
+        while left > 0:
+            gap = got[:d] - targets - ridge * pull
+            if np.abs(gap).max() < TOLERANCE / 100:
+                break
+            step = np.linalg.solve(got[d:-1].reshape(d, d) + ridge * np.eye(d), gap)
+            while left > 0:
+                more, left = sums(pull + step), left - 1
+                if cost(more, pull + step) <= cost(got, pull) - 1e-4 * (step @ gap):
+                    pull, got = pull + step, more
+                    break
+                step = step / 2
+        miss = got[:d] - targets
+        if np.abs(miss).max() <= TOLERANCE or ridge <= LEAST or left <= 0:
+            return pull, miss
+        ridge = max(LEAST, ridge / 4)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], ridge: float = RIDGE, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """The input columns with n_tokens, p (posteriors in the targets' order), rate, and copies.
 
-    A classifier trained on labelled rows gives each text's domain posteriors; projected gradient finds rates of 0 or more whose expected
-    domain tokens (sum of rate * words * posterior) meet ``targets``, shares of all words, as far as ``ridge`` lets rates leave 1.
+    A classifier trained on labelled rows gives each text's domain posteriors; ``solve`` finds rates of 0 or more whose expected
+    domain tokens (sum of rate * words * posterior) meet ``targets``, shares of all words, within TOLERANCE where posteriors allow it.
     copies is the rate rounded up or down by a hash of the id, so that it is the rate on average. Null and empty texts have 0 words and
     the prior's posteriors; columns of the names added are replaced; no words at all leave every rate 1. Texts are never shuffled:
     the last pass computes each row's posteriors again.
@@ -166,7 +174,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], ridge: fl
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(list(p), add["p"])], ["n_tokens", "p"])
 
     table = staged(docs.select("text").mapInArrow(score, "n_tokens long, p array<double>"), "posteriors")
-    pulls, _ = solve(table, goal, ridge)
+    pull, _ = solve(table, goal, ridge)
     unstage(table)
     docs = docs.drop(*add, "copies")
     place = docs.columns.index("text")
@@ -174,7 +182,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], ridge: fl
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, n = posteriors(utf8_texts(b.column(place)), weights.value)
-            more = [pa.array(n), pa.array(list(p), add["p"]), pa.array(rates_after(p, pulls, ridge))]
+            more = [pa.array(n), pa.array(list(p), add["p"]), pa.array(rates_of(p, pull))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *add])
 
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType

@@ -217,6 +217,22 @@ def test_mixing_moves_towards_targets(spark):
     assert mixing.mix(hard(spark), labels, mixing.TARGETS).count() == len(HARD) and mixing.mix(docs.limit(0), labels, mixing.TARGETS).count() == 0
 
 
+def test_mixing_meets_feasible_targets(spark):
+    goal = np.array([mixing.TARGETS[k] for k in sorted(mixing.TARGETS)])  # q0t0, q0t1, q1t0, q1t1
+    rng = np.random.default_rng(7)
+    hard = np.eye(4)[rng.choice(4, 2000, p=[0.113, 0.014, 0.767, 0.106])]  # token shares of the labelled rows of sf0.1
+    soft = rng.dirichlet([0.3, 0.1, 2.0, 0.3], 2000)
+    for p, want in ((hard, goal), (soft, np.array([0.2, 0.05, 0.65, 0.1]))):
+        n = rng.integers(1, 400, len(p))
+        table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+        pull, miss = mixing.solve(table, want)
+        r = mixing.rates_of(p, pull)
+        share = (n * r) @ p / n.sum()
+        assert (r >= 0).all() and np.abs(share - want).max() <= mixing.TOLERANCE and np.allclose(share - want, miss)
+        if p is hard:
+            assert r[p[:, 1] == 1].max() < 0.2 and r[p[:, 3] == 1].max() < 0.03
+
+
 def test_lm_scores_prefer_the_corpus(spark):
     docs = docs_of(spark).select("doc_id", "text").union(spark.createDataFrame([(-1, " ".join(f"q{i}z" for i in range(200))), (-2, None)], TEXT))
     got = {r.doc_id: r for r in lm_score.lm_score(docs).collect()}
