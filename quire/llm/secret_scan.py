@@ -15,7 +15,15 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+
+def _runs(letters: str, end: str) -> str:
+    """Runs of ``letters`` with = as padding at their end alone; padding counts towards the 20 characters, so ``_candidates`` drops shorter matches."""
+    return rf"[{letters}]{{20,}}(?:=+{end})?|[{letters}]{{1,19}}+=+{end}"
+
+
+CANDIDATE = _runs("A-Za-z0-9+/_-", "(?![A-Za-z0-9+/_=-])")
+#: What a token that mixes both alphabets of base 64 is cut into.
+PARTS = (_runs("A-Za-z0-9+/", ""), _runs("A-Za-z0-9_-", ""))
 ALPHABETS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -51,6 +59,20 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{span}>"))
 
 
+def _candidates(text: Column) -> Column:
+    """Spans of 20 characters or more that the battery tests: tokens, or the runs of either base-64 alphabet in a token that mixes both.
+
+    So a secret behind KEY= or a path is tested by itself. Runs of the two alphabets can overlap; the same run is taken once.
+    """
+    def parts(x: Column) -> Column:
+        both = F.array_distinct(F.concat(*(_spans(x["m"], pattern, "random") for pattern in PARTS)))
+        return F.transform(both, lambda y: F.struct((x["s"] + y["s"]).alias("s"), y["k"].alias("k"), (x["s"] + y["e"]).alias("e"), y["m"].alias("m"), y["v"].alias("v")))
+
+    mixed = lambda x: x["m"].rlike("[+/]") & x["m"].rlike("[_-]")
+    found = F.flatten(F.transform(_spans(text, CANDIDATE, "random"), lambda x: F.when(mixed(x), parts(x)).otherwise(F.array(x))))
+    return F.filter(found, lambda x: x["e"] - x["s"] >= LENGTHS[0])
+
+
 def _named(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -113,7 +135,7 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Base spans come from three patterns. A token of 20 or more characters of common encodings that no base span touches is also a span, of kind
     ``random``, if the battery can't tell it from random text: each token's null hypothesis is randomness, and Benjamini-Hochberg
     within its length class decides which are rejected as ordinary, so that at most ``RATE`` of those rejected are expected to be
-    random. A token that is padding alone has p 0. Ranks come from a histogram of 301 steps for each of four length
+    random. = ends a token unless it is padding, and tokens that mix the base-64 alphabets are tested in parts. Ranks come from a histogram of 301 steps for each of four length
     classes, whatever the input. Null text is empty; texts are only read, and only spans are kept.
     """
     spark = docs.sparkSession
@@ -121,7 +143,7 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(
         "doc_id", F.filter(_spans(t, ASSIGN, "assign"), lambda x: F.length(x["v"]) >= 8).alias("a"), _spans(t, ACCESS, "access").alias("c"), _spans(t, HEX, "hex").alias("h"),
-        _spans(t, CANDIDATE, "random").alias("r"),
+        _candidates(t).alias("r"),
     )
     rows = rows.withColumn("base", F.concat("a", "c", "h"))
     rows = rows.withColumn("r", F.filter("r", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))

@@ -141,6 +141,20 @@ def test_secret_scan_randomness(spark):
     assert len([i for i in hits if i < 40]) >= 34 and not [i for i in hits if i >= 40]
 
 
+def test_secret_scan_parts_of_tokens(spark):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    ahead = ["AWS_SECRET_ACCESS_KEY=", "export PRIVATE_KEY=", "https://x.org/a?sig=", "é deploy-to_site/", "x=y=", "a_b+"]
+    rows = [(i, ahead[i % 6] + "".join(rng.choice(letters, 40)) + ("==" if i % 4 == 1 else "")) for i in range(120)]
+    rows += [(200 + i, "x internationalization" + w) for i, w in enumerate(("andmore", "ofthings", "everywhere") * 20)]
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.secret_scan(spark.createDataFrame(rows, TEXT)).collect()}
+    for k, a in enumerate(ahead):
+        hits = [f"random:{len(a)}:{len(t)}" in got[i] for i, t in rows[:120] if i % 6 == k]
+        assert np.mean(hits) >= 0.8, (a, np.mean(hits))
+    assert not any(got[i] != [""] for i, _ in rows[120:])
+    assert all(a.rstrip("=") not in t[int(x.split(":")[1]) : int(x.split(":")[2])] for i, t in rows[:120] for a in ahead[:1] if i % 6 == 0 for x in got[i])
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
 
