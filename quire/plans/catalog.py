@@ -266,6 +266,12 @@ def cer_pairs(spark, d):
     return _turns(spark, d).select("conv_id", "turn", F.levenshtein(plain("src"), plain("tgt")).cast("long").alias("edits"))
 
 
+@query(None)
+def cer_pairs_whole(spark, d):
+    """Edits between whole turns in code points; ``cer_pairs`` reads the first 60 ASCII characters, as its SQL does."""
+    return _turns(spark, d).select("conv_id", "turn", F.levenshtein("src", "tgt").cast("long").alias("edits"))
+
+
 @query(None)
 def wer_pairs(spark, d):
     return align.word_errors(_turns(spark, d), "src", "tgt").select("conv_id", "turn", "edits", "wer")
