@@ -321,6 +321,17 @@ def alignment_note_dupes(spark, d):
     return out.select("conv_id", "turn", F.when(F.col("w") < 6, "short").otherwise("repeated").alias("problem"))
 
 
+@query(r"WITH l AS (SELECT conv_id, turn, unnest(x) AS line, unnest(range(0, len(x))) AS pos FROM (SELECT conv_id, turn, string_split_regex(text, '\n+') AS x FROM conversations WHERE role = 'assistant')), n AS (SELECT conv_id, turn, pos, regexp_replace(lower(trim(line)), '\s+', ' ', 'g') AS note FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY note) AS copies, len(string_split(note, ' ')) AS w FROM n WHERE note <> '') SELECT conv_id, turn, pos, CASE WHEN w < 6 THEN 'short' ELSE 'repeated' END AS problem FROM c WHERE w < 6 OR copies > 1")
+def alignment_note_dupes_whole(spark, d):
+    """Each whole line of an answer is a note (whole answers don't repeat); ``alignment_note_dupes`` reads an answer's first 30 characters, as its SQL does."""
+    note = F.regexp_replace(F.lower(F.trim("line")), r"\s+", " ")
+    lines = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", r"\n+")).alias("pos", "line"))
+    rows = lines.select("conv_id", "turn", "pos", note.alias("note")).where("note <> ''").select("conv_id", "turn", "pos", F.sha2("note", 256).alias("h"), F.size(F.split("note", " ")).alias("w"))
+    twice = rows.groupBy("h").agg(F.count("*").alias("copies"))
+    out = rows.join(twice, "h").where("w < 6 or copies > 1")
+    return out.select("conv_id", "turn", "pos", F.when(F.col("w") < 6, "short").otherwise("repeated").alias("problem"))
+
+
 # ---------------------------------------------------------------- pages and sections
 
 _ZONES = {"(?i)<script": "script", "(?i)</script|<body": "body", "(?i)<head": "head", "(?i)<footer|<nav": "frame"}
