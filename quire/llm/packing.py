@@ -29,11 +29,11 @@ _OTHER = re.compile("[^\x00-ɏ‐-‧]").search
 
 
 def encoder(path: str, pattern: str | None = None) -> Callable[[str], np.ndarray]:
-    """text -> ids (uint32) of a ``tokenizers`` file; where a ``.tiktoken`` file of the same vocabulary lies beside it, plain texts go through that, which is faster."""
+    """text -> ids (uint32) of a ``tokenizers`` file; where a ``.tiktoken`` file of the same vocabulary lies beside it, texts of plain characters that hold no added token's string go through that, which is faster."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
+    added = [x.content for x in whole.get_added_tokens_decoder().values()]
     slow = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
     ranks_file = Path(path).with_suffix(".tiktoken")
     if pattern is None or not ranks_file.exists():
@@ -42,7 +42,7 @@ def encoder(path: str, pattern: str | None = None) -> Callable[[str], np.ndarray
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.read_bytes().splitlines())}
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow(text) if _OTHER(text) else fast.encode_to_numpy(text, disallowed_special=())
+    return lambda text: slow(text) if _OTHER(text) or any(x in text for x in added) else fast.encode_to_numpy(text, disallowed_special=())
 
 
 _encoders: dict[tuple, Callable] = {}

@@ -179,6 +179,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(rows.limit(0), path).count() == 0
 
 
+def test_packing_keeps_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    added = {i: x.content for i, x in whole.get_added_tokens_decoder().items()}
+    texts = [t for x in added.values() for t in (f"one {x} two{x}", x, f"é {x}中", x[:-1] + " >")] + ["plain words"]
+    ids = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert added and set(added) <= {i for x in ids for i in x}
+    assert all(packing.encoder(path, p)(t).tolist() == x for p in (None, public_tokenizers.PATTERN) for t, x in zip(texts, ids, strict=True))
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), TEXT), path, public_tokenizers.PATTERN).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) + 1 and r.ids_crc32 == zlib.crc32(np.array([*ids[r.doc_id], 1], "<u4").tobytes())
+
+
 def test_windows_are_near_equal():
     sizes = np.random.default_rng(0).integers(1, 400, 300).tolist()
     got = packing.windows(sizes, 2048)
