@@ -6,6 +6,8 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,14 @@ from quire.llm.common import staged
 LEAST_SCORE = 0.4
 
 
-def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``docs`` that are not among ``gone``. Those are staged, so that Spark knows their size and broadcasts them only if they are few."""
-    return docs.join(staged(gone, "gone"), on, "left_anti")
+#: Names of the columns that tell rows apart while a stage runs: ids may repeat or be null.
+ROW, DIGEST = "_row", "_digest"
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose values in the columns of ``gone`` are not there; null equals null. ``gone`` is staged, so that Spark knows its size and broadcasts it only if it is small."""
+    right = staged(gone.toDF(*[f"_gone{x}" for x in gone.columns]), "gone")
+    return docs.join(right, reduce(lambda a, b: a & b, [docs[x].eqNullSafe(right[f"_gone{x}"]) for x in gone.columns]), "left_anti")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +34,26 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return _without(docs, gone, ["doc_id"])
+    """One row of each text: that of the largest id, and one of those where rows repeat with that id. Only such rows' texts are shuffled."""
+    marked = exact_dedup.exact_dedup(docs).groupBy("doc_id", F.unhex("text_sha256").alias(DIGEST)).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    marked = staged(marked.where("not kept or n > 1"), "marked")
+    rows, key = exact_dedup.with_digest(docs, "text", DIGEST), ["doc_id", DIGEST]
+    twice = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col(DIGEST).alias("_of"))
+    once = rows.join(twice, rows["doc_id"].eqNullSafe(twice["_id"]) & (rows[DIGEST] == twice["_of"]), "left_semi").dropDuplicates(key)
+    return _without(rows, marked.select(key)).unionByName(once).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = ngram_join.ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return _without(docs, gone, ["doc_id"])
+    """One row of each component: that of the least id, null last. Rows are told apart by a hash of id and text."""
+    rows = docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = ngram_join.ngram_join(rows, ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, F.col("doc_id").alias("id"))
+    found = staged(found.join(ids, ROW), "components")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", ROW))
+    groups = staged(found.groupBy("component_id").agg(first.alias("x"), F.count("*").alias("n")).where("n > 1"), "groups")
+    members = found.where(F.col(ROW) != F.col("component_id")).select(ROW).unionByName(groups.select(F.col("component_id").alias(ROW)))
+    gone = members.join(groups.select(F.col(f"x.{ROW}").alias(ROW)), ROW, "left_anti").distinct()
+    return _without(rows, gone).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +74,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: SQL can't express the trained classifiers; tests compare the stages with brute force.
+#: SQL can't express the trained classifiers; tests compare the copy stages with brute force, the others with their operators' rows.
 ORACLE_SQL = None
 
 

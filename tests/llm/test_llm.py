@@ -284,3 +284,41 @@ def test_pipeline_runs(spark):
     docs = docs_of(spark)
     kept = corpus_pipeline.drop_copies(spark, docs, D)
     assert kept.columns == docs.columns and kept.count() == docs.select("text").distinct().count()
+
+
+def stage_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [(1, "a b"), (2, "a b"), (2, "a b"), (2, "own text of two"), (None, "a b"), (3, None), (4, ""), (None, "lone"), (None, "lone")]
+    texts += [(5, words), (6, words + " more"), (6, "other text of six"), (6, words + " x"), (None, words + " y"), (None, "z " * 30), (8, "z " * 31)]
+    return spark.createDataFrame([(i, t, "s", "en") for i, t in texts], "doc_id long, text string, source string, lang string")
+
+
+def test_copy_stages_match_brute_force(spark):
+    rows = stage_rows(spark)
+    least = lambda x: (x[0] is None, x[0] or 0)
+    best = {}
+    for i, t in ((r.doc_id, r.text) for r in rows.collect()):
+        key = t or ""
+        if key not in best or (-1 if i is None else i) > (-1 if best[key] is None else best[key]):
+            best[key] = i
+    kept = corpus_pipeline.drop_copies(spark, rows, D)
+    assert kept.columns == rows.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(((i, t or "") for i, t in got), key=str) == sorted(((i, t) for t, i in best.items()), key=str)
+    groups = defaultdict(list)
+    for k, _, c in brute_components([(k, t) for k, (_, t) in enumerate(got)]):
+        groups[c].append(got[k])
+    near = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(got, TEXT), D).collect()]
+    assert len(near) == len(groups) and all(sum(x in near for x in g) == 1 for g in groups.values())
+    assert {min(map(least, g)) for g in groups.values()} == {least(x) for x in near} and len(groups) < len(got)
+
+
+def test_other_stages_match_their_operators(spark):
+    docs = docs_of(spark).unionByName(docs_of(spark).limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    count = lambda rows: sorted((str(r.doc_id), r.text) for r in rows)
+    tagged = language_id.language_id(docs, carry=True).collect()
+    want = [r for r in tagged if r.lang_pred != language_id.UNKNOWN and r.score >= corpus_pipeline.LEAST_SCORE]
+    assert count(want) == count(corpus_pipeline.keep_languages(spark, docs, D).collect())
+    mixed = mixing.mix(docs, spark.read.parquet(f"{D}/labels.parquet"), mixing.TARGETS).collect()
+    want = [r for r in mixed for _ in range(r.copies)]
+    assert count(want) == count(corpus_pipeline.mix_sources(spark, docs, D).collect())
