@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +16,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled by one numpy pass; temporaries take about 30 times as much.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: The white space that separates words (space, tab to carriage return).
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local master (as in tests) gets one of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    set_dir = sc.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
+    got = sc._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+_homes: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_homes() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark and spark.sparkContext._jsc:
+        for home in _homes:
+            _delete(spark, home)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder for staged tables, which goes when the driver's Python ends."""
+    home = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+    if not _homes:
+        atexit.register(_delete_homes)
+    _homes.add(home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -51,9 +76,7 @@ def unstage(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "staged_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
@@ -69,6 +92,76 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives free memory back: workers live on between tasks, and executors are bounded."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+        if trim:
+            trim(0)
+
+    return tidied
+
+
+# ---------------------------------------------------------------- vectors folded over tasks
+
+SLOTS = 64
+
+
+def slots_of(vector: np.ndarray, kind: str | None = None) -> pa.RecordBatch:
+    """A task's vector as rows (slot, blob) of its 64 interleaved parts, those of zeros alone left out."""
+    parts = [(k, x) for k, x in enumerate(vector.reshape(-1, SLOTS).T) if x.any()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in parts], pa.int32()), pa.array([(x.astype(kind) if kind else x).tobytes() for _, x in parts], pa.binary())], ["slot", "blob"]
+    )
+
+
+def fold(df: DataFrame, kind: str, op: str, wide: str | None = None) -> np.ndarray:
+    """Fold rows (slot int, blob binary) of all tasks into one vector of fixed size on the driver; ``op`` is or, or add (in numbers of type ``wide``)."""
+    wide = wide or kind
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(blob, kind)
+                if slot not in got:
+                    got[slot] = v.astype(wide)
+                elif op == "or":
+                    got[slot] |= v
+                else:
+                    got[slot] += v
+        for slot, v in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slot", "blob"])
+
+    n = min(SLOTS, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    parts = df.select("slot", "blob").repartition(n, "slot").mapInArrow(tidy(add), "slot int, blob binary").collect()
+    width = max((len(r[1]) for r in parts), default=0) // np.dtype(wide).itemsize
+    out = np.zeros((SLOTS, max(1, width)), wide)
+    for slot, blob in parts:
+        out[slot] = np.frombuffer(blob, wide)
+    return out.T.reshape(-1)
+
+
+#: Groups with more than one in so many of all rows are hot; there are fewer of them than that.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with their group's row, which holds in ``count`` how many rows it has; the keys have no nulls.
+
+    Rows of hot groups meet those (fewer than HOT, whatever the input) by broadcast and are not shuffled; all other groups are at most a
+    HOT-th of the rows, so no task of the shuffled join gets much more than its share.
+    """
+    hot = F.broadcast(groups.where(F.col(count) > max(100, total // HOT)))
+    cold = groups.join(hot.select(*keys), keys, "left_anti")
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
 def crc_mod(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
