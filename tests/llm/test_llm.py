@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import exact_dedup, language_id, lm_score, maxscore, mixing, ngram_join, packing, secret_scan, sharding, url_filter
+from quire.llm.common import staged
 
 D = "/root/testdata/sf0.001"
 TEXT = "doc_id long, text string"
@@ -72,6 +73,29 @@ def test_ngram_join_hard_rows(spark):
     assert ngram_join.ngram_join(hard(spark).limit(0)).count() == 0
 
 
+def test_ngram_join_streams_frequent_shingles(spark, monkeypatch):
+    rows = [(100 + i, t) for i, t in near(60)] + [(300, "a b"), (301, "a b")]
+    docs = spark.createDataFrame(rows, TEXT).repartition(5)
+    for frequent, held, chunk in ((5, 50, 4 << 20), (4095, 4 << 20, 2000), (3, 200, 1500)):
+        for name, value in (("FREQUENT", frequent), ("HELD", held), ("CHUNK_BYTES", chunk)):
+            monkeypatch.setattr(ngram_join, name, value)
+        got = ngram_join.ngram_join(docs).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_shared_shingles_have_their_true_frequencies(spark):
+    rows = [(i, t) for t, i in {t: i for i, t in near(30)}.items()]
+    sets = {i: ngram_join.shingle_sets([t.encode()])[0] for i, t in rows}
+    true = Counter(int(h) for s in sets.values() for h in s)
+    docs = staged(spark.createDataFrame(rows, TEXT), "rows")
+    got = Counter()
+    for r in ngram_join.shared(ngram_join.scan(docs, 4), 4).where("idx is null").collect():
+        _, key, count = ngram_join._unplanes(r.blob, (np.uint16, np.uint32, np.uint16))
+        got.update({(r.slice << 32 | int(k), int(c)): 1 for k, c in zip(key, count, strict=True)})
+    want = {(h >> 28, n) for h, n in true.items() if n > 1}
+    assert set(got) == want  # counts order the prefixes: rank correlation with the true frequency is 1
+
+
 def test_exact_dedup(spark):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b")]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, TEXT)).collect()}
@@ -270,12 +294,73 @@ def test_lm_scores_prefer_the_corpus(spark):
     assert lm_score.lm_score(hard(spark)).count() == len(HARD) and lm_score.lm_score(docs.limit(0)).count() == 0
 
 
+def lm_parts(spark, rows, others=None):
+    """(vocabulary, numbered rows of ``others``, classes, trained net) of a model of ``rows``."""
+    words = lm_score.vocabulary(rows)
+    known = spark.sparkContext.broadcast(words)
+    tokens = staged(lm_score.numbered(rows, known), "tokens")
+    classes = lm_score.clusters(lm_score.neighbours(tokens), words.counts)
+    net = lm_score.Net(classes, words.counts, lm_score.train(tokens, classes, words.counts))
+    return words, lm_score.numbered(rows if others is None else others, known).collect(), classes, net
+
+
+def plain_class_log_probs(net, ids):
+    """One token at a time, from the net's arrays."""
+    out = []
+    for t in range(len(ids)):
+        rows = [net.row[ids[t + d]] if 0 <= t + d < len(ids) else lm_score.ROWS - 1 for d in (-2, -1, 1, 2)]
+        h = np.tanh(np.concatenate([net.emb[r] for r in rows]).astype(float) @ net.w1 + net.b1)
+        z = h @ net.w2 + net.b2
+        out.append(z[net.klass[ids[t]]] - np.log(np.exp(z - z.max()).sum()) - z.max())
+    return np.array(out)
+
+
+def test_lm_matches_plain_pseudo_likelihood(spark):
+    docs = docs_of(spark).select("doc_id", "text")
+    words, rows, _, net = lm_parts(spark, docs)
+    total = words.counts.sum()
+    got = {r.doc_id: r for r in lm_score.lm_score(docs).collect()}
+    for r in sorted(rows, key=lambda r: r.n)[:60]:
+        ids = np.frombuffer(r.ids, "<u2").astype(int)
+        want = plain_class_log_probs(net, ids).sum() + r.base - np.log(net.mass[net.klass[ids]]).sum()
+        assert got[r.doc_id].n_tokens == r.n == len(ids) and abs(got[r.doc_id].pll - want) < 1e-3 * max(1, r.n)
+    # probabilities of all words sum to 1: of the vocabulary's by their counts, of the unknown ones by theirs
+    assert abs(np.exp(words.logs.astype(float)).sum() + words.unknown * round((total - np.exp(words.logs.astype(float)).sum()) / words.unknown) - total) < 1e-3 * total
+    assert net.mass.sum() == total
+
+
+def test_lm_beats_unigram_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    words, rows, _, net = lm_parts(spark, docs.where("doc_id % 5 <> 0").select("doc_id", "text"), docs.where("doc_id % 5 = 0").select("doc_id", "text"))
+    n = sum(r.n for r in rows)
+    unigram = sum(r.base for r in rows) / n - np.log(words.counts.sum())
+    gain = 0.0
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u2").astype(int)
+        if len(ids):
+            gain += (net.class_log_probs(ids, np.array([0, len(ids)])) - np.log(net.mass / net.mass.sum())[net.klass[ids]]).sum()
+    assert n > 50_000 and gain / n > 0.6, (unigram, gain / n)  # nats a token: perplexity falls to less than 0.55 of the unigram model's
+
+
+def test_lm_scores_do_not_depend_on_layout(spark):
+    docs = docs_of(spark).select("doc_id", "text")
+    a, b = ({r.doc_id: r.pll for r in lm_score.lm_score(x).collect()} for x in (docs, docs.orderBy(F.desc("doc_id")).repartition(7)))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-2
+
+
 def test_lm_trains_on_every_document(spark):
     text = "one two three four five six seven eight " * 40
     for i in [*range(12), None]:
-        rows = spark.createDataFrame([(i, text)], TEXT)
-        counts = lm_score.corpus_counts(rows)
-        assert not np.array_equal(lm_score.train(rows, counts), lm_score.Net(counts).flat), i
+        words, _, classes, net = lm_parts(spark, spark.createDataFrame([(i, text)], TEXT))
+        assert not np.array_equal(net.flat, lm_score.Net(classes, words.counts).flat), i
+
+
+def test_lm_vocabulary_counts_all_words(spark):
+    rows = spark.createDataFrame([(1, "a b b c c c"), (2, "A d"), (3, None), (4, "")], TEXT)
+    words = lm_score.vocabulary(rows)
+    assert sorted(np.exp(words.logs).round().tolist()) == [2, 2, 3] and words.unknown == 1 and words.counts.sum() == 8
+    small = lm_score.vocabulary(rows, 1)
+    assert np.exp(small.logs).round().tolist() == [3] and small.unknown == 5 / 3
 
 
 def test_pipeline_runs(spark):
