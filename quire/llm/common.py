@@ -79,8 +79,8 @@ def unstage(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
-    """Hold the session's Arrow batches to 4 MB of data, so that Python workers and their buffers stay small whatever the texts' length."""
+def small_batches(spark: SparkSession, limit: int = 2 << 20) -> None:
+    """Hold the session's Arrow batches to 2 MB of data, so that Python workers and their buffers stay small whatever the texts' length."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > limit:
         spark.conf.set(key, str(limit))
@@ -162,6 +162,47 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     return rows.join(hot, keys).unionByName(rest.join(cold, keys))
 
 
+#: Most bits of the bitmaps over hashes (64 MB, as a power of two).
+BITMAP_BITS = 29
+
+
+def split_by(rows: DataFrame, column: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash (a long column without nulls) may be among ``members`` (one column), and those whose isn't.
+
+    The members' bitmaps, sized by their number up to BITMAP_BITS, are broadcast: so rows without a member are never shuffled. Members
+    beyond that size only make the first part larger; an exact join must follow on it.
+    """
+    n = members.count()
+    bits = min(BITMAP_BITS, max(15, (64 * n).bit_length()))
+    at = lambda c: F.pmod(c, F.lit(1 << bits))
+    place = members.select(at(F.col(members.columns[0])).alias("x"))
+    maps = place.groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bitmap"))
+    x = at(F.col(column))
+    met = rows.withColumn("_place", x).join(F.broadcast(maps), F.bitmap_bucket_number(x) == F.col("_bucket"), "left")
+    bit = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
+    met = met.withColumn("_bit", bit).withColumn("_byte", byte).withColumn("_may", may)
+    return met.where("_may").select(*rows.columns), met.where("not _may").select(*rows.columns)
+
+
+def drawn(rows: DataFrame, n: int, max_rows: int, max_bytes: int, text: str = "text") -> DataFrame:
+    """A bounded sample of the different ones of ``n`` rows, in the order of a hash of all columns: ``max_rows`` and ``max_bytes`` of text at most (but one text at least). Repeated rows count once, however many they are."""
+    draw, space = "_draw", 1 << 24
+    marked = rows.withColumn(draw, F.xxhash64(*rows.columns))
+    rank = F.pmod(draw, F.lit(space))
+    some = marked.where(rank < int(min(1.0, 2 * max_rows / max(n, 1)) * space) + 1)
+    sizes = some.groupBy(draw).agg(F.max(F.octet_length(text)).alias("size")).orderBy(rank, draw).limit(max_rows).collect()
+    picked, left = [], max_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            picked.append(r[draw])
+            left -= r["size"]
+    if not picked and sizes:
+        picked = [min(sizes, key=lambda r: r["size"])[draw]]
+    return some.where(F.col(draw).isin(picked)).dropDuplicates([draw]).orderBy(rank, draw).drop(draw)
+
+
 def crc_mod(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
