@@ -53,42 +53,61 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         low, top = top, min(HASH_BITS, top + MORE_BITS)
 
 
+def _placed(rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """The rows, which hold _h and _bytes, with _depth, _prefix, _all (bytes of the bucket) and _part."""
+    depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()] or [0]  # HASH_BITS + 1 values at most
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(_h, {HASH_BITS - d})").alias("prefix")) for d in depths]))
+    leaves = found.select(F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"), F.col("bytes").alias("_all"), F.col("rows").alias("_rows"))
+    own = rows.columns
+    put = rows.withColumn("_at", at).select(*own, F.col("_at.depth").alias("_depth"), F.col("_at.prefix").alias("_prefix")).join(leaves, ["_depth", "_prefix"])
+    put = put.withColumn("_part", F.lit(0).cast("long"))
+    full = (F.col("_all") > limit) & (F.col("_rows") > 1)
+    if not found.where((F.col("bytes") > limit) & (F.col("rows") > 1)).isEmpty():
+        leaf = ["_depth", "_prefix"]
+        tight = staged(put.where(full).withColumn("_src", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id()), "tight")
+        sums = tight.groupBy(*leaf, "_src").agg(F.sum("_bytes").alias("sum"), F.max("_bytes").alias("most"))
+        across = W.partitionBy(*leaf).orderBy("_src")  # a row for each input partition
+        sums = sums.select(*leaf, "_src", (F.sum("sum").over(across) - F.col("sum")).alias("_base"), F.max("most").over(W.partitionBy(*leaf)).alias("_most"))
+        run = F.sum("_bytes").over(W.partitionBy(*leaf, "_src").orderBy("_nth")) - F.col("_bytes")
+        cut = tight.withColumn("_run", run).join(sums, [*leaf, "_src"])
+        cut = cut.withColumn("_part", F.floor((F.col("_base") + F.col("_run")) / F.greatest(F.lit(limit) - F.col("_most"), F.lit(1))).cast("long"))
+        put = put.where(~full).unionByName(cut.select(put.columns))
+    return put
+
+
+def _sized(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("_h", key_hash(F.col(key)))
+
+
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """Each row's (doc_id, bytes, shard_depth, shard_prefix, shard_part, shard_bytes); (depth, prefix, part) names its shard.
 
     Every shard's texts fit ``limit`` bytes; one text longer than that is a shard by itself. Rows that share one key also share every bit
     of its hash: if together they are over the limit, ``shard_part`` (0 elsewhere) cuts them by running bytes, counted per input
     partition and then across partitions, so no task gathers them; their ``shard_bytes`` is that of the whole bucket. Null text has 0
-    bytes, a null key hashes as the empty text, no rows give no shards.
+    bytes, a null key hashes as the empty text, repeated rows each count, extra columns are left out, no rows give no shards.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    rows = staged(rows.withColumn("h", key_hash(F.col("doc_id"))), "sizes")
-    found = staged(directory(rows.select("h", "bytes"), limit), "directory")
-    depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()] or [0]  # HASH_BITS + 1 values at most
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(h, {HASH_BITS - d})").alias("prefix")) for d in depths]))
-    put = rows.select("doc_id", "bytes", at.alias("t")).select("doc_id", "bytes", "t.*").join(found.withColumnRenamed("bytes", "shard_bytes"), ["depth", "prefix"])
-    put = put.withColumn("part", F.lit(0).cast("long"))
-    full = (F.col("shard_bytes") > limit) & (F.col("rows") > 1)
-    if not found.where((F.col("bytes") > limit) & (F.col("rows") > 1)).isEmpty():
-        tight = staged(put.where(full).withColumn("src", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "tight")
-        leaf = ["depth", "prefix"]
-        sums = tight.groupBy(*leaf, "src").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("most"))
-        across = W.partitionBy(*leaf).orderBy("src")  # a row for each input partition
-        sums = sums.select(*leaf, "src", (F.sum("all").over(across) - F.col("all")).alias("base"), F.max("most").over(W.partitionBy(*leaf)).alias("most"))
-        run = F.sum("bytes").over(W.partitionBy(*leaf, "src").orderBy("nth")) - F.col("bytes")
-        cut = tight.withColumn("run", run).join(sums, [*leaf, "src"])
-        cut = cut.withColumn("part", F.floor((F.col("base") + F.col("run")) / F.greatest(F.lit(limit) - F.col("most"), F.lit(1))).cast("long"))
-        put = put.where(~full).unionByName(cut.select(put.columns))
-    return put.select("doc_id", "bytes", F.col("depth").cast("long").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), F.col("part").alias("shard_part"), "shard_bytes")
+    rows = staged(_sized(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").drop("text"), "sizes")
+    found = staged(directory(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), limit), "directory")
+    put = _placed(rows, found, limit)
+    return put.select(
+        "doc_id", F.col("_bytes").alias("bytes"), F.col("_depth").cast("long").alias("shard_depth"), F.col("_prefix").alias("shard_prefix"), F.col("_part").alias("shard_part"), F.col("_all").alias("shard_bytes")
+    )
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
-    """Write the documents as Parquet folders ``shard=depth-prefix-part`` and return the assignment; the join is by key, rows of one key share a shard's bucket."""
-    put = staged(shard(docs, key, text, limit), "shards")
-    name = F.concat_ws("-", "shard_depth", "shard_prefix", "shard_part").alias("shard")
-    put_once = put.select(F.col("doc_id").alias("_k"), name).groupBy("_k").agg(F.min("shard").alias("shard"))
-    docs.join(put_once, docs[key].eqNullSafe(put_once["_k"])).drop("_k").repartition("shard").write.partitionBy("shard").parquet(path)
-    return put
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> None:
+    """Write all columns of the documents as Parquet folders ``_shard=depth-prefix-part``.
+
+    Each row goes to its own part, so rows of one key that are cut over parts are written to those. Texts are shuffled once, by shard;
+    input columns named _h, _bytes and the like, or _shard, would clash and are an error.
+    """
+    made = {"_h", "_bytes", "_depth", "_prefix", "_all", "_rows", "_part", "_src", "_nth", "_run", "_base", "_most", "_at", "_shard"}
+    if made & set(docs.columns):
+        raise ValueError(f"columns {sorted(made & set(docs.columns))} are names this writer uses")
+    rows = _sized(docs, key, text)
+    found = staged(directory(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), limit), "directory")
+    put = _placed(rows, found, limit).withColumn("_shard", F.concat_ws("-", "_depth", "_prefix", "_part"))
+    put.select(*docs.columns, "_shard").repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
