@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import lru_cache, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,10 +33,47 @@ ALPHABETS = (
     ("base64url", r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("base64", r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: Pooled cells of the alphabets: short tokens leave too few letters in each cell of a whole alphabet. Digits are pooled with signs.
+POOLS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789+/_-")
 #: Length classes (lower bounds) within which the false-discovery rate is held, and that rate.
 LENGTHS, RATE = (20, 32, 48, 96), 0.05
-#: P-values are ranked in steps of a tenth of a decade, down to 10^-30.
-STEPS, PER_DECADE = 300, 10
+#: P-values are ranked in steps of a twentieth of a decade, down to 10^-30.
+STEPS, PER_DECADE = 600, 20
+#: Lengths whose null distribution is simulated (a token takes that of the longest that isn't longer), simulated tokens of each, and the steps down to which their quantiles are read.
+NULL_LENGTHS, NULL_TOKENS, NULL_STEPS = (20, 21, 22, 24, 26, 28, 32, 36, 40, 44, 48, 56, 64, 80, 96, 128, 256), 12000, 50
+#: Matches of a block: offsets are summed within blocks and then across them, so that many matches take linear time.
+BLOCK = 256
+
+
+@lru_cache(maxsize=1)
+def null_tables() -> tuple[tuple[float, ...], ...]:
+    """Upper quantiles of the combined statistic of random tokens, one row for each alphabet size and null length: at 10^(-step / PER_DECADE) for steps 0 to NULL_STEPS.
+
+    The three tests depend on each other, and short tokens are far from their limits, so no textbook distribution has the right level.
+    """
+    rng = np.random.default_rng(20)
+    upper = lambda z: np.minimum(1.0, 1 / (1 + np.exp(np.minimum(1.5976 * z + 0.07056 * z**3, 600))))
+    cube = lambda chi, df: (np.cbrt(np.maximum(chi, 0) / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    out = []
+    for _, _, letters in ALPHABETS:
+        k = len(letters)
+        for n in NULL_LENGTHS:
+            codes = rng.integers(0, k, (NULL_TOKENS, n))
+            counts = np.bincount((codes + k * np.arange(NULL_TOKENS)[:, None]).ravel(), minlength=k * NULL_TOKENS).reshape(-1, k)
+            df = k - 1
+            chi = np.maximum((counts.astype(float) ** 2).sum(axis=1) * k / n - n, 0)
+            z1 = cube(chi, df)
+            runs = 1 + ((codes[:, 1:] < k / 2) != (codes[:, :-1] < k / 2)).sum(axis=1)
+            z2 = np.abs(runs - (n + 1) / 2) / np.sqrt((n - 1) / 4)
+            c = codes - df / 2
+            z3 = np.abs((c[:, 1:] * c[:, :-1]).sum(axis=1)) / ((k * k - 1) / 12) / np.sqrt(n - 1)
+            pools = [[letters.index(c) for c in pool if c in letters] for pool in POOLS]
+            share = np.array([len(p) for p in pools if p]) / k
+            got = np.stack([counts[:, p].sum(axis=1) for p in pools if p], axis=1)
+            z4 = cube((got**2 / share).sum(axis=1) / n - n, len(share) - 1)
+            x = -2 * (np.log(upper(z1)) + np.log(2 * upper(z2)) + np.log(2 * upper(z3)) + np.log(upper(z4)))
+            out.append(tuple(np.quantile(x, 1 - 10.0 ** (-np.arange(NULL_STEPS + 1) / PER_DECADE)).round(4).tolist()))
+    return tuple(out)
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
@@ -55,8 +94,15 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
             F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).cast("long").alias("s"), F.lit(k).alias("k"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).cast("long").alias("e"), x["m"].alias("m"), x["v"].alias("v")))),
         ).otherwise(acc["out"]).alias("out"),
     )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{span}>"))
+    zero = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda i: F.slice(zipped, i * BLOCK + 1, BLOCK))
+
+    def add(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, zero(acc["at"]), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{span}>>").alias("out"))
+    return F.when(text.rlike(pattern), F.flatten(F.aggregate(blocks, start, add, lambda a: a["out"]))).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def _candidates(text: Column) -> Column:
@@ -84,12 +130,25 @@ def _upper(z: Column) -> Column:
     return F.least(F.lit(1.0), 1 / (1 + F.exp(F.least(y, F.lit(600.0)))))
 
 
+def _in_pool(letters: Column, pool: str, most: int | None = None) -> Column:
+    """How many letters of the alphabet, or 1 if any, are in the pool."""
+    n = F.length(F.regexp_replace(letters, f"[^{pool}]", "")).cast("double")
+    return n if most is None else F.least(n, F.lit(float(most)))
+
+
+def _pool_term(body: Column, letters: Column, k: Column, pool: str) -> Column:
+    """Squared count of the pool's letters over its share of the alphabet."""
+    got = F.length(F.regexp_replace(body, f"[^{pool}]", "")).cast("double")
+    return F.when(_in_pool(letters, pool) > 0, got * got * k / F.greatest(_in_pool(letters, pool), F.lit(1.0))).otherwise(0.0)
+
+
 def battery(token: Column) -> Column:
     """The combined p-value that the token is a random string of its inferred encoding, as a struct (encoding, p).
 
-    Chi-squared uniformity over the alphabet (its cube-root normal form), runs above and below the alphabet's middle, and lag-1 serial
-    correlation of the codes, combined by Fisher's method (chi-squared with six degrees of freedom). Padding is left out; a token of
-    no single encoding has p 0.
+    Chi-squared uniformity over the alphabet and over its pools of vowels, consonants and digits (in the cube-root normal form), runs above and below the alphabet's middle, and lag-1 serial
+    correlation of the codes, their logs summed as in Fisher's method. The sum's p-value is read from its simulated distribution for the
+    alphabet and length (``null_tables``), between quantiles by straight lines and beyond the last one along the last decade's
+    slope. Padding is left out; a token of no single encoding has p 0.
     """
     name, letters = F.lit("mixed"), F.lit("")
     for encoding, pattern, alphabet in reversed(ALPHABETS):
@@ -107,36 +166,56 @@ def battery(token: Column) -> Column:
             F.filter(F.split(x["letters"], ""), lambda c: c != ""), F.lit(0.0),
             lambda acc, c: acc + F.pow((F.length(x["body"]) - F.length(F.replace(x["body"], c, F.lit("")))).cast("double"), F.lit(2.0)),
         ).alias("squares"),
+        sum((_pool_term(x["body"], x["letters"], x["k"], pool) for pool in POOLS[1:]), _pool_term(x["body"], x["letters"], x["k"], POOLS[0])).alias("pooled"),
+        sum((_in_pool(x["letters"], pool, 1) for pool in POOLS[1:]), _in_pool(x["letters"], POOLS[0], 1)).alias("pools"),
     )
     paired = lambda x: F.struct(
-        x["name"].alias("name"), x["k"].alias("k"), x["n"].alias("n"), x["squares"].alias("squares"),
+        x["name"].alias("name"), x["k"].alias("k"), x["n"].alias("n"), x["squares"].alias("squares"), x["pooled"].alias("pooled"), x["pools"].alias("pools"),
         F.zip_with(F.slice(x["codes"], 1, F.size(x["codes"]) - 1), F.slice(x["codes"], 2, F.size(x["codes"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"),
     )
 
     def tested(x):
         k, n, df = x["k"], x["n"], x["k"] - 1
         chi = F.greatest(x["squares"] * k / n - n, F.lit(0.0))
-        z1 = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        cube = lambda chi, df: (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        z1, z4 = cube(chi, df), cube(F.greatest(x["pooled"] / n - n, F.lit(0.0)), x["pools"] - 1)
         runs = F.aggregate(x["pairs"], F.lit(1.0), lambda acc, y: acc + F.when((y["a"] < k / 2) != (y["b"] < k / 2), 1.0).otherwise(0.0))
         z2 = F.abs(runs - (n + 1) / 2) / F.sqrt((n - 1) / 4)
         serial = F.aggregate(x["pairs"], F.lit(0.0), lambda acc, y: acc + (y["a"] - df / 2) * (y["b"] - df / 2))
         z3 = F.abs(serial) / ((k * k - 1) / 12) / F.sqrt(n - 1)
         logs = lambda p: F.log(F.greatest(p, F.lit(1e-40)))
-        return F.struct(x["name"].alias("name"), (-2 * (logs(_upper(z1)) + logs(2 * _upper(z2)) + logs(2 * _upper(z3)))).alias("x"))
+        place = F.lit(0)
+        for i, (encoding, _, _) in enumerate(ALPHABETS):
+            place = F.when(x["name"] == encoding, i * len(NULL_LENGTHS)).otherwise(place)
+        place = place + sum((F.when(n >= least, 1).otherwise(0) for least in NULL_LENGTHS[1:]), F.lit(1))
+        return F.struct(
+            x["name"].alias("name"), (-2 * (logs(_upper(z1)) + logs(2 * _upper(z2)) + logs(2 * _upper(z3)) + logs(_upper(z4)))).alias("x"), F.element_at(tables, place.cast("int")).alias("null"),
+        )
 
-    p = lambda x: F.exp(-F.greatest(x["x"], F.lit(0.0)) / 2) * (1 + x["x"] / 2 + x["x"] * x["x"] / 8)
+    tables = F.from_json(F.lit(json.dumps(null_tables())), "array<array<double>>")
+    above = lambda x: F.struct(x["name"].alias("name"), x["x"].alias("x"), x["null"].alias("null"), F.size(F.filter(x["null"], lambda q: q <= x["x"])).alias("j"))
+
+    def step(x):
+        q = lambda j: F.element_at(x["null"], j)
+        j = F.least(F.greatest(x["j"], F.lit(1)), F.lit(NULL_STEPS))
+        inside = (j - 1) + F.least(F.greatest((x["x"] - q(j)) / F.greatest(q(j + 1) - q(j), F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
+        slope = F.greatest((q(F.lit(NULL_STEPS + 1)) - q(F.lit(NULL_STEPS + 1 - PER_DECADE))) / PER_DECADE, F.lit(1e-3))
+        return F.when(x["j"] > NULL_STEPS, NULL_STEPS + (x["x"] - q(F.lit(NULL_STEPS + 1))) / slope).otherwise(inside)
+
+    p = lambda x: F.pow(F.lit(10.0), -step(x) / PER_DECADE)
     done = lambda x: F.struct(x["name"].alias("encoding"), F.when(x["name"] == "mixed", 0.0).otherwise(F.least(F.coalesce(p(x), F.lit(0.0)), F.lit(1.0))).alias("p"))
-    return let(let(let(let(let(named, read), coded), paired), tested), done)
+    return let(let(let(let(let(let(named, read), coded), paired), tested), above), done)
 
 
 def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random).
+    """Each row's (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, random_p).
 
     Base spans come from three patterns. A token of 20 or more characters of common encodings that no base span touches is also a span, of kind
     ``random``, if the battery can't tell it from random text: each token's null hypothesis is randomness, and Benjamini-Hochberg
     within its length class decides which are rejected as ordinary, so that at most ``RATE`` of those rejected are expected to be
-    random. = ends a token unless it is padding, and tokens that mix the base-64 alphabets are tested in parts. Ranks come from a histogram of 301 steps for each of four length
-    classes, whatever the input. Null text is empty; texts are only read, and only spans are kept.
+    random. = ends a token unless it is padding, and tokens that mix the base-64 alphabets are tested in parts. random_p has
+    the random spans' p-values. Ranks come from a histogram of 601 steps for each of four length classes, whatever the input. Null text is
+    empty; repeated rows are each scanned; extra columns are left out; no rows give none. Texts are only read, and only spans are kept.
     """
     spark = docs.sparkSession
     t = F.col("text")
@@ -152,8 +231,9 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = rows.select(
         "doc_id", F.size("a").cast("long").alias("n_assign"), F.size("c").cast("long").alias("n_access"), F.size("h").cast("long").alias("n_hex"),
         F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("base"),
-        F.transform("r", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), size(x).alias("size"), step(battery(x["m"])["p"]).alias("step"))).alias("r"),
+        F.transform("r", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), size(x).alias("size"), battery(x["m"]).alias("test"))).alias("r"),
     )
+    rows = rows.withColumn("r", F.transform("r", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["size"].alias("size"), x["test"]["p"].alias("p"), step(x["test"]["p"]).alias("step"))))
     rows = staged(rows, "spans")
     # Benjamini-Hochberg per length class: the smallest step (largest p-value) whose rank reaches it
     seen = rows.select(F.explode("r").alias("x")).groupBy("x.size", "x.step").agg(F.count("*").alias("n"))
@@ -164,11 +244,16 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     for n, least in reject.collect():  # four rows at most
         limits[n] = least
     limit = F.array(*map(F.lit, limits))
-    rows = rows.withColumn("r", F.transform(F.filter("r", lambda x: x["step"] < F.element_at(limit, x["size"] + 1)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_named(F.col("base")).cast("binary"), 256).alias("base_sha256"), _named(F.concat("base", "r")).alias("spans"), F.size("r").cast("long").alias("n_random"))
+    rows = rows.withColumn("r", F.transform(F.filter("r", lambda x: x["step"] < F.element_at(limit, x["size"] + 1)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["p"].alias("p"))))
+    bare = F.transform("r", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    return rows.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_named(F.col("base")).cast("binary"), 256).alias("base_sha256"), _named(F.concat("base", bare)).alias("spans"),
+        F.size("r").cast("long").alias("n_random"), F.transform("r", lambda x: x["p"]).alias("random_p"),
+    )
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents."""
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
