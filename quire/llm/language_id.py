@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _byte_values, crc_mod, small_batches, text_blocks, utf8_texts, word_hashes
+from .common import BLOCK_BYTES, _byte_values, crc_mod, drawn, small_batches, text_blocks, tidy, utf8_texts, word_hashes
 
-#: Bounds of the training sample: documents, and words of their runs.
-TRAIN_DOCS, TRAIN_WORDS = 3000, 300_000
+#: Bounds of the training sample: documents, their bytes, and words of their runs.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_WORDS = 3000, 16 << 20, 300_000
 STEPS, RATE, L2 = 50, 0.3, 1e-6
 #: Hashed n-gram features; lexicon words of each language; words of a chain.
 FEATURES, LEXICON, CHAIN = 1 << 15, 2000, 256
@@ -22,12 +22,44 @@ _LETTERS = {*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128
 _VALUES, _OUTSIDE = _byte_values(bytes(set(range(256)) - _LETTERS))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
+#: Where UTF-8 has no letters. Second bytes after C2 that are letters (the ordinals and the micro sign), those after C3 that aren't (times, divided by).
+_C2_LETTERS, _C3_SIGNS = (0xAA, 0xB5, 0xBA), (0x97, 0xB7)
+
+
+def letters_only(data: np.ndarray) -> np.ndarray:
+    """The bytes with space for punctuation and signs beyond ASCII: Latin-1 signs, U+2000 to U+2BFF and U+2E00 to U+303F, the byte order mark, and emoji (U+1F000 to U+1FFFF)."""
+    out = data
+    padded = np.append(data, np.zeros(3, np.uint8))
+    for lead, width in ((0xC2, 2), (0xC3, 2), (0xE2, 3), (0xE3, 3), (0xEF, 3), (0xF0, 4)):
+        at = np.flatnonzero(data == lead)
+        if not len(at):
+            continue
+        second, third = padded[at + 1], padded[at + 2]
+        if lead == 0xC2:
+            sign = ~np.isin(second, _C2_LETTERS)
+        elif lead == 0xC3:
+            sign = np.isin(second, _C3_SIGNS)
+        elif lead == 0xE2:
+            sign = (second <= 0xAF) | (second >= 0xB8)
+        elif lead == 0xE3:
+            sign = second == 0x80
+        elif lead == 0xEF:
+            sign = (second == 0xBB) & (third == 0xBF)
+        else:
+            sign = second == 0x9F
+        at = at[sign]
+        if len(at):
+            out = out.copy() if out is data else out
+            for k in range(width):
+                out[np.minimum(at + k, len(out) - 1)] = 0x20
+    return out
 
 
 class Words:
     """The words (runs of letters) of a byte block: their number among the block's distinct words, where they start, and the distinct words' features."""
 
     def __init__(self, data: np.ndarray):
+        data = letters_only(data)
         self.starts, hashes = word_hashes(data, _VALUES, _OUTSIDE)
         inside = ~_OUTSIDE[data]
         last = inside.copy()
@@ -52,9 +84,9 @@ class Words:
                 broken |= zero[k - 1 : k - 1 + m] if k > 1 else False  # a word's end lies inside the n-gram
                 key = (key + part + np.uint32(1)) * np.uint32(0x9E3779B1)
                 mixed = key ^ (key >> np.uint32(15))
-                self.features.append(np.where(broken, -1, (mixed % np.uint32(FEATURES - 1)).astype(np.int64) + 1))
-        for f in self.features:
-            f[f < 0] = 0  # feature 0 has no weight
+                feature = (mixed % np.uint32(FEATURES - 1) + np.uint32(1)).astype(np.int16)
+                feature[broken] = 0  # feature 0 has no weight
+                self.features.append(feature)
 
     def scores(self, model: dict) -> np.ndarray:
         """Emission scores of the distinct words: sums of n-gram, affix and lexicon weights."""
@@ -173,12 +205,17 @@ def label_texts(texts: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray
     k = len(model["names"])
     sums, counts, switches = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     pieces: list[tuple[int, bytes]] = []
-    for i, t in enumerate(texts):  # a very long text is cut between words
+    for i, t in enumerate(texts):  # a very long text is cut where a chain ends, so that pieces change no chain
         at = 0
         while len(t) - at > 2 * BLOCK_BYTES:
-            end = at + BLOCK_BYTES
-            while end < len(t) and not _OUTSIDE[t[end]]:
-                end += 1
+            size = BLOCK_BYTES
+            while True:
+                starts = word_hashes(letters_only(np.frombuffer(t, np.uint8, min(size, len(t) - at), at)), _VALUES, _OUTSIDE)[0]
+                whole = (len(starts) - 1) // CHAIN * CHAIN
+                if whole > 0 or size >= len(t) - at:
+                    break
+                size *= 2
+            end = at + int(starts[whole]) if whole > 0 else len(t)
             pieces.append((i, t[at:end]))
             at = end
         pieces.append((i, t[at:] if at else t))
@@ -210,17 +247,13 @@ def label_texts(texts: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray
     return sums, counts, switches
 
 
-def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> dict | None:
-    """Train on about ``max_docs`` labelled rows (doc_id, text, lang), drawn by a hash of the id; None if there is none."""
-    known = docs.where("lang is not null and text is not null")
+def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> dict | None:
+    """Train on a bounded sample of the different labelled rows (doc_id, text, lang), drawn by a hash; None if there is none with letters."""
+    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = known.count()
-    if not n:
-        return None
-    share = min(1.0, max_docs / n)
-    some = known if share == 1 else known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = some.select(F.col("text").cast("binary"), "lang").collect()
+    rows = drawn(known, n, max_docs, max_bytes).select(F.col("text").cast("binary"), "lang").collect() if n else []
     texts, langs = [bytes(r[0]) for r in rows], [r[1] for r in rows]
-    if not any(any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in texts):
+    if not any(len(word_hashes(letters_only(np.frombuffer(t, np.uint8)), _VALUES, _OUTSIDE)[0]) for t in texts):
         return None
     return train(texts, langs)
 
@@ -229,9 +262,10 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """Each row's (doc_id, held_out, lang_pred, score, n_words, n_switches); with ``carry`` after all input columns (theirs of these names go, but for the id).
 
     The model is learned from text and lang of rows whose CRC-32 of the id is not 1 modulo 3, a bounded sample of them; it labels every word
-    of every whole text. A word is a run of letters; a text's words form chains of CHAIN words. lang_pred is the language of the
+    of every whole text. A word is a run of letters (white space and signs end it, so a text in a script without spaces is one word); a text's
+    words form chains of CHAIN words, whatever its length. lang_pred is the language of the
     largest sum of word marginals (ties: first by name), score its mean. A text that is null or has no letter is ``und`` with score 0;
-    so is every text if no labelled row exists. Null ids are not held out (their CRC is null) and never train.
+    so is every text if no labelled row exists. Repeated rows are each labelled. Null ids are not held out (their CRC is null) and never train.
     """
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -256,7 +290,7 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     added = "held_out boolean, lang_pred string, score double, n_words long, n_switches long"
     held = F.coalesce(crc_mod(key, 3) == 1, F.lit(False)).alias("held_out")
     if not carry:
-        return docs.select(F.col(key).alias("doc_id"), held, F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, {added}")
+        return docs.select(F.col(key).alias("doc_id"), held, F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, {added}")
     own = docs.drop("held_out", "lang_pred", "score", "n_words", "n_switches")
     place = own.columns.index(text)
 
@@ -268,7 +302,7 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
     from pyspark.sql.types import StructType
 
-    return own.withColumn("held_out", held).mapInArrow(carried, StructType([*own.schema.fields, *_parsed(added)]))
+    return own.withColumn("held_out", held).mapInArrow(tidy(carried), StructType([*own.schema.fields, *_parsed(added)]))
 
 
 def _parsed(ddl: str) -> list:
