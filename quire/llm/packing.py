@@ -14,13 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 LENGTH = 2048
-#: Rests of documents are cut into pieces of at most so many tokens: smaller pieces balance better.
-PIECE = 512
-#: Windows of one differencing problem, and the tokens left free in each on average.
-WINDOWS, SLACK = 128, 3
+#: Windows of one differencing problem.
+WINDOWS = 128
 #: The id that ends each document.
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,6 +48,7 @@ _encoders: dict[tuple, Callable] = {}
 
 def _encoder(path: str, pattern: str | None) -> Callable[[str], np.ndarray]:
     if (path, pattern) not in _encoders:
+        _encoders.clear()
         _encoders[path, pattern] = encoder(path, pattern)
     return _encoders[path, pattern]
 
@@ -93,19 +92,46 @@ def windows(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
         k += 1
 
 
+def packed(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
+    """Pieces (which, start, size) of each window: as few windows as the sum needs, made near-equal by differencing of whole items; then what a window holds beyond the length is cut off and fills the gaps of others."""
+    got = difference(sizes, max(1, -(-sum(sizes) // length)))
+    out = [[(i, 0, sizes[i]) for i in w] for w in got]
+    sums = [sum(n for _, _, n in w) for w in out]
+    gaps = sorted((w for w in range(len(out)) if sums[w] < length), key=lambda w: sums[w])
+    for w in [w for w in range(len(out)) if sums[w] > length]:
+        while sums[w] > length:
+            over = sums[w] - length
+            # the shortest piece that covers the excess, or else the longest
+            at = min(range(len(out[w])), key=lambda k: (out[w][k][2] < over, out[w][k][2] if out[w][k][2] >= over else -out[w][k][2]))
+            i, start, n = out[w].pop(at)
+            moved = min(over, n)
+            if n > moved:
+                out[w].append((i, start, n - moved))
+            sums[w] -= moved
+            start += n - moved
+            while moved:
+                to = gaps[-1]  # the smallest gap is closed first
+                part = min(moved, length - sums[to])
+                out[to].append((i, start, part))
+                sums[to] += part
+                start, moved = start + part, moved - part
+                if sums[to] == length:
+                    gaps.pop()
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document's ids, then ``end_id``, are cut: whole windows are sequences by themselves, the rest is pieces of at most ``PIECE`` ids.
-    Each task collects pieces into problems of ``WINDOWS`` windows less ``SLACK`` ids each (the last piece is cut to fit) and solves them by
-    differencing; a task's last problem is smaller. Nothing is shuffled, a task holds one problem, and ids repeat if a task is run
-    again. Null and empty texts are the end id alone; repeated rows are packed each; sequence_id is the input partition's number
-    times 2^40 plus a count. No rows give no pieces.
+    A document's ids, then ``end_id``, are cut where needed: whole windows of a long document are sequences by themselves. Each task collects
+    the rests, which are shorter than a window, into problems of ``WINDOWS`` full windows (the last rest is cut to fit) and solves them by differencing;
+    what near-equal windows hold too much is cut off, so most documents lie in one sequence. Only a task's last problem has padding. Nothing is shuffled, a task holds one problem, and ids repeat if a task is run again. Null and empty texts are the
+    end id alone; repeated rows are packed each; sequence_id is the input partition's number times 2^40 plus a count. No rows give
+    no pieces.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    room = WINDOWS * max(1, length - SLACK)
-    piece = max(1, min(PIECE, length // 2))
+    room = WINDOWS * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -113,17 +139,23 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, key: str =
         encode = _encoder(tokenizer, pattern)
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 40
-        held: list[tuple] = []  # (size, doc_id, start, document's ids, bytes)
+        held: list[tuple] = []  # (doc_id, start, document's ids, bytes of the ids)
         size = 0
         out: list[tuple] = []
 
         def solve() -> None:
             nonlocal next_id, held, size
-            for window in windows([x[0] for x in held], length):
+            for window in packed([len(x[3]) // 4 for x in held], length):
                 offset = 0
-                for i in sorted(window):
-                    n, doc, start, total, crc = held[i]
-                    out.append((doc, start, n, crc, total, next_id, offset))
+                joined: list[list[int]] = []
+                for i, at, n in sorted(window):  # neighbouring pieces of a document are one
+                    if joined and joined[-1][0] == i and joined[-1][1] + joined[-1][2] == at:
+                        joined[-1][2] += n
+                    else:
+                        joined.append([i, at, n])
+                for i, at, n in joined:
+                    doc, start, total, raw = held[i]
+                    out.append((doc, start + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), total, next_id, offset))
                     offset += n
                 next_id += 1
             held, size = [], 0
@@ -143,8 +175,8 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, key: str =
                     next_id += 1
                     at += length
                 while at < total:
-                    n = min(piece, total - at, room - size)
-                    held.append((n, doc, at, total, zlib.crc32(raw[4 * at : 4 * (at + n)])))
+                    n = min(total - at, room - size)
+                    held.append((doc, at, total, bytes(raw[4 * at : 4 * (at + n)])))
                     at += n
                     size += n
                     if size == room:
@@ -156,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str | None = None, key: str =
         if out:
             yield flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
