@@ -441,9 +441,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         comps = staged(components(links.union(more)), "comps")
 
     named = classes.select(*SET, "rows", "node", "class_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    roots = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    groups = staged(named.join(roots, "comp").select(*SET, "rows", "class_id", "component_id"), "groups")
-    unstage(met, left, mixed, classes, star)
+    named = staged(named, "named")
+    roots = staged(named.groupBy("comp").agg(F.min("class_id").alias("component_id"), F.count("*").alias("members")), "roots")
+    groups = staged(join_groups(named, roots, ["comp"], "members", rows).select(*SET, "rows", "class_id", "component_id"), "groups")
+    unstage(met, left, mixed, classes, star, named, roots)
     out = join_groups(texts.where("n > 0").select("doc_id", *SET), groups, list(SET), "rows", rows)
     alone = texts.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return out.select("doc_id", "n", "component_id", "class_id").unionByName(alone).withColumnRenamed("n", "n_shingles")
