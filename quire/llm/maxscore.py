@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Vectors of a shard, queries of a block, and groups of shards that a block meets in parallel.
-SHARD, BLOCK, GROUPS = 4096, 512, 24
+from .common import small_batches, tidy
+
+#: Vectors of a shard, queries of a block (8 MB of 64 components; each vector is moved once for each block), and the least groups of shards that a block meets in parallel.
+SHARD, BLOCK, GROUPS = 4096, 16384, 24
 #: Terms probed at once.
 STEP = 8
 
@@ -81,7 +83,7 @@ def _blocks(df: DataFrame, size: int, cols: str) -> DataFrame:
         for part in list(held):
             yield out(part)
 
-    return df.select(*cols.split()).mapInArrow(run, "part int, ids binary, vs binary")
+    return df.select(*cols.split()).mapInArrow(tidy(run), "part int, ids binary, vs binary")
 
 
 def topk(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -93,7 +95,7 @@ def topk(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id"
     Queries go in blocks of ``BLOCK`` against shards of ``SHARD`` rows; each task keeps k rows for each query of its block, and the
     shards' results are merged by rank.
     """
-    spark = vectors.sparkSession
+    small_batches(vectors.sparkSession)
     x = F.col("embedding")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
     fine = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
@@ -107,13 +109,14 @@ def topk(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id"
             flat = b.column(2).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, width)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in flat], pa.binary())], ["vec_id", "q", "v"])
 
-    rows = rows.select("vec_id", "q", "v").mapInArrow(pack, "vec_id long, q boolean, v binary")
+    rows = rows.select("vec_id", "q", "v").mapInArrow(tidy(pack), "vec_id long, q boolean, v binary")
     queries = rows.where("q").dropDuplicates(["vec_id"])
     blocks = max(1, -(-queries.count() // BLOCK))
+    groups = max(GROUPS, -(-rows.count() // (16 * SHARD)))  # a task meets 16 shards or so
     of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     asked = queries.withColumn("part", of(blocks)).repartition(blocks, "part")
-    asked = _blocks(asked, BLOCK, "part vec_id v").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).select(F.col("part").alias("block"), "g", F.col("ids").alias("qids"), F.col("vs").alias("qs"))
-    shards = _blocks(rows.withColumn("part", of(GROUPS)), SHARD, "part vec_id v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", F.col("part").alias("g"), "ids", "vs")
+    asked = _blocks(asked, BLOCK, "part vec_id v").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(F.col("part").alias("block"), "g", F.col("ids").alias("qids"), F.col("vs").alias("qs"))
+    shards = _blocks(rows.withColumn("part", of(groups)), SHARD, "part vec_id v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", F.col("part").alias("g"), "ids", "vs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}
@@ -129,7 +132,7 @@ def topk(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id"
             for qids, qs, ids, vs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 qids, ids = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
                 q, x = _matrix(qs, width), _matrix(vs, width).T
-                if len(best) + len(qids) > 16 * BLOCK:
+                if len(best) + len(qids) > 4 * BLOCK:
                     yield flush()
                 most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * width * 2
                 kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else object  # exact for integers of these sizes
@@ -149,7 +152,7 @@ def topk(vectors: DataFrame, is_query: F.Column, k: int = 5, key: str = "vec_id"
         yield flush()
 
     met = asked.hint("merge").join(shards, ["block", "g"]).select("qids", "qs", "ids", "vs")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = met.mapInArrow(tidy(search), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

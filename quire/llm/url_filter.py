@@ -54,8 +54,10 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", at: st
     A pattern matches its host and all subdomains, with a path also every path below it. The most specific active pattern decides:
     more labels, then more path segments; without one, ``keep``. A null or malformed URL and a null date match nothing. Repeated captures
     stay repeated. A capture is expanded only into the keys that patterns of this list can have (their largest numbers of labels and
-    segments), so no key of a long URL is lost; the as-of condition is part of the equi-join on the key. The list is broadcast only if
-    counted small; a hot host is otherwise split by AQE.
+    segments), so no key of a long URL is lost; the as-of condition is part of the equi-join on the key. Only keys that match are
+    grouped by capture, and only a row number and the winner of each come back to the captures. The list is broadcast only if counted small; a hot
+    host is otherwise split by AQE. Captures must come from files or staged tables, which give the same rows when read twice; extra
+    columns are left out, and an empty table gives no rows.
     """
     valid = intervals(entries)
     labels = F.size(F.split(F.element_at(F.split("pattern", "/"), 1), r"\."))
@@ -72,16 +74,14 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", at: st
         f"flatten(transform(hosts, h -> transform(sequence(0, least(size(s), {deep or 0})), "
         "d -> struct(h.labels as labels, d as segments, concat_ws('/', h.name, case when d > 0 then concat_ws('/', slice(s, 1, d)) end) as pattern))))"
     )
-    tried = keys.select("row", "page_id", "url", "host", "fetched_on", F.explode_outer(pats).alias("k")).select("row", "page_id", "url", "host", "fetched_on", "k.*")
+    tried = keys.select("row", "fetched_on", F.explode(pats).alias("k")).select("row", "fetched_on", "k.*")
     right = F.broadcast(valid) if n <= BROADCAST_ROWS else valid.hint("merge")
     hit = tried.alias("t").join(
         right.alias("v"),
         (F.col("t.pattern") == F.col("v.pattern")) & (F.col("v.valid_from") <= F.col("t.fetched_on")) & (F.col("v.valid_to").isNull() | (F.col("t.fetched_on") < F.col("v.valid_to"))),
-        "left",
     )
-    best = F.when(F.col("v.pattern").isNotNull(), F.struct(F.col("t.labels"), F.col("t.segments"), F.col("v.pattern"), F.col("v.action"), F.col("v.valid_from"), F.col("v.valid_to")))
-    out = hit.groupBy("t.row", "t.page_id", "t.url", "t.host", "t.fetched_on").agg(F.max(best).alias("b"))
-    return out.select(
+    best = hit.groupBy("t.row").agg(F.max(F.struct("t.labels", "t.segments", "v.pattern", "v.action", "v.valid_from", "v.valid_to")).alias("b"))
+    return rows.join(best, "row", "left").select(
         "page_id", "url", "host", "fetched_on", F.coalesce("b.action", F.lit("keep")).alias("decision"), F.col("b.pattern").alias("matched"), F.col("b.valid_from").alias("valid_from"), F.col("b.valid_to").alias("valid_to")
     )
 
