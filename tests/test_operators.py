@@ -123,12 +123,12 @@ def brute_edits(a, b):
 
 def test_cer_pairs_reads_whole_turns(spark, tmp_path):
     pairs = [("s" * 60 + "tail", "s" * 60 + "other"), ("sé😀", "se"), ("", "abc"), ("kitten " * 40, "sitting " * 30), ("é" * 70, "è" + "é" * 69), (None, "x")]
-    got = {r.conv_id: r.edits for r in catalog.cer_pairs_whole(spark, turns(spark, tmp_path, pairs)).collect()}
+    got = {r.conv_id: r.edits for r in catalog.cer_pairs(spark, turns(spark, tmp_path, pairs)).collect()}
     assert got == {i: None if a is None else brute_edits(a, b) for i, (a, b) in enumerate(pairs)}
 
 
 def test_note_dupes_reads_whole_lines(spark, tmp_path):
     same = "these first thirty characters are the same in"
     answers = [f"{same} one\n{same} both of them", f"{same} two\n{same.upper()}  both of them\n\nonly four words here"]
-    got = {tuple(r) for r in catalog.alignment_note_dupes_whole(spark, turns(spark, tmp_path, [("q", x) for x in answers])).collect()}
+    got = {tuple(r) for r in catalog.alignment_note_dupes(spark, turns(spark, tmp_path, [("q", x) for x in answers])).collect()}
     assert got == {(0, 1, 1, "repeated"), (1, 1, 1, "repeated"), (1, 1, 2, "short")}
