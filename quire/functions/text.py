@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 TERMINAL = r"[.!?…:][\"'»”’)\]*_]*$"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it: expressions otherwise grow with every use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters; null text has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), F.array().cast("array<string>"))
