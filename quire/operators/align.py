@@ -27,9 +27,23 @@ def ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
     return t.select(key, F.posexplode(F.expr(f"transform(sequence(1, size(t) - {n - 1}), i -> concat_ws(' ', slice(t, i, {n})))")).alias("pos", "gram"))
 
 
+#: Grams of a witness set that are broadcast as 8-byte hashes to thin out the texts' grams; larger sets are joined as they are.
+MOST_GRAMS = 2_000_000
+
+
+def known_grams(docs: DataFrame, items: DataFrame, n: int, key: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """The grams of both sides, those of the texts only where the items may have them: by hashes, so texts' other grams are never shuffled."""
+    ours, theirs = ngrams(docs, key, n), ngrams(items, item, n)
+    hashes = theirs.select(F.xxhash64("gram").alias("_h")).distinct()
+    if hashes.count() <= MOST_GRAMS:
+        ours = ours.withColumn("_h", F.xxhash64("gram")).join(F.broadcast(hashes), "_h", "left_semi").drop("_h")
+    return ours, theirs
+
+
 def candidate_pairs(docs: DataFrame, items: DataFrame, n: int = 5, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """(key, item) that share an n-gram: the pairs that the other operators compare."""
-    return ngrams(docs, key, n).select(key, "gram").join(ngrams(items, item, n).select(item, "gram"), "gram").select(key, item).distinct()
+    ours, theirs = known_grams(docs, items, n, key, item)
+    return ours.select(key, "gram").distinct().join(theirs.select(item, "gram").distinct(), "gram").select(key, item).distinct()
 
 
 def omission_runs(docs: DataFrame, items: DataFrame, pairs: DataFrame, least: int = 4, key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -52,7 +66,8 @@ def bag_collation(docs: DataFrame, items: DataFrame, pairs: DataFrame, key: str
 
 def shingle_offsets(docs: DataFrame, items: DataFrame, n: int = 5, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """(key, item, offset, votes): the offset that most shared n-grams agree on, ties to the smallest. [J9]"""
-    met = ngrams(docs, key, n).alias("x").join(ngrams(items, item, n).alias("y"), F.col("x.gram") == F.col("y.gram"))
+    ours, theirs = known_grams(docs, items, n, key, item)
+    met = ours.alias("x").join(theirs.alias("y"), F.col("x.gram") == F.col("y.gram"))
     votes = met.groupBy(key, item, (F.col("x.pos") - F.col("y.pos")).cast("long").alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy(key, item).agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("m"))
     return best.select(key, item, (-F.col("m.o")).alias("offset"), F.col("m.votes").alias("votes"))

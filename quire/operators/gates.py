@@ -12,7 +12,8 @@ from quire.functions.notes import markdown_signature, note_bodies, note_is_whole
 from quire.functions.unicode import fold
 
 # Patterns of identifiers, longest texts of fields, fields that a text needs, vocabularies.
-SLUG, KEY = r"^[a-z0-9]+(?:-[a-z0-9]+)*$", r"^[A-Za-z0-9][A-Za-z0-9._:-]*$"
+SLUG, SLUG_PATH, KEY = r"^[a-z0-9-]+$", r"^[a-z0-9-]+(/[a-z0-9-]+)*$", r"^[a-z0-9][a-z0-9._:-]*$"
+IDENTIFIERS = dict.fromkeys(("slug", "author_slug", "duplicate"), SLUG) | dict.fromkeys(("section_path", "parent_path"), SLUG_PATH) | dict.fromkeys(("section_key", "parent_key", "source_key", "author_key"), KEY)
 LONGEST = {"title": 500, "original_title": 500, "canonical_locus": 500, "commented_locus": 500, "source_url": 1000, "license_url": 1000, "description": 10000}
 TEXT_NEEDS = ("language", "source_key", "role", "license_code", "rights_basis")
 OWN_BASES = ("public_domain_edition", "public_domain_life_70", "own_contribution")
@@ -43,7 +44,7 @@ def note_ends(texts: DataFrame, key: str = "section_key", text: str = "content")
     return rows.select(key, "block", F.explode(note_bodies("body")).alias("note")).where(~note_is_whole("note"))
 
 
-def identifier_problems(fields: DataFrame, patterns: dict[str, str], longest: dict[str, int] = LONGEST) -> DataFrame:
+def identifier_problems(fields: DataFrame, patterns: dict[str, str] = IDENTIFIERS, longest: dict[str, int] = LONGEST) -> DataFrame:
     """(section_key, field, problem) of fields (section_key, field, value), at any depth of a batch: values off their pattern or too long. [P8]"""
     spark = fields.sparkSession
     rules = F.broadcast(spark.createDataFrame([(f, p, None) for f, p in patterns.items()] + [(f, None, n) for f, n in longest.items()], "field string, pattern string, longest int"))

@@ -66,6 +66,29 @@ def respell(lexicon: DataFrame, rows=SPELLING) -> DataFrame:
     return best.where("b.old <> b.edition").select("form", F.concat("b.edition", F.expr("substr(form, length(b.old) + 1)")).alias("new"), "n")
 
 
+def respell_words(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """(word, new, form) for words that a spelling map changes; rows are (form, edition, ending). [T9]
+
+    The longest form that a word begins with decides, one for whole words (``form$``) before others of its length. A form with a capital minds case, but
+    also meets words in capitals. ``ending`` rows meet the end of longer words. A row whose edition is its form keeps the word. The case
+    of the word stays.
+    """
+    from quire.operators.expand import recased
+
+    table = rows.select(F.regexp_replace("form", r"\$$", "").alias("form"), "edition", F.coalesce("ending", F.lit(False)).alias("ending"), F.col("form").endswith("$").alias("whole"))
+    table = table.withColumns({"exact": F.col("form") != F.lower("form"), "_key": F.lower("form")})
+    words = words.select("word").distinct().withColumn("low", F.lower("word"))
+    heads = words.select("word", "low", F.explode(F.expr("transform(sequence(1, length(low)), k -> substr(low, 1, k))")).alias("_key"), F.lit(False).alias("_tail"))
+    tails = words.where("length(low) > 1").select("word", "low", F.explode(F.expr("transform(sequence(2, length(low)), k -> substr(low, k))")).alias("_key"), F.lit(True).alias("_tail"))
+    met = heads.unionByName(tails).join(table, "_key").where("ending = _tail and (not whole or length(form) = length(low))")
+    upper = (F.col("word") == F.upper("word")) & (F.col("word") != F.lower("word"))
+    fits = ~F.col("exact") | F.col("word").startswith(F.col("form")) | (upper & F.col("word").startswith(F.upper("form")))
+    best = met.where(fits).groupBy("word", "low").agg(F.max(F.struct(F.length("form").alias("n"), "whole", "form", "edition", "ending")).alias("b")).select("word", "low", "b.*")
+    ended = F.concat(F.expr("substr(word, 1, length(word) - n)"), "edition")
+    new = F.when(F.col("ending"), F.when(upper & (F.length("word") > 1), F.upper(ended)).otherwise(ended)).otherwise(recased(F.col("word"), F.concat("edition", F.expr("substr(low, n + 1)"))))
+    return best.where("edition <> form").select("word", new.alias("new"), "form").where("new <> word")
+
+
 def pair_majority(docs: DataFrame, pairs, by: str = "source") -> DataFrame:
     """(by, a, b, n_a, n_b, winner) of two spellings counted over a work; ties go to the first, and only pairs with both are returned. [A6]"""
     table = docs.sparkSession.createDataFrame(list(pairs), "a string, b string")

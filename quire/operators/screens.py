@@ -7,9 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import ends_open, lines, starts_lower, tokens, words
+from quire.functions.unicode import CLASSES, class_pattern, composed
 
 # Residue labels with their patterns, and the scripts counted as foreign.
 RESIDUE = (("stray-asterisks", r"\*\*\*"), ("comment", r"<!--"), ("todo", r"TODO|XXX"), ("uncertain", r"\[\?\]"), ("wrapper", r"<<<|>>>"), ("soft-hyphen", "­"), ("url", r"https?://"), ("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"))
+# What may not be left in a text that is published, a space before a Latin stop, and words that hand work on.
+LEFTOVERS = (
+    ("sentinel", r"[⟦⟪][^⟧⟫]*[⟧⟫]"), ("html comment", r"<!--"), ("zone marker", r"<<<|>>>"), ("wrapper tag", r"</?content>"), ("soft hyphen", "\u00ad"), ("uncertainty mark", r"(?i)\[illegible|\[\?\]|\(\?\)"),
+    ("todo", r"(?<![A-ZÁÉÍÓÚÜÑ] )\b(?:TODO|TBD|FIXME)\b(?! [A-ZÁÉÍÓÚÜÑ]{2})|(?<![IVXLCDM])XXX(?![IVXLCDM]|[.,]? ?\p{Lu})"), ("placeholder", r"\[(?:Block|Translation|Paragraph) \d+[^\]]*\]"),
+    ("stray asterisk", r"(?<=\s)\*+(?=\s)"), ("italic numeral", r"(?m)^(?:\d+\*\.|\*\d+\.\*)\s"), ("note cut mid-word", r"\p{L}-\s*\]"),
+    ("unfinished note", r"(?i)Editor['’]s note:[^\]]*?(?:no continuation|ends the note here|note (?:is )?(?:cut|truncated))"),
+)
+SPACE_BEFORE = r"(?m)(?<=[^\s\"'“‘«(\[{—–-])[ \t]+[,;:!?](?=\s|$)"
 SCRIPTS = ("Cyrillic", "Greek", "Hebrew", "Arabic", "Han")
 LIGATURES, ACCENTS = "æœÆŒﬀﬁﬂﬃﬄﬅﬆ", "àáâèéêìíîòóôùúûÀÁÂÈÉÊÌÍÎÒÓÔÙÚÛ"
 
@@ -41,6 +50,43 @@ def orthography(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
     return out.where(~F.col("token").isin(*allow)) if allow else out
 
 
+def print_forms(docs: DataFrame, allow: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """(category, token, n) of what an edition may not keep, in how many places: the character classes, once a token each; the -que mark; j, qv, and V for a vowel in capitals; ñ as low-enye. [P1]
+
+    Words between white space are cut at emphasis marks and lose stops and brackets; comments, link targets and the editor's notes are not read.
+    """
+    body = composed(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"\|[^\]|]*\]\]", "]]"), r"\^\[(?:\d+\.\s*)?(?i:Editor['’]s note|Editorial note)[^\[\]]*\]", " "))
+    rows = docs.where(F.col(text).isNotNull()).select(body.alias("t"))
+    strip = lambda c: F.regexp_replace(c, r"^[.,;:!?()\[\]«»\"'_^]+|[.,;:!?()\[\]«»\"'_^]+$", "")
+    pieces = rows.select(F.explode(F.split("t", r"\s+|[*_`]+")).alias("w")).select(strip(F.col("w")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    kinds = [F.when(F.col("token").rlike(class_pattern(k)), k) for k in CLASSES] + [F.when(F.col("token").rlike("[ñÑ]"), "low-enye")]
+    found = pieces.select(F.explode(F.array_compact(F.array(*kinds))).alias("category"), "token", "n")
+    marks = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}*[qQ][;:]"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(F.lit("abbrev-mark").alias("category"), "token", "n")
+    letters = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    token = F.col("token")
+    capital = (F.length(token) >= 3) & (token == F.upper(token)) & (token != F.lower(token)) & ~token.rlike("^[IVXLCDM]+$")
+    more = [F.when(token.rlike("[jJ]"), "consonantal-j"), F.when(capital & token.rlike("QV|V(?=[^AEIOUY])|V$"), "caps-v"), F.when(token.rlike("[qQ]v"), "qv")]
+    found = found.unionByName(marks).unionByName(letters.select(F.explode(F.array_compact(F.array(*more))).alias("category"), "token", "n"))
+    return found.where(~token.isin(*allow)) if allow else found
+
+
+def script_contexts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3, around: int = 20) -> DataFrame:
+    """(script, ch, n, contexts): characters of foreign scripts, how often, and up to ``most`` contexts, those of the least keys. [P2]"""
+    name = F.coalesce(*[F.when(F.col("ch").rlike(rf"\p{{Is{s}}}"), s) for s in SCRIPTS], F.when(F.col("ch").rlike("[\uff00-\uffef]"), "Fullwidth"))
+    foreign = "[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "\uff00-\uffef]"
+    rows = docs.where(F.col(text).rlike(foreign)).select(key, text, F.explode(F.regexp_extract_all(text, F.lit(foreign), F.lit(0))).alias("ch")).groupBy(key, text, "ch").agg(F.count("*").alias("n"))
+    at = F.instr(F.col(text), F.col("ch"))
+    rows = rows.select(key, "ch", "n", F.substr(F.col(text), F.greatest(at - around, F.lit(1)), F.least(at, F.lit(around + 1)) + around).alias("context"))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("ch").orderBy(key)))
+    return rows.groupBy("ch").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_k") <= most, F.col("context")))).alias("contexts")).withColumn("script", name)
+
+
+def leftovers(texts: DataFrame, keys: list[str], text: str = "content", latin: str = "la") -> DataFrame:
+    """(keys, label, n) of what may not be left in a text; a space before a stop counts in Latin alone (a column language). [P3]"""
+    rows = residue(texts, keys, text, LEFTOVERS)
+    return rows.unionByName(residue(texts.where(F.col("language") == latin), keys, text, (("space before punctuation", SPACE_BEFORE),)))
+
+
 def residue(units: DataFrame, keys: list[str], text: str = "text", patterns=RESIDUE) -> DataFrame:
     """(keys, label, n) of the patterns that occur in a unit. [P3]"""
     counts = F.array(*[F.struct(F.lit(a).alias("label"), F.regexp_count(F.col(text), F.lit(p)).cast("long").alias("n")) for a, p in patterns])

@@ -24,17 +24,17 @@ def read_pages(spark: SparkSession, folder: str, first: int, last: int, number:
 
 
 def read_tsv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """A tab-separated table with a header and a given schema; malformed rows are an error. [S2, S3]"""
+    """A tab-separated table with a header and a given schema; malformed rows are an error (``corpus.read_table`` checks rules too). [S4]"""
     return spark.read.csv(path, sep="\t", header=True, schema=columns, mode="FAILFAST", quote="", comment="#")
 
 
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Nested documents with a given schema. [S4]"""
+    """Nested documents with a given schema. [S11]"""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def write_if_clean(df: DataFrame, findings: DataFrame, path: str) -> int:
-    """Write only if there is no finding; returns how many there are. [S10, K1]"""
+    """Write only if there is no finding; returns how many there are. [K1]"""
     n = findings.count()
     if not n:
         df.write.parquet(path)

@@ -1,6 +1,6 @@
 """Gates and the ledger on small rows."""
 
-from quire.operators import gates, ledger
+from quire.operators import gates, ledger, lexicon, screens
 
 
 def pairs(df, *cols):
@@ -84,3 +84,20 @@ def test_incidents_waivers_and_notes(spark):
     assert pairs(gates.signature_mismatch(both, cleared), "k") == [(3,)]
     assert gates.union_findings(("a", both.select("k")), ("b", texts)).count() == 6
     assert pairs(gates.add_unseen(both, both.selectExpr("k + 2 as k", "source", "target"), "k"), "k") == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_orthography_and_leftovers(spark):
+    docs = spark.createDataFrame([(1, "ſic *quòd* æs & neq; Julius QVOD XIV ñu qvis <!-- ſ --> ^[Editor's note: ſic]"), (2, "ſic λόγος до"), (3, None)], "doc_id long, text string")
+    got = pairs(screens.print_forms(docs, allow=("ñu",)), "category", "token", "n")
+    assert got == [("abbrev-mark", "neq;", 1), ("accent", "quòd", 1), ("ampersand", "&", 1), ("caps-v", "QVOD", 1), ("consonantal-j", "Julius", 1), ("ligature", "æs", 1), ("long-s", "ſic", 2), ("qv", "qvis", 1)]
+    found = {r.ch: (r.script, r.n, r.contexts) for r in screens.script_contexts(docs).collect()}
+    assert found["д"] == ("Cyrillic", 1, ["ſic λόγος до"]) and found["ο" if "ο" in found else "ό"][0] == "Greek"
+    texts = spark.createDataFrame([("a", "la", "⟦x⟧ est ; TODO * [?]\n*3.* y ap-]"), ("b", "fr", "est ; DE TODO GÉNERO XXXIV"), ("c", "en", None)], "section_key string, language string, content string")
+    assert pairs(screens.leftovers(texts, ["section_key"]), "section_key", "label") == [("a", "italic numeral"), ("a", "note cut mid-word"), ("a", "sentinel"), ("a", "space before punctuation"), ("a", "stray asterisk"), ("a", "todo"), ("a", "uncertainty mark")]
+
+
+def test_spelling_map(spark):
+    rows = spark.createDataFrame([("theat", "that", False), ("there", "there", False), ("ther", "their", False), ("on$", "un", False), ("Silvius", "Sylvius", False), ("cion", "tion", True)], "form string, edition string, ending boolean")
+    words = spark.createDataFrame([(w,) for w in ("Theatre", "THEAT", "therein", "thereof", "other", "thers", "on", "one", "ON", "Silvius", "SILVIUS", "silvius", "nacion", "NACION", "cion", None)], "word string")
+    got = {r.word: r.new for r in lexicon.respell_words(words, rows).collect()}
+    assert got == {"Theatre": "Thatre", "THEAT": "THAT", "thers": "theirs", "on": "un", "ON": "UN", "Silvius": "Sylvius", "SILVIUS": "SYLVIUS", "nacion": "nation", "NACION": "NATION"}
