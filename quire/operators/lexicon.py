@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,30 +10,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import fold_accents, tokens
-from quire.functions.unicode import class_pattern, words_of
+from quire.functions.unicode import class_count, class_pattern, words_of
 
 #: Forms of old print, left out of a dictionary: j, qv, and any long s, ligature, accent or abbreviation mark.
 PRINT_FORM = "[jJ]|[qQ][vV]|" + class_pattern()
+#: Lists of up to so many digests of texts with copies are broadcast.
+MOST_COPIES = 1_000_000
 # Ordered rewrites that tell spelling variants, and a spelling map (form, edition; equal ones shield).
 REWRITES = (("ae", "e"), ("oe", "e"), ("ph", "f"), ("th", "t"), ("ch", "c"), ("y", "i"), ("ti", "ci"), ("ss", "s"), ("nn", "n"), ("tt", "t"))
 SPELLING = (("theat", "that"), ("ther", "their"), ("there", "there"), ("thr", "tr"), ("on", "un"), ("one", "one"), ("wh", "w"), ("le", "la"), ("les", "les"), ("an", "ane"))
 
 
-def build(docs: DataFrame, text: str = "text", by: str | None = None, exclude: str = PRINT_FORM) -> DataFrame:
+def is_print_form(form: Column) -> Column:
+    """Whether a form matches PRINT_FORM."""
+    return form.rlike("[jJ]|[qQ][vV]") | (class_count(form) > 0)
+
+
+def build(docs: DataFrame, text: str = "text", by: str | None = None, exclude: Callable[[Column], Column] = is_print_form) -> DataFrame:
     """(form, n), for each ``by`` value if given: lower-case letter tokens of the distinct texts, without excluded forms. [A1, T1, O4]
 
     Equal texts have equal tokens, so the tokens of texts with c copies are counted in all copies and divided by c: only digests are
-    grouped, and only the list of those with copies, broadcast by Spark if it is small, meets the texts.
+    grouped, and only the list of those with copies meets the texts: by broadcast if it counts as small, so that texts aren't shuffled.
     """
     keys = [by] if by else []
     rows = docs.select(*keys, text).where(F.col(text).isNotNull()).withColumn("_d", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
     copies = rows.groupBy(F.col("_d").alias("_of"), *[F.col(k).alias("_by") for k in keys]).agg(F.count("*").alias("_c")).where("_c > 1")
+    copies = F.broadcast(copies) if copies.count() <= MOST_COPIES else copies
     on = F.col("_d") == F.col("_of")
     if by:
         on = on & F.col(by).eqNullSafe(F.col("_by"))
-    forms = rows.join(copies, on, "left").select(*keys, F.coalesce("_c", F.lit(1)).alias("_c"), F.explode(words_of(F.col(text))).alias("form"))
-    forms = forms.where(~F.col("form").rlike(exclude)).groupBy(*keys, "_c", F.lower("form").alias("form")).agg(F.count("*").alias("n"))
-    return forms.groupBy(*keys, "form").agg(F.sum(F.expr("n div _c")).alias("n"))
+    met = rows.join(copies, on, "left").select(*keys, F.coalesce("_c", F.lit(1)).alias("_c"), F.explode(words_of(F.col(text))).alias("form"))
+    forms = met.groupBy(*keys, "_c", "form").agg(F.count("*").alias("n"))  # so patterns see each form once
+    return forms.where(~exclude(F.col("form"))).groupBy(*keys, F.lower("form").alias("form")).agg(F.sum(F.expr("n div _c")).alias("n"))
 
 
 def out_of_vocabulary(texts: DataFrame, lexicon: DataFrame, least_length: int = 4, min_count: int = 1, text: str = "text") -> DataFrame:

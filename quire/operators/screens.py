@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import ends_open, lines, starts_lower, tokens, words
-from quire.functions.unicode import CLASSES, class_pattern, composed
+from quire.functions.unicode import CLASSES, class_count, composed
 
 # Residue labels with their patterns, and the scripts counted as foreign.
 RESIDUE = (("stray-asterisks", r"\*\*\*"), ("comment", r"<!--"), ("todo", r"TODO|XXX"), ("uncertain", r"\[\?\]"), ("wrapper", r"<<<|>>>"), ("soft-hyphen", "­"), ("url", r"https?://"), ("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"))
@@ -59,7 +59,7 @@ def print_forms(docs: DataFrame, allow: tuple[str, ...] = (), text: str = "text"
     rows = docs.where(F.col(text).isNotNull()).select(body.alias("t"))
     strip = lambda c: F.regexp_replace(c, r"^[.,;:!?()\[\]«»\"'_^]+|[.,;:!?()\[\]«»\"'_^]+$", "")
     pieces = rows.select(F.explode(F.split("t", r"\s+|[*_`]+")).alias("w")).select(strip(F.col("w")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
-    kinds = [F.when(F.col("token").rlike(class_pattern(k)), k) for k in CLASSES] + [F.when(F.col("token").rlike("[ñÑ]"), "low-enye")]
+    kinds = [F.when(class_count(F.col("token"), k) > 0, k) for k in CLASSES] + [F.when(F.col("token").rlike("[ñÑ]"), "low-enye")]
     found = pieces.select(F.explode(F.array_compact(F.array(*kinds))).alias("category"), "token", "n")
     marks = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}*[qQ][;:]"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select(F.lit("abbrev-mark").alias("category"), "token", "n")
     letters = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
