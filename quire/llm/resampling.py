@@ -39,10 +39,14 @@ def featured(rows: DataFrame, text: str) -> DataFrame:
 
 
 def totals(rows: DataFrame, text: str) -> list[int]:
-    """How many features of all rows each bucket has. Each task sums its own first, so only totals are shuffled."""
+    """How many features of all rows each bucket has. Each task sums its own first, so only totals are shuffled.
+
+    The outer form of explode keeps Spark from asking for the arrays' sizes in a filter before it, which would make every array again.
+    """
     out = [0] * BUCKETS
-    for r in featured(rows.select(text), text).select(F.explode("buckets").alias("b")).groupBy("b").count().collect():
-        out[r.b] = r["count"]
+    for r in featured(rows.select(text), text).select(F.explode_outer("buckets").alias("b")).groupBy("b").count().collect():
+        if r.b is not None:
+            out[r.b] = r["count"]
     return out
 
 
