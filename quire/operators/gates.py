@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.automaton import bounded, phrase_hits
 from quire.functions.notes import markdown_signature, note_bodies, note_is_whole, text_paragraphs
 from quire.functions.unicode import fold
 
@@ -16,6 +17,11 @@ SLUG, SLUG_PATH, KEY = r"^[a-z0-9-]+$", r"^[a-z0-9-]+(/[a-z0-9-]+)*$", r"^[a-z0-
 IDENTIFIERS = dict.fromkeys(("slug", "author_slug", "duplicate"), SLUG) | dict.fromkeys(("section_path", "parent_path"), SLUG_PATH) | dict.fromkeys(("section_key", "parent_key", "source_key", "author_key"), KEY)
 LONGEST = {"title": 500, "original_title": 500, "canonical_locus": 500, "commented_locus": 500, "source_url": 1000, "license_url": 1000, "description": 10000}
 TEXT_NEEDS = ("language", "source_key", "role", "license_code", "rights_basis")
+# Types and titles of sections that only lead to other pages.
+CONTENTS_TYPES = ("toc", "contents", "table_of_contents")
+CONTENTS_TITLE = r"(?i)^(?:table of contents|contents|tabula (?:contentorum|materiarum)|index capitulorum)$"
+INDEX_TITLE = r"(?i)^index\b"
+INDEX_OF = r"(?i)\b(?:sententiarum|rerum|materiarum|locorum|verborum|nominum|copiosissimus)\b"
 OWN_BASES = ("public_domain_edition", "public_domain_life_70", "own_contribution")
 CATEGORIES = ("omission", "addition", "transposition", "misreading", "normalization", "structure", "translation")
 VERDICTS = ("open", "corrected", "retained", "editorial-note", "withdrawn")
@@ -78,7 +84,7 @@ def structure(sections: DataFrame, texts: DataFrame) -> DataFrame:
     """
     mine = ["work", "parent_key"]
     label = F.upper(F.trim(F.regexp_replace(F.regexp_extract("title", LABEL, 0), r"[^\p{L}\p{N}_]+", " ")))
-    rows = sections.withColumn("_label", F.when(F.ltrim("title").rlike("^" + LABEL.replace(r"\b(?:", "(?:", 1).replace("(?i)", "(?i)")), label))
+    rows = sections.withColumn("_label", F.when(F.ltrim("title").rlike("^" + LABEL.replace(r"\b(?:", "(?:", 1)), label))
     nth = lambda c: F.row_number().over(W.partitionBy(*mine, c).orderBy("section_key"))
     rows = rows.withColumns({"_seq": nth("sequence"), "_lab": nth("_label")})
     filled = texts.where(~_blank("content"))
@@ -90,10 +96,10 @@ def structure(sections: DataFrame, texts: DataFrame) -> DataFrame:
     for other in (children, heading, located, numbers):
         rows = rows.join(other, [c for c in ("work", "section_key") if c in other.columns], "left")
     kind, title = F.lower(F.coalesce("section_type", F.lit(""))), F.trim("title")
-    contents = kind.isin("toc", "contents", "table_of_contents") | title.rlike("(?i)^(?:table of contents|contents|tabula (?:contentorum|materiarum)|index capitulorum)$")
-    index = (kind == "index") | title.rlike(r"(?i)^index\b")
+    contents = kind.isin(*CONTENTS_TYPES) | title.rlike(CONTENTS_TITLE)
+    index = (kind == "index") | title.rlike(INDEX_TITLE)
     many = ((F.col("_n") >= 10) & (F.col("_located") * 2 >= F.col("_n"))) | (
-        title.rlike(r"(?i)\b(?:sententiarum|rerum|materiarum|locorum|verborum|nominum|copiosissimus)\b") & (F.col("_numbers") >= 10) & (F.col("_numbers") * 100 >= F.col("_words") * 7)
+        title.rlike(INDEX_OF) & (F.col("_numbers") >= 10) & (F.col("_numbers") * 100 >= F.col("_words") * 7)
     )
     return _listed(rows, ["section_key"], [
         ("same-sequence", F.col("sequence").isNotNull() & (F.col("_seq") > 1)), ("navigation", contents | (index & many)),
@@ -103,11 +109,16 @@ def structure(sections: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def banned_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(section_key, language, block, phrase, reason): phrases (phrase, reason) found, in any case, in blocks of translations. [P11]"""
+    """(section_key, language, block, phrase, reason): phrases (phrase, reason) found, in any case, in blocks of translations. [P11]
+
+    All phrases are looked for in one pass over each block, however many a brief lists (MOST_PATTERNS at most).
+    """
     blocks = texts.where("role = 'translation'").select("section_key", "language", F.posexplode(F.split("content", "\n\n")).alias("block", "b"))
-    listed = phrases.agg(F.collect_list(F.struct(F.col("phrase"), F.col("reason"), F.lower("phrase").alias("low"))).alias("_p"))  # one row: the phrases of a brief
-    met = blocks.withColumn("low", F.lower("b")).join(F.broadcast(listed)).select("section_key", "language", "block", F.explode(F.filter("_p", lambda p: F.col("low").contains(p["low"]))).alias("x"))
-    return met.select("section_key", "language", "block", "x.phrase", "x.reason")
+    listed = bounded(phrases.select("phrase", "reason", F.lower("phrase").alias("low")).where("phrase is not null"), "phrases of a brief")
+    find = phrase_hits(texts.sparkSession, [r.low for r in listed])
+    named = texts.sparkSession.createDataFrame([(i, r.phrase, r.reason) for i, r in enumerate(listed)], "i int, phrase string, reason string")
+    met = blocks.select("section_key", "language", "block", F.explode(find(F.lower("b"))).alias("i"))
+    return met.join(F.broadcast(named), "i").select("section_key", "language", "block", "phrase", "reason")
 
 
 def licences(sources: DataFrame, code: str, url: str, credit: str, exempt: str = "license_exempt") -> DataFrame:
