@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.notes import by_text, spans
+from quire.functions.notes import by_text, note_defects, spans
 from quire.functions.text import let
+from quire.operators.edition import hoist_rubrics, renumber_notes
 
 # A boundary's kinds, marks of notes that run over a page, and words that may stand twice at a seam.
 KINDS = ("hyphen", "space", "para")
@@ -17,10 +18,38 @@ CONTINUES, CONTINUED = "⟦NOTE-CONTINUES⟧", "⟦CONTINUED-NOTE⟧"
 COMMON = (
     "et non cum quam quod quia sed ut ad in est esse sunt tamen enim aut vel nec per ex de hoc haec hanc hic huic id ita sic si nam qui quae que etiam unde ergo autem atque nisi quasi tanquam velut sicut item idem"
 ).split()
-_LAST_NOTES = r"(?s)(?:\s*\^\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\])+\s*$"
 _STOP = r"[.!?…]\s*['\"”’»)\]*_]*\s*$"
 
 
+def trailing_notes(text: Column) -> Column:
+    """A struct (body, notes): a text without the inline notes at its end, and those notes; brackets may nest to any depth. [J7]
+
+    A counter walks back from the end of texts that end in a bracket: inside a note it counts brackets, a note ends where they are even
+    and a caret stands before them, and white space may part notes.
+    """
+
+    def walk(t: Column) -> Column:
+        n = F.length(t)
+        back = F.filter(F.split(F.reverse(t), ""), lambda c: c != "")
+        state = lambda mode, depth, seen, cut: F.struct(mode.alias("mode"), depth.alias("depth"), seen.alias("seen"), cut.alias("cut"))
+        zero = state(F.lit("between"), F.lit(0), F.lit(0), F.lit(0))
+
+        def step(a: Column, c: Column) -> Column:
+            seen = a["seen"] + 1
+            depth = a["depth"] + F.when(c == "]", 1).when(c == "[", -1).otherwise(0)
+            between = F.when(c == "]", state(F.lit("inside"), F.lit(1), seen, a["cut"])).when(c.rlike(r"^\s$"), state(F.lit("between"), F.lit(0), seen, a["cut"])).otherwise(state(F.lit("done"), F.lit(0), seen, a["cut"]))
+            inside = state(F.when(depth == 0, "caret").otherwise("inside"), depth, seen, a["cut"])
+            caret = F.when(c == "^", state(F.lit("between"), F.lit(0), seen, seen)).otherwise(state(F.lit("done"), F.lit(0), seen, a["cut"]))
+            return F.when(a["mode"] == "done", a).when(a["mode"] == "inside", inside).when(a["mode"] == "caret", caret).otherwise(between)
+
+        cut = F.when(t.endswith("]"), F.aggregate(back, zero, step)["cut"]).otherwise(0)
+        return let(F.struct(t.alias("t"), (n - cut).alias("at")), lambda x: F.struct(
+            F.regexp_replace(F.substr(x["t"], F.lit(1), x["at"]), r"\s+$", "").alias("body"), F.regexp_replace(F.substr(x["t"], x["at"] + 1), r"^\s+", "").alias("notes")
+        ))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""), walk)
+
+
 def join_kind(before: Column, after: Column) -> Column:
     """How a text goes on over a page's end: hyphen, space or para, by the first rule that holds. [J7]
 
@@ -36,7 +65,7 @@ def join_kind(before: Column, after: Column) -> Column:
         bare = F.rtrim(F.regexp_replace(tail, r"\^\[[^\]]*\]\s*$", ""))
         bare = F.when(bare == "", tail).otherwise(bare)
         return (
-            F.when((tail == "") | (head == ""), "para").when(F.regexp_replace(tail, _LAST_NOTES, "").rlike(r"[A-Za-zÀ-ÿſ]-[*_]*$"), "hyphen").when(head.startswith("#") | bold | head.rlike(r"^[*_]*[a-zα-ωά-ώ]\)[*_]*\s"), "para")
+            F.when((tail == "") | (head == ""), "para").when(trailing_notes(tail)["body"].rlike(r"[A-Za-zÀ-ÿſ]-[*_]*$"), "hyphen").when(head.startswith("#") | bold | head.rlike(r"^[*_]*[a-zα-ωά-ώ]\)[*_]*\s"), "para")
             .when(low, "space").when(bare.rlike(r"\bS\.$") | (~bare.rlike(_STOP) & ~bare.endswith(":")), "space").otherwise("para")
         )
 
@@ -62,13 +91,44 @@ def _foot(body: str) -> tuple[str, str]:
 foot_notes = by_text(lambda t: dict(zip(("main", "notes"), _foot(t), strict=True)), "struct<main:string,notes:string>")
 
 
+BOUND = ("left_sha256", "right_sha256")
+
+
+def bound_joins(pages: DataFrame, decisions: DataFrame, work: str = "work", n: str = "n", body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(decisions that hold, problems (work, n, problem)) of join decisions (work, n of the second page, join, printed_hyphen, left_sha256, right_sha256, evidence). [J7, T20]
+
+    A decision is bound to both pages (work, n, body, sha256; declared, if the first page says how it goes on): it is refused as stale when either
+    hash is another, and also without evidence, for an unknown join or boundary, against the page's own declaration, if it says nothing of the
+    hyphen but none is printed, or says that none is printed where one is. A declaration that the rules contradict asks for a decision.
+    """
+    own = pages.select(F.col(work).alias("work"), F.col(n).cast("long").alias("n"), F.coalesce(F.col(body), F.lit("")).alias("_right"), F.col("sha256").alias("_right_sha"), *([F.col("declared").alias("_own")] if "declared" in pages.columns else [F.lit(None).cast("string").alias("_own")]))
+    before = own.select("work", (F.col("n") + 1).alias("n"), F.col("_right").alias("_left"), F.col("_right_sha").alias("_left_sha"), F.col("_own").alias("_declared"))
+    edges = own.drop("_own").join(before, ["work", "n"])
+    given = decisions.select("work", F.col("n").cast("long").alias("n"), "join", "printed_hyphen", *BOUND, "evidence").withColumn("_there", F.lit(True))
+    met = edges.join(given, ["work", "n"], "full")
+    hyphen = trailing_notes(foot_notes("_left")["main"])["body"].rlike(r"-[*_]*$")
+    printed = F.coalesce("printed_hyphen", F.lit(True))
+    c = F.col
+    problem = (
+        F.when(c("_there") & c("_left").isNull(), "unknown boundary").when(c("_there") & ~F.coalesce(c("join").isin(*KINDS), F.lit(False)), "invalid join")
+        .when(c("printed_hyphen").isNotNull() & (c("join") != "hyphen"), "printed_hyphen without a hyphen join").when(c("_there") & (F.trim(F.coalesce("evidence", F.lit(""))) == ""), "no evidence")
+        .when(c("_there") & ~F.coalesce((c("left_sha256") == c("_left_sha")) & (c("right_sha256") == c("_right_sha")), F.lit(False)), "stale page hash")
+        .when(c("_there") & (c("_declared") != c("join")), "against the page's declaration")
+        .when((c("join") == "hyphen") & printed & ~hyphen, "no printed hyphen").when((c("join") == "hyphen") & ~printed & hyphen, "a hyphen is printed")
+        .when(c("_there").isNull() & c("_declared").isin(*KINDS) & (c("_declared") != join_kind(foot_notes("_left")["main"], c("_right"))), "declared otherwise: decide")
+    )
+    met = met.withColumn("problem", problem)
+    return met.where("_there and problem is null").select("work", "n", "join", "evidence"), met.where("problem is not null").select("work", "n", "problem")
+
+
 def join_pages(pages: DataFrame, decisions: DataFrame | None = None, work: str = "work", n: str = "n", body: str = "body", drop_repeats: bool = False) -> DataFrame:
     """(work, n, kind, text) of pages numbered within their works: kind joins a page to the one before, and the works' texts are their pages' in order. [J7]
 
     Each page meets only its neighbours, by number. The notes at a page's foot wait until the paragraph that runs over the page's end is done;
-    a note that continues is fused with its continuation; a hyphen at a join goes, as do emphasis marks that close and open again there. ``decisions``
-    (work, n of the second page, join, evidence) override the rules where they hold evidence. With ``drop_repeats`` a word of four or more
-    letters that the print repeats across the break, but for common ones, is left out.
+    a note that continues is fused with its continuation; a hyphen at a join goes, as do emphasis marks that close and open again there, and inline notes
+    behind it follow the whole word. ``decisions`` (work, n of the second page, join, evidence) override the rules where they hold evidence; those of
+    ``bound_joins`` hold for these very pages. With ``drop_repeats`` a word of four or more letters that the print repeats across the break, but for
+    common ones, is left out.
     """
     pages = pages.select(F.col(work).alias("work"), F.col(n).cast("long").alias("n"), F.coalesce(F.col(body), F.lit("")).alias("body"))
     cont = rf"(?s)(?:^|\n\s*\n)\s*{CONTINUED}\s*(.*?)(?=\n\s*\n|$)"
@@ -81,7 +141,7 @@ def join_pages(pages: DataFrame, decisions: DataFrame | None = None, work: str =
     fused = F.concat(start, F.when(hyphen == "-", "").otherwise(" "), "more", F.when(doubled & rest.startswith("]"), F.substr(rest, F.lit(2))).otherwise(rest))
     own = own.withColumn("left", F.when(F.col("more").isNotNull() & F.col("left").contains(CONTINUES), fused).otherwise(F.col("left"))).withColumn("foot", foot_notes("left"))
     own = own.select("work", "n", F.col("left").alias("body"), F.col("foot.main").alias("main"), F.col("foot.notes").alias("notes"))
-    before = own.select("work", (F.col("n") + 1).alias("n"), F.col("main").alias("p_main"), F.col("notes").alias("p_notes"))
+    before = own.select("work", (F.col("n") + 1).alias("n"), F.col("main").alias("p_main"), F.col("notes").alias("p_notes"), trailing_notes(F.col("main")).alias("p_end"))
     met = own.join(before, ["work", "n"], "left")
     if drop_repeats:
         tail, head = F.regexp_extract("p_main", r"(\p{L}{4,})\s*[.,;:]?\s*$", 1), F.regexp_extract("body", r"^\s*(\p{L}{4,})", 1)
@@ -93,16 +153,26 @@ def join_pages(pages: DataFrame, decisions: DataFrame | None = None, work: str =
         met = met.join(decisions.where(F.trim("evidence") != "").select("work", F.col("n").cast("long").alias("n"), F.col("join").alias("_given")), ["work", "n"], "left")
         kind = F.coalesce("_given", kind)
     met = met.withColumn("kind", F.when(F.col("p_main").isNotNull(), F.when(F.col("body").startswith("<<<") | F.col("p_main").rlike(r"(^|\n)\s*<<<.*>>>\s*$"), "para").otherwise(kind)))
-    following = met.select("work", (F.col("n") - 1).alias("n"), F.col("kind").alias("f_kind"), F.when(F.col("body").startswith("^["), F.lit(False)).otherwise(F.lit(True)).alias("f_prose"))
+    # what a hyphen join takes from the page's end: the hyphen with the marks behind it, or marks alone that open again on the next page
+    ended = F.regexp_extract("p_end.body", r"-?([*_]*)$", 1)
+    printed = F.col("p_end.body").rlike(r"-[*_]*$")
+    again = (ended != "") & F.startswith(F.ltrim("body"), ended)
+    met = met.withColumns({"_open": F.when((F.col("kind") == "hyphen") & again, ended), "_strip": F.when(F.col("kind") == "hyphen", F.when(printed, F.length(ended) + 1).when(again, F.length(ended)).otherwise(0))})
+    following = met.select("work", (F.col("n") - 1).alias("n"), F.col("kind").alias("f_kind"), F.col("_strip").alias("f_strip"), F.when(F.col("body").startswith("^["), F.lit(False)).otherwise(F.lit(True)).alias("f_prose"))
     met = met.join(following, ["work", "n"], "left")
     runs_on = F.col("f_kind").isin("space", "hyphen") & (F.col("notes") != "") & F.col("f_prose")
     given = (F.col("kind").isin("space", "hyphen")) & (F.col("p_notes") != "") & ~F.col("body").startswith("^[")
     text = F.when(runs_on, F.col("main")).otherwise(F.col("body"))
-    closing = lambda t: F.when(F.col("f_kind") == "hyphen", F.regexp_replace(t, r"-([*_]*)$", "")).otherwise(t)
+    shut = lambda x: F.substr(x, F.lit(1), F.greatest(F.length(x) - F.col("f_strip"), F.lit(0)))
+    closing = lambda t: F.when(F.col("f_kind") == "hyphen", shut(trailing_notes(t)["body"])).otherwise(t)
     first, others = F.regexp_extract("_t", r"(?s)^(.*?)(?:\n\n|$)", 1), F.regexp_extract("_t", r"(?s)^.*?\n\n(.*)$", 1)
     met = met.withColumn("_t", closing(F.regexp_replace(text, r"\s+$", "")))
-    opened = F.when((F.col("kind") == "hyphen") & F.col("p_main").rlike(r"-[*_]+$"), F.regexp_replace("_t", r"^[*_]+", "")).otherwise(F.col("_t"))
+    opened = F.when(F.col("_open").isNotNull(), F.substr(F.ltrim("_t"), F.length("_open") + 1)).otherwise(F.col("_t"))
     met = met.withColumn("_t", opened)
+    # inline notes behind the hyphen follow the word that it cut
+    half = F.regexp_extract("_t", r"^(?:\p{L}|[\x{300}-\x{36F}])+", 0)
+    carried = F.concat(half, F.col("p_end.notes"), F.substr("_t", F.length(half) + 1))
+    met = met.withColumn("_t", F.when((F.col("kind") == "hyphen") & (F.col("p_end.notes") != ""), carried).otherwise(F.col("_t")))
     woven = F.concat(first, F.lit("\n\n"), F.col("p_notes"), F.when(others != "", F.concat(F.lit("\n\n"), others)).otherwise(""))
     return met.select("work", "n", "kind", F.when(given, woven).otherwise(F.col("_t")).alias("text"))
 
@@ -114,6 +184,32 @@ def joined_text(joined: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, F.array_join(F.transform("x", lambda p, i: F.concat(F.when(i == 0, "").otherwise(p["glue"]), p["text"])), "").alias("text"))
 
 
+# What no published section may hold.
+LEFT_OVER = {"sentinel": r"⟦[^⟧]*⟧", "zone marker": "<<<", "comment": "<!--", "wrapper tag": "</?content>", "soft hyphen": "\u00ad"}
+MARGINAL = "⟦M⟧"
+
+
+def published_sections(sections: DataFrame, work: str = "work", n: str = "n", key: str = "key", body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(sections (work, n, key, body) as they are published, findings (work, key, problem)). [K1, T17, T18]
+
+    Run-in rubrics move to their paragraph's start, marginal notes lose their mark and stay notes, and numbered notes are counted through the
+    work in the order of ``n``. A refused rubric, an empty section, a note with a defect and marks that no reader may see are findings: nothing is
+    published while there are any.
+    """
+    rows = sections.select(F.col(work).alias("work"), F.col(n).cast("long").alias("n"), F.col(key).alias("key"), F.coalesce(F.col(body), F.lit("")).alias("body"))
+    blocks = F.transform(F.split("body", "\n\n", -1), lambda b: hoist_rubrics(b))
+    refused = F.exists(blocks, lambda b: b.isNull())
+    rows = rows.withColumns({"_refused": refused, "body": F.when(refused, F.col("body")).otherwise(F.array_join(blocks, "\n\n"))})
+    rows = rows.withColumn("body", F.regexp_replace("body", rf"\^\[{MARGINAL}\s*", "^["))
+    numbered = renumber_notes(rows.withColumnRenamed("n", "_place"), "work", "_place", "body").select("work", F.col("_place").alias("n"), "body")
+    rows = rows.drop("body").join(numbered, ["work", "n"])
+    marks = [F.when(F.col("body").rlike(p), name) for name, p in LEFT_OVER.items()]
+    notes = F.transform(note_defects("body"), lambda d: F.concat(d["kind"], F.lit(" note")))
+    found = F.concat(F.array_compact(F.array(F.when(F.col("_refused"), "rubric"), F.when(F.trim(F.regexp_replace("body", r"\s+", " ")) == "", "empty"), *marks)), F.array_distinct(notes))
+    findings = rows.select("work", "key", F.explode(found).alias("problem"))
+    return rows.select("work", "n", "key", "body"), findings
+
+
 def page_ranges(numbers: DataFrame, by: list[str], n: str = "n") -> DataFrame:
     """(by, ranges): numbers as ``a-b,c``, in order. [S1]"""
     rows = numbers.select(*by, F.col(n).cast("long").alias("n")).distinct().withColumn("_g", F.col("n") - F.row_number().over(W.partitionBy(*by).orderBy("n")))

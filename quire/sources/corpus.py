@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,14 +77,35 @@ def read_corpus(spark: SparkSession, patterns: list[str], exclude: tuple[str, ..
     return plain.unionByName(units)
 
 
-def read_rows(spark: SparkSession, path: str, schema: str, missing_ok: bool = True) -> DataFrame:
-    """JSON lines as (schema, line): blank lines are skipped, a broken line is an error, and a missing file is an empty relation. [S3]"""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files with their numbers from 1. [S3]
+
+    A large file is read in byte ranges by many tasks. Each task numbers the lines of its ranges as it meets them; the ranges' line counts (a row for each range of
+    ``spark.sql.files.maxPartitionBytes``) are summed along their file and give every range its first number. Lines are never shuffled or
+    sorted.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"), F.regexp_replace("value", r"\r$", "").alias("value")
+    )
+    ranges = rows.groupBy("path", "_start").agg(F.min("_nth").alias("_first"), F.count("*").alias("_n"))
+    along = W.partitionBy("path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("path", "_start", (F.coalesce(F.sum("_n").over(along), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return rows.join(ranges, ["path", "_start"]).select("path", (F.col("_nth") + F.col("_base")).alias("line"), "value")
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, missing_ok: bool = True, numbered: bool = True) -> DataFrame:
+    """JSON lines as (schema, line): blank lines are skipped but counted, a broken line is an error, and a missing file is an empty relation. [S3]
+
+    Without ``numbered`` there is no line, and Spark's own reader of JSON takes the file: filters on the columns are then pushed down
+    into its parser. Both read one file in as many tasks as it has byte ranges.
+    """
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if missing_ok and not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
-        return spark.createDataFrame([], schema + ", line long")
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "x")).where(F.trim("x") != "")
-    rows = lines.select((F.col("line") + 1).cast("long").alias("line"), F.from_json("x", schema, {"mode": "FAILFAST"}).alias("r"))
-    return rows.select("r.*", "line")
+        return spark.createDataFrame([], schema + (", line long" if numbered else ""))
+    if not numbered:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "line").select("r.*", "line")
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
@@ -275,6 +297,57 @@ def cut_records(texts: DataFrame, header: str, names: list[str], key: str = "pat
     return texts.select(key, F.posexplode(F.arrays_zip(*groups, bodies)).alias("pos", "x")).select(key, "pos", *[F.col("x").getField(n).alias(n) for n in names], F.trim(F.regexp_replace(F.col("x").getField("body"), r"^\s+|\s+$", "")).alias("body"))
 
 
+# How an edition's records begin (number, book, chapters, kind), and what its last record ends in.
+RECORD_HEADER = r"\[(\d+)\] [A-Za-z .']+, lib\. (\d) cap\. ([\d\-]+)\s*(tit|n)\."
+RECORD_NAMES = ["id", "liber", "caps", "kind"]
+RECORD_TAIL = "© 2019"
+
+
+def _owners(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which record begins the chapter that each record belongs to, and the chapters it stands for: one book's records (file, pos, low, high, kind) without their texts."""
+    owner: dict[int, tuple] = {}
+    out, file, inside = [], None, False
+    for r in rows.sort_values(["path", "pos"]).itertuples():
+        if r.path != file:
+            file, inside = r.path, False
+        begins = r.kind == "tit" or r.low not in owner
+        if begins:
+            inside = True
+            new = [c for c in range(r.low, r.high + 1) if c not in owner]
+            owner.update(dict.fromkeys(new, (r.path, r.pos)))
+            out.append((r.work, r.liber, r.path, r.pos, r.path, r.pos, new))
+        elif inside:
+            out.append((r.work, r.liber, r.path, r.pos, *owner[r.low], []))
+    return pd.DataFrame(out, columns=["work", "liber", "path", "pos", "o_path", "o_pos", "starts"])
+
+
+def edition_chapters(texts: DataFrame, header: str = RECORD_HEADER, tail: str = RECORD_TAIL, key: str = "path", text: str = "text", work: str | None = None) -> DataFrame:
+    """(work, liber, cap, low, high, title, text): an edition's chapters from its records, in the order of the files' names and within them; without ``work`` all files are one. [S9]
+
+    A record ``N-M`` stands for all chapters from N to M, which share its text. A ``tit`` record begins a chapter with that title; so does an ``n`` record of
+    a chapter that none began, without a title. The first that begins a chapter has it; later records of a chapter add their text, with a space, to
+    what has its first number. In a file, an ``n`` record before any that begins is left out if its chapter was begun elsewhere. Tags become spaces, the
+    entities of space and copyright are decoded, white space is collapsed, and what follows ``tail`` goes, with a record that has nothing else.
+
+    Only the records' numbers go through a book's one task; texts are joined to them and put together by chapter.
+    """
+    named = texts.select(F.struct((F.col(work) if work else F.lit("")).cast("string").alias("work"), F.col(key).cast("string").alias("path")).alias("_k"), F.col(text).alias("_t"))
+    rows = cut_records(named, header, RECORD_NAMES, "_k", "_t").select("_k.work", "_k.path", "pos", F.col("liber").cast("int").alias("liber"), "caps", "kind", witness_text(F.col("body")).alias("body"))
+    rows = rows.withColumn("_cut", F.col("body").contains(tail)).withColumn("body", F.when(F.col("_cut"), F.trim(F.element_at(F.split("body", F.lit("\\Q" + tail + "\\E")), 1))).otherwise(F.col("body")))
+    rows = rows.where(~F.col("_cut") | (F.col("body") != "")).drop("_cut")
+    span = F.split("caps", "-")
+    rows = rows.withColumns({"low": span[0].cast("int"), "high": F.when(F.size(span) > 1, F.element_at(span, 2)).otherwise(span[0]).cast("int")})
+    owners = rows.select("work", "path", "pos", "liber", "low", "high", "kind").groupBy("work", "liber").applyInPandas(_owners, "work string, liber int, path string, pos int, o_path string, o_pos int, starts array<int>")
+    place = ["work", "liber", "path", "pos"]
+    met = rows.join(owners, place)
+    mine = (F.col("path") == F.col("o_path")) & (F.col("pos") == F.col("o_pos"))
+    said = F.when(~(mine & (F.col("kind") == "tit")) & (F.col("body") != ""), F.struct("path", "pos", "body"))
+    whole = met.groupBy("work", "liber", F.col("o_path").alias("path"), F.col("o_pos").alias("pos")).agg(F.sort_array(F.collect_list(said)).alias("x"))
+    whole = whole.select(*place, F.array_join(F.transform("x", lambda r: r["body"]), " ").alias("text"))
+    begun = met.where(mine).select(*place, "low", "high", F.when(F.col("kind") == "tit", F.col("body")).otherwise("").alias("title"), F.explode("starts").alias("cap"))
+    return begun.join(whole, place).select("work", "liber", "cap", "low", "high", "title", "text")
+
+
 def source_flow(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, pos, line): one paragraph for each non-blank line of the source files, to be read in the order of their names. [S10]"""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")

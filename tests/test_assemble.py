@@ -1,5 +1,6 @@
 """Page joins, sections and readers on small inputs."""
 
+import hashlib
 import json
 import zipfile
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import assemble
-from quire.sources import corpus
+from quire.sources import corpus, editions
 
 
 def table(spark, rows, schema):
@@ -122,3 +123,121 @@ def test_docx_html_records(spark, tmp_path):
     assert [(r.pos, r.id, r.year, r.body) for r in records.collect()] == [(0, "1", "1200", "body a"), (1, "2", "1300", "body b")]
     assert corpus.source_flow(table(spark, [("f", "a\n\n b \n")], "path string, text string")).count() == 2
     assert table(spark, [("<p>a&nbsp;b</p> &copy;",)], "t string").select(corpus.witness_text(F.col("t"))).first()[0] == "a b ©"
+
+
+def test_trailing_notes_of_any_depth(spark):
+    rows = [("word-^[a [b [c [d [e]]]]] ^[2] ", "word-", "^[a [b [c [d [e]]]]] ^[2]"), ("no note]", "no note]", ""), ("x [^[y]]", "x [^[y]]", ""), ("^[alone]", "", "^[alone]"), ("text", "text", ""), ("", "", ""), (None, "", ""), ("a ^[b] c", "a ^[b] c", ""), ("a b]] ^[n]", "a b]]", "^[n]"), ("a [b]", "a [b]", "")]
+    got = table(spark, rows, "t string, body string, notes string").select("*", assemble.trailing_notes(F.col("t")).alias("x")).collect()
+    assert [(r.x.body, r.x.notes) for r in got] == [(r.body, r.notes) for r in got]
+
+
+def test_notes_behind_a_hyphen_follow_the_word(spark):
+    pages = [("w", 1, "A *sen-*^[1. x [y [z]]]^[2. b]"), ("w", 2, "*tence* and ca"), ("w", 3, "put."), ("w", 4, "**A un**"), ("w", 5, "**it** there")]
+    given = table(spark, [("w", 3, "hyphen", "seen"), ("w", 5, "hyphen", "seen")], "work string, n int, join string, evidence string")
+    joined = assemble.join_pages(table(spark, pages, "work string, n int, body string"), given)
+    assert assemble.joined_text(joined, ["work"]).first().text == "A *sentence^[1. x [y [z]]]^[2. b]* and caput.\n\n**A unit** there"
+
+
+def test_join_decisions_are_bound_to_both_pages(spark):
+    pages = [("w", i, b, f"h{i}", d) for i, b, d in ((1, "ends ca", None), (2, "put goes on-", "hyphen"), (3, "ly", None), (4, "a", "para"), (5, "b", None), (6, "c", None), (7, "d", None), (8, "e-", None), (9, "f", "space"), (10, "Last.", None))]
+    df = table(spark, pages, "work string, n int, body string, sha256 string, declared string")
+    rows = [
+        ("w", 2, "hyphen", False, "h1", "h2", "catchword"), ("w", 3, "hyphen", False, "h2", "h3", "x"), ("w", 4, "space", None, "h3", "stale", "x"), ("w", 5, "space", None, "h4", "h5", "x"), ("w", 6, "space", None, "h5", "h6", " "), ("w", 7, "glue", None, "h6", "h7", "x"),
+        ("w", 8, "hyphen", None, "h7", "h8", "x"), ("w", 9, "para", True, "h8", "h9", "x"), ("w", 99, "para", None, "h98", "h99", "x"),
+    ]
+    decisions = table(spark, rows, "work string, n int, join string, printed_hyphen boolean, left_sha256 string, right_sha256 string, evidence string")
+    good, problems = assemble.bound_joins(df, decisions)
+    assert {(r.n, r["join"]) for r in good.collect()} == {(2, "hyphen")}
+    assert {r.n: r.problem for r in problems.collect()} == {
+        3: "a hyphen is printed", 4: "stale page hash", 5: "against the page's declaration", 6: "no evidence", 7: "invalid join", 8: "no printed hyphen", 9: "printed_hyphen without a hyphen join", 99: "unknown boundary",
+    }
+    none = decisions.limit(0)
+    assert [(r.n, r.problem) for r in assemble.bound_joins(df, none)[1].orderBy("n").collect()] == [(5, "declared otherwise: decide")]
+
+
+def test_published_sections(spark):
+    rows = [("w", 1, "a", "^[⟦M⟧⟦R⟧ On *things*.] **1.** Text ^[⟦M⟧ a marginal] here^[9. note].\n\nMore ^[Editor's note: x]."), ("w", 2, "b", "Next ^[4. y] ⟦M⟧ <!-- z -->"), ("w", 3, "c", " \n"), ("w", 4, "d", "open ^[ note"), ("v", 1, "e", "Fine ^[3. n].")]
+    out, found = assemble.published_sections(table(spark, rows, "work string, n int, key string, body string"))
+    got = {r.key: r.body for r in out.collect()}
+    assert got["a"] == "**1.** *On things*.— Text ^[a marginal] here^[1. note].\n\nMore ^[2. Editor's note: x]." and got["e"] == "Fine ^[1. n]." and got["b"].startswith("Next ^[3. y]")
+    assert {(r.key, r.problem) for r in found.collect()} == {("b", "sentinel"), ("b", "comment"), ("c", "empty"), ("d", "unclosed note")}
+
+
+# ---------------------------------------------------------------- lines, records, editions
+
+
+def test_lines_keep_their_numbers_over_byte_ranges(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = [json.dumps({"id": i, "t": "é" * (i % 90)}, ensure_ascii=False) if i % 7 else "" for i in range(1, 5001)]
+    (tmp_path / "a.jsonl").write_bytes("\r\n".join(rows).encode())
+    (tmp_path / "b.jsonl").write_text("\n" + rows[0] + "\n\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = corpus.read_rows(spark, str(tmp_path / "*.jsonl"), "id long, t string")
+        assert got.rdd.getNumPartitions() > 10
+        kept = got.collect()
+        assert sorted((r.line, r.id) for r in kept if len(r.t or "") or r.id % 90 == 0) == sorted([(i, i) for i in range(1, 5001) if i % 7] + [(2, 1)])
+        plain = corpus.read_rows(spark, str(tmp_path / "*.jsonl"), "id long, t string", numbered=False)
+        assert plain.columns == ["id", "t"] and plain.where("id > 4990").count() == 8
+        assert "PushedFilters: [IsNotNull(id), GreaterThan(id,4990)]" in plain.where("id > 4990")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert corpus.read_rows(spark, str(tmp_path / "none.jsonl"), "id long").columns == ["id", "line"]
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n{"id": \n')
+    for numbered in (True, False):
+        with pytest.raises(Exception, match="MALFORMED"):
+            corpus.read_rows(spark, str(tmp_path / "bad.jsonl"), "id long", numbered=numbered).collect()
+
+
+def test_edition_chapters(spark):
+    head = lambda i, cap, kind, lib=1: f"[{i}] Super Sent., lib. {lib} cap. {cap} {kind}. "
+    files = [
+        ("f1", "junk " + head(1, "1", "tit") + "On <b>one</b>" + head(2, "1", "n") + "text&nbsp;a" + head(3, "2-3", "tit") + "Two and three" + head(4, "2-3", "n") + "b" + head(5, "2-3", "n") + "c" + head(6, "4", "n") + "d" + head(7, "4", "n") + "e © 2019 all" + head(8, "9", "n") + "© 2019 rights"),
+        ("f2", head(9, "4", "n") + "lost" + head(10, "4", "tit") + "Four, later" + head(11, "4", "n") + "f" + head(12, "5-6", "n", 2) + "g"), ("f3", ""), ("f4", None),
+    ]
+    got = corpus.edition_chapters(table(spark, files, "path string, text string")).collect()
+    assert {(r.liber, r.cap, r.low, r.high, r.title, r.text) for r in got} == {
+        (1, 1, 1, 1, "On one", "text a"), (1, 2, 2, 3, "Two and three", "b c"), (1, 3, 2, 3, "Two and three", "b c"), (1, 4, 4, 4, "", "d e f"), (2, 5, 5, 6, "", "g"), (2, 6, 5, 6, "", "g"),
+    }
+
+
+def test_an_edition_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = editions.EditionStore(spark, str(tmp_path / "edition"))
+    sections = lambda *x: table(spark, list(x), "key string, body string")
+    pages, none, bad = table(spark, [("p1", "h1")], "name string, sha256 string"), table(spark, [], "key string, problem string"), table(spark, [("a", "empty")], "key string, problem string")
+    one, two = sections(("a", " One two \n"), ("b", "three")), sections(("a", "other"), ("c", "new"))
+    with pytest.raises(editions.PublishRefused, match="a empty"):
+        store.publish(one, pages, bad)
+    with pytest.raises(editions.PublishRefused, match="2 sections"):
+        store.publish(one.union(one.limit(1)), pages, none)
+    assert store.current() is None and not (tmp_path / "edition").exists()
+    first = store.publish(one, pages, none, ["joined"], {"zones": "x"})
+    assert store.current() == first and {(r.key, r.words) for r in store.record().collect()} == {("a", 2), ("b", 1)} and store.check().count() == 0
+    replace = editions.EditionStore._replace
+    for dies_at in ("EDITION.json", editions.CURRENT):
+        def die(self, name, content, at=dies_at):
+            if name.endswith(at):
+                raise OSError("the writer dies")
+            replace(self, name, content)
+
+        monkeypatch.setattr(editions.EditionStore, "_replace", die)
+        with pytest.raises(OSError):
+            store.publish(two, pages, none)
+        assert store.current() == first and {r.key for r in store.sections().collect()} == {"a", "b"}
+    monkeypatch.setattr(editions.EditionStore, "_replace", replace)
+    second = store.publish(two, pages, none)
+    assert store.current() == second != first and store.publish(two, pages, none) == second
+    assert store.publish(one, pages, none, options={"zones": "x"}) == first and store.clean() == [second]
+    assert {r.key for r in store.sections().collect()} == {"a", "b"}
+    table(spark, [("a", "tampered"), ("z", "more")], "key string, body string").write.mode("overwrite").parquet(str(tmp_path / f"edition/versions/{first}/sections"))
+    assert {(r.key, r.problem) for r in editions.EditionStore(spark, str(tmp_path / "edition")).check().collect()} == {("a", "changed"), ("b", "lost"), ("z", "added")}
+
+
+def test_batches_go_out_under_their_own_report(spark):
+    batch = table(spark, [("m1", "x"), ("m2", "y"), ("m3", "z"), ("m4", "w")], "manifest string, content string")
+    sha = {k: hashlib.sha256(k.encode()).hexdigest() for k in "xz"}
+    reports = table(spark, [("m1", sha["x"], "g", True), ("m2", sha["x"], "g", True), ("m3", sha["z"], "g", True), ("m3", sha["z"], "h", False)], "manifest string, sha256 string, gate string, passed boolean")
+    assert {(r.manifest, r.problem) for r in editions.refusals(batch, reports).collect()} == {("m2", "report on another manifest"), ("m3", "a gate failed"), ("m4", "no report")}
+    pages = table(spark, [("b1", 1, "h1"), ("b1", 2, "h2"), ("b2", 1, "h3")], "batch string, page int, sha256 string")
+    uploads = table(spark, [("b1", 1, 200, 1), ("b1", 2, 503, 1), ("b1", 2, 201, 2), ("b2", 1, 429, 1)], "batch string, page int, status int, ts int")
+    assert {(r.batch, r.page, r.sha256) for r in editions.recorded_pages(pages, uploads).collect()} == {("b1", 1, "h1"), ("b1", 2, "h2"), ("b2", 1, None)}
