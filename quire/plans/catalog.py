@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import ACCENTED, PLAIN, case_class, recase, tokens
 from quire.operators import align, lexicon, records, screens
 from quire.sources.pages import html_paragraphs
-from quire.streaming.incidents import run_available
+from quire.sources.shared import new_folder
+from quire.streaming.incidents import incidents, run_available, run_lifecycle
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -385,14 +384,32 @@ def incident_upsert(spark, d):
 
 @query("SELECT user_id, event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1, 2, 3")
 def incident_stream(spark, d):
-    from tempfile import mkdtemp
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="quire-stream-")
-    place = f"{shared.rstrip('/')}/incidents-{uuid.uuid4().hex}"
-    out = run_available(spark, d, table(spark, d, "events").schema, f"{place}/state", f"{place}/checkpoint", delay="10000 days", pattern="events.parquet*")
+    place = new_folder(spark, "incidents")
+    out = run_available(spark, d, table(spark, d, "events").schema, f"{place}/state", f"{place}/checkpoint", pattern="events.parquet*")
     return out.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
+@query(r"""
+WITH e AS (SELECT 'w' || user_id % 50 AS work, event_id::VARCHAR AS event_id, ts, event_type = 'purchase' AS human, event_type || ' ' || coalesce(props, '') AS what FROM events),
+s AS (SELECT *, 'tool-error|other|' || left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(what), '["''«»“”].*?["''«»“”]', '‹q›', 'g'), '\S*/\S*', '‹path›', 'g'), '[0-9]+', 'N', 'g'), '\s+', ' ', 'g')), 120) AS signature FROM e),
+g AS (SELECT work, signature, human, min((ts, event_id)) AS first, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY work, signature, human, CASE WHEN human THEN event_id END)
+SELECT work, 'pc-' || strftime(first[1], '%Y-%m-%d') || '-' || row_number() OVER (PARTITION BY work, date_trunc('day', first[1]) ORDER BY first) AS id, signature, n, first[1] AS ts, last_ts FROM g""")
+def incident_lifecycle(spark, d):
+    """Events as reports of incidents, through keyed state; purchases are a human's reports, which never merge."""
+    c = F.col
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    null = lambda x: F.lit(None).cast("string").alias(x)
+    events = rows.select(
+        F.concat(F.lit("w"), (c("user_id") % 50).cast("string")).alias("work"), c("event_id").cast("string").alias("event_id"), c("ts").cast("timestamp").alias("ts"), F.lit("add").alias("action"), F.lit("tool-error").alias("kind"), null("stage"),
+        F.concat("event_type", F.lit(" "), F.coalesce("props", F.lit(""))).alias("what"), F.when(c("event_type") == "purchase", "human").otherwise("auto").alias("source"), *map(null, ("incident", "status", "why", "fix", "evidence")),
+    )
+    place = new_folder(spark, "lifecycle")
+    run_lifecycle(events, f"{place}/changes", f"{place}/checkpoint")
+    out = incidents(spark.read.parquet(f"{place}/changes"))
+    ntz = lambda x: c(x).cast("timestamp_ntz").alias(x)
+    return out.select("work", "id", "signature", c("count").alias("n"), ntz("ts"), ntz("last_ts"))
+
+
 @query("WITH r AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS mean_a, avg(value) FILTER (event_type = 'view') AS mean_b, max(value) FILTER (event_type = 'click') - min(value) FILTER (event_type = 'click') AS sa, max(value) FILTER (event_type = 'view') - min(value) FILTER (event_type = 'view') AS sb FROM events GROUP BY 1) SELECT user_id, floor(mean_a * 1000 + 0.5)::BIGINT AS mean_a, floor(mean_b * 1000 + 0.5)::BIGINT AS mean_b, abs(mean_b - mean_a) <= greatest(sa, sb) AS within_noise FROM r WHERE mean_a IS NOT NULL AND mean_b IS NOT NULL")
 def replay_compare(spark, d):
     out = records.compare_runs(table(spark, d, "events"), "user_id", "event_type", "value", "click", "view")
