@@ -73,13 +73,49 @@ def shingle_offsets(docs: DataFrame, items: DataFrame, n: int = 5, key: str = "d
     return best.select(key, item, (-F.col("m.o")).alias("offset"), F.col("m.votes").alias("votes"))
 
 
-def anchors(docs: DataFrame, items: DataFrame, n: int = 4, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(key, item, pos, item_pos) of n-grams that occur once in each. [J10]"""
-    once = lambda d, k: ngrams(d, k, n).groupBy(k, "gram").agg(F.min("pos").cast("long").alias(f"p_{k}"), F.count("*").alias("c")).where("c = 1").drop("c")
-    met = once(docs, key).join(once(items, item), "gram")
+def anchors(docs: DataFrame, items: DataFrame, n: int = 4, key: str = "doc_id", item: str = "item_id", least_distinct: int = 3) -> DataFrame:
+    """(key, item, pos, item_pos) of n-grams that occur once in each and have ``least_distinct`` different words or more. [J10]
+
+    Texts' grams that no item has are dropped by their hashes before anything is counted.
+    """
+    ours, theirs = known_grams(docs, items, n, key, item)
+    varied = lambda d: d.where(F.size(F.array_distinct(F.split("gram", " "))) >= least_distinct) if least_distinct > 1 else d
+    once = lambda d, k: varied(d).groupBy(k, "gram").agg(F.min("pos").cast("long").alias(f"p_{k}"), F.count("*").alias("c")).where("c = 1").drop("c")
+    met = once(ours, key).join(once(theirs, item), "gram")
     return met.select(key, item, F.col(f"p_{key}").alias("pos"), F.col(f"p_{item}").alias("item_pos"))
 
 
+def heaviest_chain(rows: DataFrame, weight: str = "weight", key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """The chain of anchors (key, item, pos, item_pos, weight) that rises on both sides and weighs most, for each pair (a group is one pair's anchors). [J10]
+
+    A Fenwick tree over the item's positions holds the heaviest chain that ends up to each, so a pair of n anchors takes n log n steps.
+    """
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "item_pos"], ascending=[True, False]).reset_index(drop=True)
+        place = {v: i for i, v in enumerate(sorted(set(pdf["item_pos"])), 1)}
+        tree: list[tuple[float, int]] = [(0.0, -1)] * (len(place) + 1)
+        back, total = [-1] * len(pdf), [0.0] * len(pdf)
+        for i, (v, w) in enumerate(zip(pdf["item_pos"].tolist(), pdf[weight].tolist(), strict=True)):
+            k, best = place[v] - 1, (0.0, -1)
+            while k:
+                best = max(best, tree[k], key=lambda x: x[0])
+                k &= k - 1
+            total[i], back[i] = best[0] + w, best[1]
+            k = place[v]
+            while k < len(tree):
+                if total[i] > tree[k][0]:
+                    tree[k] = (total[i], i)
+                k += k & -k
+        keep, i = [], max(range(len(pdf)), key=total.__getitem__, default=-1)
+        while i >= 0:
+            keep.append(i)
+            i = back[i]
+        return pdf.iloc[sorted(keep)]
+
+    return rows.groupBy(key, item).applyInPandas(chain, rows.schema)
+
+
 def monotone(rows: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """The longest chain of anchors rising on both sides, for each pair (a group is one pair's anchors). [J10]"""
 

@@ -236,7 +236,7 @@ def shingle_containment(spark, d):
 
 @query(f"WITH {GRAM.format('gd', 'doc_id', 4, 'documents')}, {GRAM.format('gi', 'item_id', 4, 'benchmark')}, a AS (SELECT doc_id, gram, min(pos) AS pos FROM gd GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT item_id, gram, min(pos) AS item_pos FROM gi GROUP BY 1, 2 HAVING count(*) = 1) SELECT doc_id, item_id, pos, item_pos FROM a JOIN b USING (gram)")
 def anchor_pairs(spark, d):
-    return align.anchors(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return align.anchors(table(spark, d, "documents"), table(spark, d, "benchmark"), least_distinct=1)
 
 
 @query(None)
