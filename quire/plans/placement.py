@@ -1,11 +1,11 @@
-"""Queries of ``quire.operators.placement`` and of anchors with different words; misreads and other orders are put into the tables' texts by Spark."""
+"""Queries of ``quire.operators.placement``, of anchors with different words and of shell commands; misreads and other orders are put into the tables' texts by Spark."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quire.functions.text import tokens, words
-from quire.operators import align, placement
+from quire.operators import align, placement, policy
 from quire.plans.catalog import GRAM, query, table
 
 _ONCE = "{0} AS (SELECT {1}, gram, min(pos) AS {2} FROM {3} WHERE len(list_distinct(string_split(gram, ' '))) > 2 GROUP BY 1, 2 HAVING count(*) = 1)"
@@ -77,3 +77,24 @@ def source_order_fuzzy(spark, d):
     misread = F.transform("words", lambda w, k: F.when((F.col("i") % 3 == 1) & (k == 2), F.lit("misread")).otherwise(w))
     blocks = lines.where("i % 10 <> 9").select("work", F.lit(0).alias("text"), "i", misread.alias("words"))
     return placement.order_in_source(blocks, lines.select("work", F.col("i").alias("j"), "words", "line"))
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, doc_id % 6 AS k, coalesce(lang, 'und') AS l, doc_id % 4 AS q, '/w/' || coalesce(source, 'none') || '/' AS w FROM documents),
+f AS (SELECT *, CASE q WHEN 0 THEN 'edition/' || doc_id || '.md' WHEN 1 THEN 'my notes/' || doc_id || '.md' WHEN 2 THEN '../../plat/' || l || '.py' ELSE l || '.env' END AS f FROM c)
+SELECT doc_id, CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN CASE WHEN q = 3 AND l = 'de' THEN 'secret' END
+  WHEN q = 0 THEN 'derived' WHEN q = 2 THEN 'forbidden-root' WHEN q = 3 AND l = 'de' THEN 'secret' END AS rule FROM f""")
+def shell_policy(spark, d):
+    """Documents as shell commands on files with spaces, dots and quotes: written by redirection, tee, sed and mv, only named in a quotation, or read."""
+    k, q, c = F.col("doc_id") % 6, F.col("doc_id") % 4, F.col
+    lang, one = F.coalesce("lang", F.lit("und")), c("doc_id").cast("string")
+    file = F.when(q == 0, F.concat(F.lit("edition/"), one, F.lit(".md"))).when(q == 1, F.concat(F.lit("my notes/"), one, F.lit(".md"))).when(q == 2, F.concat(F.lit("../../plat/"), lang, F.lit(".py"))).otherwise(F.concat(lang, F.lit(".env")))
+    put = lambda before, after="": F.concat(F.lit(before), file, F.lit(after))
+    command = (
+        F.when(k == 0, put("echo 'a > b' >> '", "' 2>&1")).when(k == 1, put('X="a b" tee -a "', '" < in')).when(k == 2, put("cd x; sed -i.bak 's/a|b/c;d/' \"", "\"")).when(k == 3, put("mv 'a b' \"", "\" && ls"))
+        .when(k == 4, put("echo \"x > ", " && rm y\"")).otherwise(put("head -n 3 '", "' | wc"))
+    )
+    folder = F.concat(F.lit("/w/"), F.coalesce("source", F.lit("none")), F.lit("/"))
+    calls = table(spark, d, "documents").select("doc_id", F.lit("bash").alias("tool"), F.lit(None).cast("string").alias("path"), command.alias("command"), folder.alias("cwd"))
+    rules = policy.Policy(("/plat",), ("de.env",), works=tuple(f"/w/src{i}" for i in range(20)) + ("/w/none",))
+    return policy.judge(calls, rules).select("doc_id", "rule")
