@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 #: Code points that the tables cover: Latin, Greek, Cyrillic and their extensions, presentation forms and full-width letters.
 COVERED = (range(0xA0, 0x0600), range(0x1D00, 0x2200), range(0xA720, 0xA800), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
 # Marks of an omitted m or n (tilde, macron, overline), accents (grave, acute, circumflex), vowels that carry them, ligatures, and other abbreviation marks.
@@ -190,7 +192,7 @@ def words_of(text: Column, kind: str = "letters") -> Column:
     """Tokens of one of the classes of TOKENS; those of letters are read from composed text without comments and link targets, those of ASCII from lower case. [T1]"""
     if kind == "letters":
         for sign, pattern, put in (("<!--", r"(?s)<!--.*?-->", " "), ("]]", r"\|[^\]|]*\]\]", "]]")):
-            text = F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, put)).otherwise(text)  # most texts have neither
-        text = composed(text)
+            text = let(text, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, put)).otherwise(t))  # noqa: B023 (most texts have neither)
+        text = let(text, composed)
     text = F.lower(text) if kind == "ascii" else text
     return F.coalesce(F.regexp_extract_all(text, F.lit(TOKENS[kind]), F.lit(0)), F.array().cast("array<string>"))

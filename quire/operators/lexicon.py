@@ -39,9 +39,12 @@ def build(docs: DataFrame, text: str = "text", by: str | None = None, exclude: C
     on = F.col("_d") == F.col("_of")
     if by:
         on = on & F.col(by).eqNullSafe(F.col("_by"))
-    met = rows.join(copies, on, "left").select(*keys, F.coalesce("_c", F.lit(1)).alias("_c"), F.explode(words_of(F.col(text))).alias("form"))
-    forms = met.groupBy(*keys, "_c", "form").agg(F.count("*").alias("n"))  # so patterns see each form once
-    return forms.where(~exclude(F.col("form"))).groupBy(*keys, F.lower("form").alias("form")).agg(F.sum(F.expr("n div _c")).alias("n"))
+    # the outer form: else Spark asks for the arrays' sizes first, which makes them twice
+    met = rows.join(copies, on, "left").select(*keys, F.coalesce("_c", F.lit(1)).alias("_c"), F.explode_outer(words_of(F.col(text))).alias("form"))
+    forms = met.groupBy(*keys, "_c", "form").agg(F.count("*").alias("n")).where("form is not null")
+    # asked of n too, so that Spark can't ask it of each token before they are counted
+    kept = F.when(F.col("n") > 0, ~exclude(F.col("form")))
+    return forms.where(kept).groupBy(*keys, F.lower("form").alias("form")).agg(F.sum(F.expr("n div _c")).alias("n"))
 
 
 def out_of_vocabulary(texts: DataFrame, lexicon: DataFrame, least_length: int = 4, min_count: int = 1, text: str = "text") -> DataFrame:
