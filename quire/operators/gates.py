@@ -142,11 +142,11 @@ def ledger_problems(rows: DataFrame) -> DataFrame:
     ])
 
 
-def incident_problems(rows: DataFrame, tool: str) -> DataFrame:
-    """(id, problem) of incidents against their schema; ``tool`` names the library in routing targets ``tool:module``. [P14]"""
+def incident_problems(rows: DataFrame, tool: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, problem) of incidents against their schema; ``tool`` names the library in routing targets ``tool:module``. [P14]"""
     status = F.coalesce("status", F.lit("open"))
     route = rf"^(work-readme|house-style|agents-md|harness|skill:[\w.-]+|{tool}:[\w.]+)$"
-    return _listed(rows, ["id"], [
+    return _listed(rows, keys, [
         *[(f"missing {c}", _blank(F.col(c).cast("string"))) for c in ("id", "ts", "kind", "what")], ("kind", ~_blank("kind") & ~F.col("kind").isin(*INCIDENT_KINDS)), ("stage", ~F.coalesce("stage", F.lit("other")).isin(*STAGES)),
         ("status", ~status.isin(*STATUSES)), ("fix is no target", ~_blank("fix") & ~F.col("fix").rlike(route)), ("closed without why", status.isin("fixed-here", "promoted") & _blank("why")), ("promoted without fix", (status == "promoted") & _blank("fix")),
     ])
