@@ -323,13 +323,45 @@ def section_rows(works: DataFrame, entries: list[dict], headings: dict[str, str]
 
 
 def join_pieces(pieces: DataFrame, by: str, n: str = "part", text: str = "text") -> DataFrame:
-    """(by, text, missing): parts 1..N in order; one that ends in ⟨CONT⟩ runs on: its hyphen drops, or a space joins, and emphasis closed and opened again there merges. missing is true where parts lack a number. [T16]"""
-    rows = pieces.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(n).cast("int").alias("n"), F.col(text).alias("t")))).alias("x"))
-    out = F.array_join(F.transform("x", lambda p: F.regexp_replace(p["t"], r"^\s+|\s+$", "")), "\n\n")
-    out = F.regexp_replace(out, r"([*_]+)\s*⟨CONT⟩\s*\1", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"-\s*⟨CONT⟩\s*(?!#|>)", ""), r"\s*⟨CONT⟩\s*(?!#|>)", " ")
-    gap = (F.element_at(F.transform("x", lambda p: p["n"]), -1) != F.size("x")) | (F.element_at("x", 1)["n"] != 1)
-    return rows.select(by, F.regexp_replace(out, r"\s*⟨CONT⟩\s*", "\n\n").alias("text"), gap.alias("missing"))
+    """(by, text, missing): a page's pieces 1..N in order. [T16]
+
+    A piece that ends in ⟨CONT⟩ runs on into the next: a hyphen at its end drops (not one after a space), otherwise a space joins, and
+    emphasis that closes there and opens again merges. Other pieces, and what begins with a layer's mark (<<<), stand after a blank line.
+    missing is true where parts lack a number or have one twice. Null texts are empty pieces.
+    """
+    rows = pieces.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(n).cast("int").alias("n"), F.coalesce(text, F.lit("")).alias("t")))).alias("x"))
+    mark = r"\s*⟨CONT⟩\s*$"
+    left, right = lambda c: F.regexp_replace(c, r"^\s+", ""), lambda c: F.regexp_replace(c, r"\s+$", "")
+    bodies = F.transform("x", lambda p: F.struct(p["n"].alias("n"), F.regexp_replace(F.regexp_replace(p["t"], mark, ""), r"^\n+|\n+$", "").alias("body"), p["t"].rlike(mark).alias("on")))
+
+    def run_on(x: Column) -> Column:
+        """(what is done, what may still change): the last piece loses its hyphen or closing emphasis, the next one its opening emphasis."""
+        a, b = right(x["a"]), left(x["b"])
+        stars = F.when(a.endswith("**") & b.startswith("**") & ~b.startswith("***"), 2).when(a.endswith("*") & b.startswith("*") & ~b.startswith("**"), 1).otherwise(0)
+
+        def glue(y: Column) -> Column:
+            tail = F.when(y["k"] > 0, F.substr(y["a"], F.lit(1), F.length(y["a"]) - y["k"])).otherwise(x["a"])
+            cut = tail.endswith("-") & ~tail.endswith(" -")
+            return F.struct(F.when(cut, F.substr(tail, F.lit(1), F.length(tail) - 1)).otherwise(F.concat(right(tail), F.lit(" "))).alias("done"), left(F.substr(y["b"], y["k"] + 1)).alias("last"))
+
+        return let(F.struct(a.alias("a"), b.alias("b"), stars.alias("k")), glue)
+
+    def add(acc: Column, p: Column) -> Column:
+        pair = F.struct(acc["last"].alias("a"), p["body"].alias("b"))
+        apart = F.struct(F.concat(F.regexp_replace(acc["last"], r"\n+$", ""), F.lit("\n\n")).alias("done"), p["body"].alias("last"))
+        both = F.when((F.size(acc["out"]) == 0) & (acc["last"] == ""), F.struct(F.lit("").alias("done"), p["body"].alias("last"))).when(
+            acc["on"] & ~left(p["body"]).startswith("<<<"), let(pair, run_on)
+        ).otherwise(apart)
+        blank = lambda y: F.trim(y["last"]) == ""  # noqa: E731 (then what was before may still change)
+        return let(both, lambda y: F.struct(
+            F.when(blank(y), acc["out"]).otherwise(F.array_append(acc["out"], y["done"])).alias("out"), F.when(blank(y), F.concat(y["done"], y["last"])).otherwise(y["last"]).alias("last"), p["on"].alias("on")
+        ))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(False).alias("on"))
+    whole = F.aggregate("_b", start, add, lambda a: F.concat(F.array_join(a["out"], ""), a["last"]))
+    out = F.regexp_replace(F.regexp_replace(whole, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    numbers = F.transform("x", lambda p: p["n"])
+    return rows.withColumn("_b", bodies).select(by, out.alias("text"), (numbers != F.sequence(F.lit(1), F.size("x"))).alias("missing"))
 
 
 def renumber_margins(text: str | None) -> str | None:

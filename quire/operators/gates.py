@@ -158,8 +158,8 @@ def reads_as(word: Column, form: Column) -> Column:
     from quire.operators.edition import bars_apart
     from quire.operators.expand import accents_as_bars
 
-    parts = F.filter(F.split(bars_apart(accents_as_bars(spelled)), ""), lambda c: c != "")
-    pattern = F.array_join(F.transform(parts, lambda c: F.when(c == "̄", "[mn]?").otherwise(fold(c, "plain"))), "")
+    parts = F.split(bars_apart(accents_as_bars(spelled)), "̄", -1)
+    pattern = F.array_join(F.transform(parts, lambda c: fold(c, "plain")), "[mn]?")
     return F.rlike(fold(form, "plain"), F.concat(F.lit("^"), pattern, F.lit("$")))
 
 
@@ -168,7 +168,8 @@ def waived_misreadings(waivers: DataFrame, reads: DataFrame) -> DataFrame:
     quoted = F.regexp_extract("reason", r"(?i)blind read:\s*(\S+)", 1)
     rows = waivers.where(reads_as(F.regexp_replace(quoted, r"[\"'«»“”,.;)]+$|^[\"'«»“”(]+", ""), F.col("form")) & (quoted != "")).withColumn("_k", fold(F.col("form"), "plain"))
     met = rows.join(reads.select(fold(F.col("form"), "plain").alias("_k"), "reader", "word"), "_k")
-    met = met.groupBy("form", "reason").agg(F.count_distinct(F.when(reads_as(F.col("word"), F.col("form")), F.col("reader"))).alias("agree"), F.count_if(~reads_as(F.col("word"), F.col("form"))).alias("differ"))
+    met = met.withColumn("_same", reads_as(F.col("word"), F.col("form")))
+    met = met.groupBy("form", "reason").agg(F.count_distinct(F.when(F.col("_same"), F.col("reader"))).alias("agree"), F.count_if(~F.col("_same")).alias("differ"))
     return met.where("agree >= 2 and differ = 0").select("form", "reason")
 
 

@@ -161,14 +161,18 @@ def punctuate(texts: DataFrame, rows: DataFrame, unit: str = "unit", text: str =
     """(texts, stale rows): rows (unit, find, put, occurrence, case_rule) that pass ``skeleton_kept`` applied at the n-th occurrence, or all for *; a row whose text is gone, or that fails, is returned. [T12]"""
     met = rows.join(texts.select(unit, text), unit, "left")
     n = F.size(F.split(text, F.concat(F.lit("\\Q"), F.col("find"), F.lit("\\E")), F.lit(-1))) - 1
-    fine = skeleton_kept(F.col("find"), F.col("put"), F.col("case_rule")) & (F.when(F.col("occurrence") == "*", n > 0).otherwise(n >= F.col("occurrence").cast("int")))
+    fine = skeleton_kept(F.col("find"), F.col("put"), F.col("case_rule")) & (F.when(F.col("occurrence") == "*", n > 0).otherwise((F.col("occurrence").try_cast("int") >= 1) & (n >= F.col("occurrence").try_cast("int"))))
     met = met.withColumn("_ok", F.coalesce(fine, F.lit(False)))
-    nth = F.when(F.col("occurrence") == "*", F.sequence(F.lit(1), n)).otherwise(F.array(F.col("occurrence").cast("int")))
+    refused = met.where("not _ok").select(rows.columns)
     pieces = F.split(text, F.concat(F.lit("\\Q"), F.col("find"), F.lit("\\E")), F.lit(-1))
-    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda acc, p: acc + F.length(p)) + (i - 1) * F.length("find"))
-    spans = met.where("_ok").select(unit, "find", "put", F.explode(F.transform(nth, lambda i: F.element_at(starts, i))).alias("start"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length("find")).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out"))
+    starts = F.aggregate(F.slice(pieces, 1, n), zero, step, lambda a: a["out"])  # where each occurrence begins, counted along once
+    met = met.where("_ok").withColumn("_starts", starts)
+    nth = F.when(F.col("occurrence") == "*", F.col("_starts")).otherwise(F.array(F.element_at("_starts", F.greatest(F.coalesce(F.col("occurrence").try_cast("int"), F.lit(1)), F.lit(1)))))
+    spans = met.select(unit, "find", "put", F.explode(nth).alias("start"))
     edits = spans.select(unit, F.col("start").cast("long").alias("start"), (F.col("start") + F.length("find")).cast("long").alias("end"), F.col("find").alias("was"), F.col("put").alias("new"))
-    return apply_edits(texts, edits, unit, text)[0], met.where("not _ok").select(rows.columns)
+    return apply_edits(texts, edits, unit, text)[0], refused
 
 
 # ---------------------------------------------------------------- runs of outside tools

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quire.plans import catalog, edition, gates, placement, publishing, rules  # noqa: F401  (these add their queries to the catalogue)
+from quire.plans import catalog, edition, gates, placement, publishing, rules, texts  # noqa: F401  (these add their queries to the catalogue)
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
