@@ -14,6 +14,8 @@ from pyspark.sql.types import LongType, StructType
 
 from quire.functions.text import fold_accents, tokens
 from quire.functions.unicode import fold as fold_as
+from quire.operators.order import in_blocks
+from quire.operators.order import positions as in_order
 
 
 def positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -244,9 +246,9 @@ def block_alignment(blocks: DataFrame, floor: float = 0.30, gap: float = -0.35,
 
 def line_set_jaccard(docs: DataFrame, by: str = "source", key: str = "doc_id", band: int = 3, least: float = 0.30) -> DataFrame:
     """(by, a, b, permille) of neighbouring documents of a work whose token sets are alike; the band keeps the join linear. [J13, M3]"""
-    rows = docs.select(by, key, F.array_distinct(tokens(F.col("text"))).alias("s"))
-    w = W.partitionBy(by).orderBy(key)
-    near = rows.select(by, F.col(key).alias("a"), "s", F.array(*[F.lead(F.struct(key, "s"), k).over(w) for k in range(1, band + 1)]).alias("ns"))
+    rows = in_order(docs.select(by, key, F.array_distinct(tokens(F.col("text"))).alias("s")), [by], key)
+    w = W.partitionBy(by, "block").orderBy("pos")
+    near = in_blocks(rows, band).select(by, F.col(key).alias("a"), "s", "own", F.array(*[F.lead(F.struct(key, "s"), k).over(w) for k in range(1, band + 1)]).alias("ns")).where("own")
     near = near.select(by, "a", "s", F.explode("ns").alias("n")).where("n is not null")
     i, u = F.size(F.array_intersect("s", "n.s")), F.size(F.array_union("s", "n.s"))
     return near.select(by, "a", F.col(f"n.{key}").alias("b"), F.floor(i * 1000 / F.greatest(u, F.lit(1))).cast("long").alias("permille")).where(F.col("permille") >= int(least * 1000))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.notes import by_text, note_defects, spans
 from quire.functions.text import let
 from quire.operators.edition import hoist_rubrics, renumber_notes
+from quire.operators.order import positions
 
 # A boundary's kinds, marks of notes that run over a page, and words that may stand twice at a seam.
 KINDS = ("hyphen", "space", "para")
@@ -212,7 +212,7 @@ def published_sections(sections: DataFrame, work: str = "work", n: str = "n", ke
 
 def page_ranges(numbers: DataFrame, by: list[str], n: str = "n") -> DataFrame:
     """(by, ranges): numbers as ``a-b,c``, in order. [S1]"""
-    rows = numbers.select(*by, F.col(n).cast("long").alias("n")).distinct().withColumn("_g", F.col("n") - F.row_number().over(W.partitionBy(*by).orderBy("n")))
+    rows = positions(numbers.select(*by, F.col(n).cast("long").alias("n")).distinct(), by, "n").withColumn("_g", F.col("n") - F.col("pos"))
     runs = rows.groupBy(*by, "_g").agg(F.min("n").alias("a"), F.max("n").alias("b"))
     name = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     return runs.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", name.alias("name")))), lambda x: x["name"]), ",").alias("ranges"))

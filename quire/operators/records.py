@@ -47,7 +47,7 @@ def compare_runs(results: DataFrame, key: str, label: str, value: str, a: str, b
 def round_robin(rows: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
     """(round, by, key): one row of each work in turn, in an order fixed by a hash of the seed, until n. [O2, O3]"""
     rank = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    turn = rows.select(by, key, F.row_number().over(W.partitionBy(by).orderBy(rank)).cast("long").alias("round"))
+    turn = rows.select(by, key, F.row_number().over(W.partitionBy(by).orderBy(rank)).cast("long").alias("round")).where(F.col("round") <= n)  # n of each work are kept before the shuffle
     return turn.orderBy("round", by).limit(n)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import ends_open, lines, starts_lower, tokens, words
 from quire.functions.unicode import CLASSES, class_count, composed
+from quire.operators.order import positions
 
 # Residue labels with their patterns, and the scripts counted as foreign.
 RESIDUE = (("stray-asterisks", r"\*\*\*"), ("comment", r"<!--"), ("todo", r"TODO|XXX"), ("uncertain", r"\[\?\]"), ("wrapper", r"<<<|>>>"), ("soft-hyphen", "­"), ("url", r"https?://"), ("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"))
@@ -146,12 +147,16 @@ def duplicate_blocks(docs: DataFrame, by: str = "lang", key: str = "doc_id", lea
 
 def join_kinds(docs: DataFrame, by: str = "source", key: str = "doc_id") -> DataFrame:
     """(by, kind, n): how each page joins the next of its work: hyphen, para or space. [J7]"""
-    w = W.partitionBy(by).orderBy(key)
-    rows = docs.select(by, key, F.trim("text").alias("t")).withColumn("nxt", F.lead("t").over(w)).where("nxt is not null")
-    t, n = F.col("t"), F.col("nxt")
+    t = F.col("t")
+    ends = F.when(t == "", "blank").when(t.rlike(r"\p{L}-[*_]*$"), "hyphen").when(ends_open(t), "open").otherwise("whole")
+    begins = F.when(t == "", "blank").when(t.rlike(r"^(#|\*\*|[a-z]\))"), "mark").when(t.rlike(r"^\p{Ll}"), "small").otherwise("other")
+    rows = docs.select(by, key, F.trim("text").alias("t")).select(by, key, ends.alias("ends"), F.when(t.isNotNull(), begins).alias("begins"))  # texts stay where they are
+    rows = positions(rows, [by], key)
+    after = rows.select(F.col(by).alias("_by"), (F.col("pos") - 1).alias("_pos"), F.col("begins").alias("next")).where("next is not null")
+    rows = rows.join(after, F.col(by).eqNullSafe(F.col("_by")) & (F.col("pos") == F.col("_pos")))
     kind = (
-        F.when((t == "") | (n == ""), "para").when(t.rlike(r"\p{L}-[*_]*$"), "hyphen").when(n.rlike(r"^(#|\*\*|[a-z]\))"), "para")
-        .when(n.rlike(r"^\p{Ll}"), "space").when(ends_open(t), "space").otherwise("para")
+        F.when((F.col("ends") == "blank") | (F.col("next") == "blank"), "para").when(F.col("ends") == "hyphen", "hyphen").when(F.col("next") == "mark", "para")
+        .when(F.col("next") == "small", "space").when(F.col("ends") == "open", "space").otherwise("para")
     )
     return rows.groupBy(by, kind.alias("kind")).agg(F.count("*").alias("n"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions.notes import by_text
+from quire.operators.order import positions
 
 def _files(spark: SparkSession, patterns: list[str], exclude: list[str], recursive: bool) -> DataFrame:
     """(path, text) of the files that match, each once; text is read whole."""
@@ -201,10 +202,7 @@ def crop_box(boxes: DataFrame, keys: list[str], pad: float = 6.0, tallest: float
 
 def packets(sites: DataFrame, order: str, size: int = 25, by: str | None = None) -> DataFrame:
     """Add packet: runs of ``size`` sites in order (within ``by``); sites that differ in spelling alone should be left out before. [S14]"""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*([by] if by else [F.lit(0)])).orderBy(order)
-    return sites.withColumn("packet", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return positions(sites, [by] if by else [], order, "_pos").withColumn("packet", F.floor(F.col("_pos") / size).cast("long")).drop("_pos")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
