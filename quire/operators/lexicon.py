@@ -53,14 +53,15 @@ def out_of_vocabulary(texts: DataFrame, lexicon: DataFrame, least_length: int =
     return seen.join(lexicon.where(F.col("n") >= min_count).select("form"), "form", "left_anti")
 
 
-def near_misses(lexicon: DataFrame, rare: int = 1, common: int = 200, least_length: int = 5) -> DataFrame:
-    """(form, best, best_n): rare forms one edit (also an adjacent swap) from a common form, by joining one-letter deletions. [J2]"""
+def near_misses(lexicon: DataFrame, rare: int = 1, common: int = 200, least_length: int = 5, same: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(form, best, best_n): rare forms one edit (also an adjacent swap) from a common form, by joining one-letter deletions; of several the most frequent. With ``same``, only forms of which it says the same meet. [J2]"""
     cuts = lambda c: F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1))))
     low = lexicon.where((F.col("n") <= rare) & (F.length("form") >= least_length)).select("form", F.explode(F.array_distinct(cuts("form"))).alias("cut"))
     high = lexicon.where(F.col("n") >= common).select(F.col("form").alias("best"), F.col("n").alias("best_n"))
     high = high.withColumn("cut", F.explode(F.array_distinct(cuts("best"))))
     swap = F.expr("length(form) = length(best) and exists(sequence(1, length(form)), i -> concat(substr(form, 1, i - 1), substr(form, i + 1, 1), substr(form, i, 1), substr(form, i + 2)) = best)")
     met = low.join(high, "cut").where((F.levenshtein("form", "best") == 1) | swap)
+    met = met.where(same(F.col("form")) == same(F.col("best"))) if same else met
     return met.groupBy("form").agg(F.max(F.struct("best_n", "best")).alias("m")).select("form", "m.best", "m.best_n")
 
 

@@ -79,8 +79,7 @@ def oov_vs_benchmark(spark, d):
 
 @query(f"WITH {LEX}, m AS (SELECT a.form, b.form AS best, b.n AS best_n, row_number() OVER (PARTITION BY a.form ORDER BY b.n DESC, b.form DESC) AS k FROM lex a JOIN lex b ON a.n = 1 AND length(a.form) >= 5 AND b.n >= 200 AND abs(length(a.form) - length(b.form)) <= 1 AND regexp_replace(a.form, '[ -~]', '', 'g') = regexp_replace(b.form, '[ -~]', '', 'g') AND damerau_levenshtein(a.form, b.form) = 1) SELECT form, best, best_n FROM m WHERE k = 1")
 def near_misses(spark, d):
-    strange = lambda c: F.regexp_replace(c, "[ -~]", "")
-    return lexicon.near_misses(_lex(spark, d)).where(strange(F.col("form")) == strange(F.col("best")))
+    return lexicon.near_misses(_lex(spark, d), same=lambda c: F.regexp_replace(c, "[ -~]", ""))
 
 
 @query(f"WITH {LEX} SELECT translate(form, '{ACCENTED}', '{PLAIN}') AS key, count(*) AS n_forms, sum(n)::BIGINT AS total FROM lex GROUP BY 1 HAVING count(*) > 1")
