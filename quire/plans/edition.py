@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.text import ACCENTED, PLAIN, lines
+from quire.functions.text import ACCENTED, PLAIN, fold_accents, let, lines
 from quire.operators import align, edition
 from quire.operators.edition import BAR
 from quire.plans.catalog import LEX, LINES, _lex, query, table
@@ -167,7 +167,9 @@ def collation_sites(spark, d):
 )
 def shared_errors(spark, d):
     """The two agreed witnesses read ``thxt`` for each lone ``that`` of the third voice."""
-    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.lower("text").alias("text"))
-    lone = r"(?<![\p{L}\p{N}])(?<!that[^\p{L}\p{N}]{1,4})that(?=[^\p{L}\p{N}]+(?!that(?![\p{L}\p{N}]))[\p{L}\p{N}])"
-    rows = rows.withColumn("own", F.regexp_replace("text", lone, "thxt")).withColumn("none", F.lit(None).cast("string"))
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", fold_accents(F.col("text")).alias("text"))
+    other = lambda w, i: F.coalesce(F.get(w, i) != "that", F.lit(False))
+    misread = lambda w: F.transform(w, lambda x, i: F.when((x == "that") & other(w, i - 1) & other(w, i + 1), "thxt").otherwise(x))
+    own = F.array_join(let(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), misread), " ")
+    rows = rows.withColumn("own", own).withColumn("none", F.lit(None).cast("string"))
     return align.shared_errors(align.collation_sites(rows, "own", "text", "none", ["conv_id", "turn"]), _lex(spark, d), ["conv_id", "turn"])

@@ -136,3 +136,13 @@ def test_shared_errors(spark):
     words = lex(spark, the=900, fame=40, same=300, sames=40)
     got = {(r.k, r.own, r.other) for r in align.shared_errors(spark.createDataFrame(rows, site), words, ["k"]).collect()}
     assert got == {(1, "thc", "the"), (2, "fame", "same")}
+
+
+def test_shared_errors_query(spark, tmp_path):
+    """A word that only ends in ``that`` doesn't make the next one a repeat; long gaps and accents don't hide one."""
+    from quire.plans.edition import shared_errors
+
+    spark.createDataFrame([(1, "that " * 60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(1, "say hethat that you"), (2, "say that --------- that you"), (3, "that is"), (4, "say thât you"), (5, "so that"), (6, "we that say")]
+    spark.createDataFrame(turns, "conv_id long, text string").withColumn("turn", F.lit(0)).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {(r.conv_id, r.start) for r in shared_errors(spark, str(tmp_path)).collect()} == {(1, 2), (4, 1), (6, 1)}
