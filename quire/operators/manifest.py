@@ -6,9 +6,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+from quire.sources.shared import staged
+
 #: The deepest nesting that is walked; deeper trees are an error of Spark's, never cut.
 DEEPEST = 100
 
@@ -32,6 +35,67 @@ def _unbounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(DEEPEST))
 
 
+_NODE, _TEXT = "struct<name:string,v:variant,place:string,entries:array<struct<key:string,pos:int,value:variant>>>", "struct<name:string,language:string,content:string,place:string>"
+
+
+def _depth(text: Column) -> Column:
+    """How deep brackets of a JSON text are nested, those in its strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"|[^\[\]{}"]+', "")
+    step = lambda acc, c: F.struct((acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(acc["most"], acc["d"] + 1).alias("most"))
+    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def _get(v: Column, field: str, kind: str = "string") -> Column:
+    return F.try_variant_get(v, f"$.{field}", kind)
+
+
+def _own(v: Column, name: Column) -> Column:
+    """A node's key, else that of the node it stands in."""
+    full = lambda f: F.nullif(_get(v, f), F.lit(""))
+    outline = _get(v, "section_type").isNotNull() & _get(v, "id").isNotNull() & full("section_key").isNull()
+    return F.when(outline, F.concat(F.lit("section-"), _get(v, "id"))).otherwise(F.coalesce(full("section_key"), full("slug"), full("id"), name))
+
+
+def _is_text(v: Column) -> Column:
+    return F.coalesce((_get(v, "op") == "put_text") & _get(v, "content").isNotNull(), F.lit(False))
+
+
+def _nth(i: Column) -> Column:
+    return F.lpad(i.cast("string"), 9, "0")
+
+
+def _entries(v: Column) -> Column:
+    """(key, pos, value) of what an object, by name, or a list holds."""
+    entry = lambda key, i, value: F.struct(key.cast("string").alias("key"), i.cast("int").alias("pos"), value.alias("value"))
+    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: entry(e["key"], i, e["value"]))
+    return F.coalesce(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: entry(F.lit(None), i, x)), fields)
+
+
+def _texts() -> Column:
+    """The texts of a node (node, _own, _put) as (node, text): itself, or those that it lists."""
+    v, place = F.col("node.v"), F.col("node.place")
+    shaped = lambda name, language, content, at: F.struct(F.lit(None).cast(_NODE).alias("node"), F.struct(name.alias("name"), language.alias("language"), content.alias("content"), at.alias("place")).alias("text"))
+
+    def held(e: Column) -> Column:
+        said, plain = F.try_variant_get(e["value"], "$.content", "variant"), F.try_variant_get(e["value"], "$", "string")
+        content = F.when(e["key"].isNotNull() & (F.schema_of_variant(e["value"]) == "STRING"), plain).when(F.schema_of_variant(said) == "STRING", F.try_variant_get(said, "$", "string"))
+        return shaped(F.col("_own"), F.coalesce(e["key"], _get(e["value"], "language")), content, F.concat(place, F.lit("/"), _nth(e["pos"])))
+
+    put = F.array(shaped(F.concat(F.lit("section-"), _get(v, "section_id")), _get(v, "language"), _get(v, "content"), place))
+    listed = F.filter(F.transform(_entries(_get(v, "texts", "variant")), held), lambda x: x["text"]["content"].isNotNull())
+    return F.when(F.col("_put"), put).otherwise(F.coalesce(listed, F.array().cast(f"array<struct<node:{_NODE},text:{_TEXT}>>")))
+
+
+def _below() -> Column:
+    """The nodes below a node (node, _own, _put) as (node, text); a text has none."""
+    place = F.col("node.place")
+    at = lambda e: F.concat(place, F.when(place == "", "").otherwise("/"), F.coalesce(e["key"], _nth(e["pos"])))
+    node = lambda e: F.struct(F.col("_own").alias("name"), e["value"].alias("v"), at(e).alias("place"), _entries(e["value"]).alias("entries"))
+    named = F.filter("node.entries", lambda e: F.coalesce(e["key"], F.lit("")) != "texts")
+    down = F.filter(F.transform(named, lambda e: F.struct(node(e).alias("node"), F.lit(None).cast(_TEXT).alias("text"))), lambda x: x["node"]["entries"].isNotNull())
+    return F.when(F.col("_put"), F.array().cast(f"array<struct<node:{_NODE},text:{_TEXT}>>")).otherwise(F.coalesce(down, F.array().cast(f"array<struct<node:{_NODE},text:{_TEXT}>>")))
+
+
 def manifest_units(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, unit, language, content, place) for every text of manifests in JSON, at any depth. [S11]
 
@@ -40,41 +104,24 @@ def manifest_units(files: DataFrame, path: str = "path", text: str = "text") ->
     string; an object ``op: put_text`` is a text of ``section-<section_id>``. Where a manifest has several works, units are
     ``<slug>/<key>``. ``place`` orders a manifest's texts: lists keep their order, fields of an object go by name. Broken JSON has no texts.
     """
-    spark = files.sparkSession
-    _unbounded(spark)
-    roots = files.select(F.col(path).alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
-    get = lambda f, kind="string": f"try_variant_get(v, '$.{f}', '{kind}')"
-    full = lambda f: f"nullif({get(f)}, '')"
-    own = f"""CASE WHEN {get('section_type')} IS NOT NULL AND {get('id')} IS NOT NULL AND {full('section_key')} IS NULL THEN concat('section-', {get('id')})
-              ELSE coalesce({full('section_key')}, {full('slug')}, {full('id')}) END"""
-    text_op = f"coalesce({get('op')} = 'put_text' AND {get('content')} IS NOT NULL, false)"
-    with _views(spark, roots=roots) as at:
-        walked = spark.sql(f"""
-WITH RECURSIVE nodes(path, name, v, place) AS (
-  SELECT path, '', v, '' FROM {at['roots']}
-  UNION ALL
-  SELECT n.path, n.own, e.value, concat(n.place, if(n.place = '', '', '/'), coalesce(e.key, lpad(cast(e.pos AS STRING), 9, '0')))
-  FROM (SELECT path, v, place, coalesce({own}, name) AS own FROM nodes WHERE NOT {text_op}) n, LATERAL variant_explode(n.v) e
-  WHERE coalesce(e.key, '') <> 'texts' AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'
-)
-SELECT path, place, v, coalesce({own}, name) AS name, {text_op} AS put FROM nodes""")
-        walked.schema  # analysed while the view is there
-    put = walked.where("put").select("path", "place", F.concat(F.lit("section-"), F.expr(get("section_id"))).alias("name"), F.expr(get("language")).alias("language"), F.expr(get("content")).alias("content"))
-    holders = walked.where("not put").select("path", "place", "name", F.expr(get("texts", "variant")).alias("t")).where("t is not null")
-    with _views(spark, holders=holders) as at:
-        held = spark.sql(f"""
-SELECT path, concat(place, '/', lpad(cast(e.pos AS STRING), 9, '0')) AS place, name, coalesce(e.key, try_variant_get(e.value, '$.language', 'string')) AS language,
-       CASE WHEN e.key IS NOT NULL AND schema_of_variant(e.value) = 'STRING' THEN cast(e.value AS STRING)
-            WHEN schema_of_variant(try_variant_get(e.value, '$.content', 'variant')) = 'STRING' THEN try_variant_get(e.value, '$.content', 'string') END AS content
-FROM {at['holders']}, LATERAL variant_explode(t) e""")
-        held.schema
-    rows = put.unionByName(held).where("content is not null")
-    several = roots.select("path", F.expr("try_variant_get(v, '$.works', 'array<variant>')").alias("w")).where("size(w) > 1").select("path", F.posexplode("w").alias("i", "v"))
-    several = several.select("path", F.col("i").alias("_i"), F.expr(get("slug")).alias("_slug"))
-    at_work = F.nullif(F.regexp_extract("place", r"^works/(\d{9})", 1), F.lit("")).cast("int")
-    met = rows.withColumn("_i", at_work).join(several, ["path", "_i"], "left")
-    unit = F.when(F.col("_slug").isNotNull(), F.concat_ws("/", "_slug", "name")).otherwise(F.col("name"))
-    return met.select("path", unit.alias("unit"), "language", "content", "place")
+    files = staged(files.select(F.col(path).alias("path"), F.col(text).alias("text")), "manifests")
+    deepest = files.agg(F.max(_depth(F.col("text")))).first()[0] or 0
+    if deepest > DEEPEST:  # of broken ones it says nothing
+        deepest = files.where(F.try_parse_json("text").isNotNull()).agg(F.max(_depth(F.col("text")))).first()[0] or 0
+    if deepest > DEEPEST:
+        raise ValueError(f"a manifest is nested {deepest} deep; {DEEPEST} are walked")
+    roots = files.select("path", F.explode(F.array(F.try_parse_json("text"))).alias("v")).where("v is not null")  # exploded, so that a text is parsed once
+    works = lambda w: F.when(F.size(w) > 1, F.transform(w, lambda x: _get(x, "slug")))
+    slugs = let(F.try_variant_get("v", "$.works", "array<variant>"), works).alias("slugs")
+    rows = roots.select("path", slugs, F.struct(F.lit("").alias("name"), "v", F.lit("").alias("place"), _entries(F.col("v")).alias("entries")).alias("node"), F.lit(None).cast(_TEXT).alias("text"))
+    for _ in range(deepest):  # narrow steps of one stage: a node gives way to its texts and to the nodes below it, a text stays
+        rows = rows.withColumns({"_own": _own(F.col("node.v"), F.col("node.name")), "_put": _is_text(F.col("node.v"))})
+        kept = F.array(F.struct("node", "text"))
+        rows = rows.select("path", "slugs", F.explode(F.when(F.col("node").isNull(), kept).otherwise(F.concat(_texts(), _below()))).alias("x")).select("path", "slugs", "x.node", "x.text")
+    at_work = F.nullif(F.regexp_extract("text.place", r"^works/(\d{9})", 1), F.lit("")).cast("int")
+    slug = F.get("slugs", at_work)
+    unit = F.when(slug.isNotNull(), F.concat_ws("/", slug, "text.name")).otherwise(F.col("text.name"))
+    return rows.where("text.content is not null").select("path", unit.alias("unit"), "text.language", "text.content", "text.place")
 
 
 # ---------------------------------------------------------------- rows to manifests

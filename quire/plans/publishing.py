@@ -87,10 +87,15 @@ def manifest_units(spark, d):
     """Each order as a manifest of two works: its lines with parts below them, and its head; orders without lines have one work."""
     text = lambda lang, c: F.struct(F.lit(lang).alias("language"), c.alias("content"))
     c = F.col
-    part = F.struct(c("l_partkey").alias("id"), F.lit("article").alias("section_type"), F.struct(F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("content")).alias("en"), F.lit("part").alias("la")).alias("texts"))
-    put = F.when(c("l_linenumber") % 2 == 0, F.array(F.struct(F.lit("put_text").alias("op"), c("l_suppkey").alias("section_id"), F.lit("de").alias("language"), F.lit("put").alias("content"))))
-    line = F.struct(F.concat(F.lit("l"), "l_linenumber").alias("section_key"), F.lit("slug").alias("slug"), F.array(text("la", F.concat("l_returnflag", "l_linestatus"))).alias("texts"), F.array(part).alias("children"), put.alias("ops"))
-    lines = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("sections"))
+
+    def section(x):
+        part = F.struct(x["l_partkey"].alias("id"), F.lit("article").alias("section_type"), F.struct(F.struct(F.date_format(x["l_shipdate"], "yyyy-MM-dd").alias("content")).alias("en"), F.lit("part").alias("la")).alias("texts"))
+        put = F.when(x["l_linenumber"] % 2 == 0, F.array(F.struct(F.lit("put_text").alias("op"), x["l_suppkey"].alias("section_id"), F.lit("de").alias("language"), F.lit("put").alias("content"))))
+        own = F.array(text("la", F.concat(x["l_returnflag"], x["l_linestatus"])))
+        return F.struct(F.concat(F.lit("l"), x["l_linenumber"]).alias("section_key"), F.lit("slug").alias("slug"), own.alias("texts"), F.array(part).alias("children"), put.alias("ops"))
+
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    lines = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("x")).select("o_orderkey", F.transform("x", section).alias("sections"))
     rows = table(spark, d, "orders").join(lines, "o_orderkey", "left")
     head = F.struct(F.lit("head").alias("slug"), F.struct(c("o_orderpriority").alias("la")).alias("texts"), F.lit(None).cast(lines.schema["sections"].dataType).alias("sections"))
     items = F.struct(F.lit("items").alias("slug"), F.lit(None).cast("struct<la:string>").alias("texts"), "sections")

@@ -70,3 +70,10 @@ def test_loops_and_lost_parents(spark):
     with pytest.raises(Exception, match="RECURSION"):
         below = sections.unionByName(spark.createDataFrame([("w", "x", "a")], sections.schema))
         manifest.locators(below.selectExpr("*", "if(key = 'x', 1, null) as printed_start", "cast(null as int) as printed_end"), ["work"]).collect()
+
+
+def test_units_are_walked_without_a_shuffle(spark):
+    files = spark.createDataFrame([("one", '{"works": [{"slug": "w", "texts": {"la": "A"}}, {"slug": "v"}]}')], "path string, text string")
+    got = manifest.manifest_units(files)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.unit, r.content) for r in got.collect()] == [("w/w", "A")]
