@@ -1,5 +1,6 @@
 """Streams of incidents and of results: state, late and repeated events, restarts."""
 
+from collections import namedtuple
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,3 +91,29 @@ def test_run_log(spark, tmp_path):
 
     assert run([("x", 1, "boom"), ("y", 1, None), ("z", 1, "a"), ("z", 2, "b")]) == {"x": (1, "retry", "boom"), "y": (1, "done", None), "z": (2, "retry", "b")}
     assert run([("x", 5, None), ("y", 6, "too late"), ("z", 7, "c")]) == {"x": (2, "done", None), "y": (1, "done", None), "z": (3, "failed", "c")}
+
+
+def test_a_batch_asks_the_state_once():
+    """Calls of the state for a batch of 500 events of one signature: as many as there are keys, not as there are events."""
+    calls = []
+
+    class Kept:
+        def __init__(self):
+            self.kept = {}
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: bool(self.kept), "containsKey": self.kept.__contains__, "getValue": self.kept.get, "updateValue": self.kept.__setitem__, "iterator": self.kept.items, "update": lambda v: self.kept.update(value=v)}[name]
+
+    class Handle:
+        def __getattr__(self, name):
+            calls.append(name)
+            return lambda *a: Kept()
+
+    life = incidents.Lifecycle()
+    life.init(Handle())
+    Event = namedtuple("Event", "ts event_id problem action source signature kind stage what why fix")
+    rows = [Event(T0 + timedelta(seconds=k), f"e{k % 500}", None, "add", "auto", "s", "tool-error", "read", "x", None, None) for k in range(600)]
+    out = list(life.handleInputRows(("w",), iter(rows), None))
+    assert len(out) == 500 and (out[-1]["id"], out[-1]["count"], out[-1]["seq"]) == ("pc-2024-03-01-1", 500, 500)
+    assert len(calls) < 30
