@@ -8,6 +8,7 @@ from quire.functions.text import ACCENTED, PLAIN, fold_accents, let, lines
 from quire.operators import align, edition
 from quire.operators.edition import BAR
 from quire.plans.catalog import LEX, LINES, _lex, query, table
+from quire.sources.shared import staged
 
 # Frequent forms, their m and n after vowels written as bars.
 TOK = rf"{LEX}, tok AS (SELECT DISTINCT regexp_replace(form, '([aeiou])[mn]', '\1{BAR}', 'g') AS token FROM lex WHERE n >= 20 AND regexp_matches(form, '[aeiou][mn]'))"
@@ -25,7 +26,7 @@ def _barred(lex):
     "SELECT token, CASE WHEN contains(token, 'ñ') THEN 'other-marks' WHEN form IS NULL THEN 'none' WHEN n2 IS NULL THEN 'unique' WHEN n >= 20 * n2 THEN 'frequency' ELSE 'variant' END AS status, CASE WHEN status IN ('none', 'variant', 'other-marks') THEN '' ELSE form END AS form, CASE WHEN status IN ('none', 'variant', 'other-marks') THEN 0 ELSE n END AS n FROM tok LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)"
 )
 def nasal_expansion(spark, d):
-    lex = _lex(spark, d)
+    lex = staged(_lex(spark, d), "lexicon")
     return edition.expand_nasals(_barred(lex), lex).fillna({"form": "", "n": 0})
 
 
@@ -38,7 +39,7 @@ def nasal_expansion(spark, d):
     "FROM u LEFT JOIN (SELECT * FROM f WHERE kf = 1) USING (token)"
 )
 def uv_decision(spark, d):
-    lex = _lex(spark, d)
+    lex = staged(_lex(spark, d), "lexicon")
     return edition.decide_uv(_barred(lex).select(F.translate("token", "v", "u").alias("token")), lex).fillna({"form": "", "n": 0})
 
 

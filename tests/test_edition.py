@@ -146,3 +146,15 @@ def test_shared_errors_query(spark, tmp_path):
     turns = [(1, "say hethat that you"), (2, "say that --------- that you"), (3, "that is"), (4, "say thât you"), (5, "so that"), (6, "we that say")]
     spark.createDataFrame(turns, "conv_id long, text string").withColumn("turn", F.lit(0)).write.parquet(str(tmp_path / "conversations.parquet"))
     assert {(r.conv_id, r.start) for r in shared_errors(spark, str(tmp_path)).collect()} == {(1, 2), (4, 1), (6, 1)}
+
+
+def test_tokens_meet_forms_by_one_key(spark):
+    """Only known forms meet a token, and as those that trying every spelling finds."""
+    forms = ["uua", "vua", "uva", "vva", "quamuum", "quanuum", "quamvum", "tamtum", "tantum", "bb", "nun", "mum"]
+    lex = spark.createDataFrame([(f, i + 1) for i, f in enumerate(forms)], "form string, n long")
+    tokens = spark.createDataFrame([(t,) for t in ("uua", "vva", "qua\u0304uum", "Ta\u0304tum", "u" * 9, "nu\u0304", "mum")], "token string").withColumn("bare", F.col("token"))
+    for uv in (True, False):
+        tried = tokens.select("token", F.explode(edition.spellings(F.col("bare"), uv)).alias("x")).select("token", F.lower("x.form").alias("form"), F.col("x.sig" if uv else "x.form").alias("reading")).join(lex, "form")
+        tried = tried if not uv else tried.where("token <> 'Ta\u0304tum'")
+        want = sorted((r.token, r.form, r.reading) for r in tried.collect())
+        assert want and sorted((r.token, r.form, r.reading) for r in edition._met(tokens, lex, uv).collect()) == want
