@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.sources.shared import staged
+from quire.sources.shared import small_batches, staged
 
 #: A stream's chunk, a gram that occurs more often is no evidence, votes are summed so far around an offset and must be so many, the window
 #: is so much wider on both sides, and unplaced runs of so many tokens are tried again.
@@ -142,30 +144,57 @@ HEAD, ALIKE, LEAST_WORDS, EXACT = 12, 0.75, 4, 8
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = [SequenceMatcher(None, list(s), list(h), autojunk=False).ratio() >= ALIKE for s, h in zip(b["theirs"], b["ours"], strict=True)]
-        yield b.loc[keep, ["work", "i", "j"]]
+        yield b.loc[keep, ["work", "o", "j"]]
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Where each block of one work goes: to its first candidate behind the cursor that is free, else the first free one, else the first; (work, text, i, hits) in order."""
+def _walk(blocks: Iterable[tuple], hits: dict[str, list[int]], restart: bool) -> list[tuple]:
+    """(i, j, kind, gap_from): where each block (i, text, g) of one work goes: to its first candidate of ``hits`` behind the cursor that is free, else the first free one, else the first."""
+    found = {g: (sorted(js), list(range(len(js) + 1))) for g, js in hits.items()}
     out, used, cursor, text = [], set(), -1, None
-    for r in rows.sort_values("i").itertuples():
-        if r.restart and r.text != text:
-            cursor, text = -1, r.text
-        hits = sorted(int(j) for j in r.hits) if r.hits is not None else []
-        if not hits:
-            out.append((r.work, r.i, None, "absent", None))
+
+    def free(js: list[int], then: list[int], k: int) -> int | None:
+        """The first free candidate from the k-th on; those passed are skipped the next time."""
+        passed = []
+        while k < len(js) and (then[k] != k or js[k] in used):
+            passed.append(k)
+            k = then[k] if then[k] != k else k + 1
+        for x in passed:
+            then[x] = k
+        return js[k] if k < len(js) else None
+
+    for i, own, g in blocks:
+        if restart and own != text:
+            cursor, text = -1, own
+        if g not in found:
+            out.append((i, None, "absent", None))
             continue
-        free = [j for j in hits if j not in used]
-        j = next((x for x in free if x > cursor), free[0] if free else hits[0])
+        js, then = found[g]
+        j = free(js, then, bisect_right(js, cursor))
+        j = free(js, then, 0) if j is None else j
+        j = js[0] if j is None else j
         if j in used:
-            out.append((r.work, r.i, j, "repeat", None))
+            out.append((i, j, "repeat", None))
         elif j < cursor:
-            out.append((r.work, r.i, j, "order", None))
+            out.append((i, j, "order", None))
         else:
-            out.append((r.work, r.i, j, None, cursor + 1 if cursor >= 0 else None))
+            out.append((i, j, None, cursor + 1 if cursor >= 0 else None))
             cursor = j
         used.add(j)
-    return pd.DataFrame(out, columns=["work", "i", "j", "kind", "gap_from"]).astype({"j": "Int32", "gap_from": "Int32"})
+    return out
+
+
+def _walks(restart: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                hits = defaultdict(list)
+                for g, j in zip(r.hit, r.at, strict=True) if r.hit is not None else ():
+                    hits[g].append(int(j))
+                out += [(r.work, *x) for x in _walk(zip(map(int, r.i), r.text, r.g, strict=True), hits, restart)]
+            yield pd.DataFrame(out, columns=["work", "i", "j", "kind", "gap_from"]).astype({"i": "Int32", "j": "Int32", "gap_from": "Int32"})
+
+    return run
 
 
 def order_in_source(blocks: DataFrame, flow: DataFrame, each_text: bool = False) -> DataFrame:
@@ -173,29 +202,43 @@ def order_in_source(blocks: DataFrame, flow: DataFrame, each_text: bool = False)
 
     A block of four words or more goes to paragraphs with its first eight words; without any, to those whose first twelve are alike by 0.75 or more (twice the
     matching words in order, over all words). Candidates share one of their rarest words: of heads alike by so much a block's ceil(0.4 n) + 1 rarest words can't
-    all be missing, so no pair is lost and no other is tried. Only numbers go through a work's cursor. With ``each_text`` every text starts its own cursor, and nothing
+    all be missing, so no pair is lost and no other is tried; of those, pairs with too few common words aren't aligned, and equal beginnings are compared once. Only numbers go through a work's cursor. With ``each_text`` every text starts its own cursor, and nothing
     between is missing. Paragraphs of up to two words in capitals, and those that are a whole block or a title given as one, may be left out.
     """
-    head = F.slice("words", 1, HEAD)
-    ours = staged(blocks.where(F.size("words") >= LEAST_WORDS).select("work", "text", F.col("i").cast("int").alias("i"), head.alias("ours"), F.array_join(F.slice("words", 1, EXACT), " ").alias("key"), F.array_join("words", " ").alias("whole")), "blocks")
-    theirs = staged(flow.select("work", F.col("j").cast("int").alias("j"), head.alias("theirs"), F.array_join(F.slice("words", 1, EXACT), " ").alias("key"), F.array_join("words", " ").alias("whole"), "line", F.size("words").alias("n")), "flow")
-    exact = ours.join(theirs.select("work", "j", "key"), ["work", "key"]).select("work", "i", "j")
-    rest = ours.join(exact.select("work", "i").distinct(), ["work", "i"], "left_anti")
-    counts = theirs.select("work", F.explode(F.array_distinct("theirs")).alias("w")).groupBy("work", "w").agg(F.count("*").alias("c"))
-    asked = rest.select("work", "i", F.size("ours").alias("m"), F.explode(F.array_distinct("ours")).alias("w")).join(counts, ["work", "w"], "left").fillna(0, ["c"])
-    nth = F.row_number().over(W.partitionBy("work", "i").orderBy("c", "w"))
-    rare = asked.withColumn("r", nth).where(F.col("r") <= F.ceil(F.col("m") * 0.4) + 1).select("work", "i", "w")
-    met = rare.join(theirs.select("work", "j", F.explode(F.array_distinct("theirs")).alias("w")), ["work", "w"]).select("work", "i", "j").distinct()
-    pairs = met.join(rest.select("work", "i", "ours"), ["work", "i"]).join(theirs.select("work", "j", "theirs"), ["work", "j"])
+    head, key = F.slice("words", 1, HEAD), F.array_join(F.slice("words", 1, EXACT), " ").alias("key")
+    label = (F.size("words") <= 2) & (F.trim("line") == F.upper(F.trim("line")))
+    theirs = staged(flow.select("work", F.col("j").cast("int").alias("j"), head.alias("theirs"), key, F.array_join("words", " ").alias("whole"), (label | (F.size("words") == 0)).alias("label")), "flow")
+    ours = blocks.where(F.size("words") >= LEAST_WORDS).select("work", "text", F.col("i").cast("int").alias("i"), head.alias("ours"), key)
+    ours = staged(ours.join(theirs.select("work", "key").distinct().withColumn("known", F.lit(True)), ["work", "key"], "left"), "blocks")
+    # beginnings that occur more than once are compared once: o and j are the first that have them
+    heads = ours.where("known is null").groupBy("work", "ours").agg(F.min(F.concat_ws(":", F.col("text").cast("string"), F.col("i").cast("string"))).alias("o"), F.collect_list(F.struct("i", "text")).alias("all"))
+    heads, firsts = staged(heads, "heads"), staged(theirs.groupBy("work", "theirs").agg(F.min("j").alias("j"), F.collect_list("j").alias("all")), "firsts")
+    sought = firsts.select("work", "j", F.explode(F.array_distinct("theirs")).alias("w"))
+    counts = sought.groupBy("work", "w").agg(F.count("*").alias("c"))
+    asked = heads.select("work", "o", F.size("ours").alias("m"), F.explode(F.array_distinct("ours")).alias("w")).join(counts, ["work", "w"], "left").fillna(0, ["c"])
+    nth = F.row_number().over(W.partitionBy("work", "o").orderBy("c", "w"))
+    rare = asked.withColumn("r", nth).where(F.col("r") <= F.ceil(F.col("m") * 0.4) + 1).select("work", "o", "w")
+    met = rare.join(sought, ["work", "w"]).select("work", "o", "j").distinct()
+    pairs = met.join(heads.drop("all"), ["work", "o"]).join(firsts.drop("all"), ["work", "j"])
+    # words in order are no more than words that the other has too: 2 M / T >= 0.75 asks for 8 M >= 3 T
+    shared = lambda x, y: F.size(F.filter(x, lambda w: F.array_contains(y, w)))
+    pairs = pairs.where(8 * F.least(shared("ours", F.col("theirs")), shared("theirs", F.col("ours"))) >= 3 * (F.size("ours") + F.size("theirs")))
     kind = ours.schema["work"].dataType.simpleString()
-    alike = pairs.mapInPandas(_alike, f"work {kind}, i int, j int")
-    hits = exact.unionByName(alike).groupBy("work", "i").agg(F.collect_set("j").alias("hits"))
-    rows = ours.select("work", "text", "i").join(hits, ["work", "i"], "left").withColumn("restart", F.lit(each_text))
-    walked = staged(rows.groupBy("work").applyInPandas(_walk, f"work {kind}, i int, j int, kind string, gap_from int"), "walked")
+    alike = pairs.mapInPandas(_alike, f"work {kind}, o string, j int")
+    every = firsts.select("work", F.col("j").alias("first"), F.explode("all").alias("j"))
+    exact = theirs.join(ours.where("known").select("work", "key").distinct(), ["work", "key"]).select("work", F.concat(F.lit("="), "key").alias("g"), "j")
+    hits = exact.unionByName(alike.select("work", F.concat(F.lit("~"), "o").alias("g"), F.col("j").alias("first")).join(every, ["work", "first"]).drop("first"))
+    rows = ours.where("known").select("work", F.struct("i", "text", F.concat(F.lit("="), "key").alias("g")).alias("x"))
+    rest = heads.select("work", "o", F.explode("all").alias("x")).select("work", F.struct("x.i", "x.text", F.concat(F.lit("~"), "o").alias("g")).alias("x"))
+    rows = rows.unionByName(rest)
+    # a work's numbers in one row each side: works are walked batch by batch, as most are short
+    rows = rows.groupBy("work").agg(F.sort_array(F.collect_list("x")).alias("x")).select("work", "x.i", "x.text", "x.g")
+    hits = hits.groupBy("work").agg(F.collect_list(F.struct("g", "j")).alias("h")).select("work", F.col("h.g").alias("hit"), F.col("h.j").alias("at"))
+    small_batches(blocks.sparkSession)
+    walked = staged(rows.join(hits, "work", "left").mapInPandas(_walks(each_text), f"work {kind}, i int, j int, kind string, gap_from int"), "walked")
     found = walked.where("kind is not null").select("work", "i", "j", "kind")
     if each_text:
         return found
     gaps = walked.where("gap_from is not null and j > gap_from").select("work", F.explode(F.sequence(F.col("gap_from"), F.col("j") - 1)).alias("j"))
-    label = (F.col("n") <= 2) & (F.trim("line") == F.upper(F.trim("line")))
-    lost = gaps.join(theirs.where((F.col("n") > 0) & ~label), ["work", "j"]).join(blocks.select("work", F.array_join("words", " ").alias("whole")).distinct(), ["work", "whole"], "left_anti")
+    lost = gaps.join(theirs.where("not label"), ["work", "j"]).join(blocks.select("work", F.array_join("words", " ").alias("whole")).distinct(), ["work", "whole"], "left_anti")
     return found.unionByName(lost.select("work", F.lit(None).cast("int").alias("i"), "j", F.lit("missing").alias("kind")))
