@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 from quire.functions.notes import by_text
 from quire.operators.order import positions
+from quire.sources.shared import small_batches, staged
+
 
 def _files(spark: SparkSession, patterns: list[str], exclude: list[str], recursive: bool) -> DataFrame:
     """(path, text) of the files that match, each once; text is read whole."""
@@ -301,22 +303,24 @@ RECORD_NAMES = ["id", "liber", "caps", "kind"]
 RECORD_TAIL = "© 2019"
 
 
-def _owners(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which record begins the chapter that each record belongs to, and the chapters it stands for: one book's records (file, pos, low, high, kind) without their texts."""
-    owner: dict[int, tuple] = {}
-    out, file, inside = [], None, False
-    for r in rows.sort_values(["path", "pos"]).itertuples():
-        if r.path != file:
-            file, inside = r.path, False
-        begins = r.kind == "tit" or r.low not in owner
-        if begins:
-            inside = True
-            new = [c for c in range(r.low, r.high + 1) if c not in owner]
-            owner.update(dict.fromkeys(new, (r.path, r.pos)))
-            out.append((r.work, r.liber, r.path, r.pos, r.path, r.pos, new))
-        elif inside:
-            out.append((r.work, r.liber, r.path, r.pos, *owner[r.low], []))
-    return pd.DataFrame(out, columns=["work", "liber", "path", "pos", "o_path", "o_pos", "starts"])
+def _owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which record begins the chapter that each record belongs to, and the chapters it stands for: rows are books with their records (path, pos, low, high, kind) in order, without their texts."""
+    for b in batches:
+        out = []
+        for book in b.itertuples(index=False):
+            owner: dict[int, tuple] = {}
+            file, inside = None, False
+            for path, pos, low, high, kind in zip(book.path, map(int, book.pos), map(int, book.low), map(int, book.high), book.kind, strict=True):
+                if path != file:
+                    file, inside = path, False
+                if kind == "tit" or low not in owner:
+                    inside = True
+                    new = [c for c in range(low, high + 1) if c not in owner]
+                    owner.update(dict.fromkeys(new, (path, pos)))
+                    out.append((book.work, book.liber, path, pos, path, pos, new))
+                elif inside:
+                    out.append((book.work, book.liber, path, pos, *owner[low], []))
+        yield pd.DataFrame(out, columns=["work", "liber", "path", "pos", "o_path", "o_pos", "starts"])
 
 
 def edition_chapters(texts: DataFrame, header: str = RECORD_HEADER, tail: str = RECORD_TAIL, key: str = "path", text: str = "text", work: str | None = None) -> DataFrame:
@@ -335,7 +339,10 @@ def edition_chapters(texts: DataFrame, header: str = RECORD_HEADER, tail: str =
     rows = rows.where(~F.col("_cut") | (F.col("body") != "")).drop("_cut")
     span = F.split("caps", "-")
     rows = rows.withColumns({"low": span[0].cast("int"), "high": F.when(F.size(span) > 1, F.element_at(span, 2)).otherwise(span[0]).cast("int")})
-    owners = rows.select("work", "path", "pos", "liber", "low", "high", "kind").groupBy("work", "liber").applyInPandas(_owners, "work string, liber int, path string, pos int, o_path string, o_pos int, starts array<int>")
+    rows = staged(rows, "records")
+    small_batches(texts.sparkSession)
+    books = rows.groupBy("work", "liber").agg(F.sort_array(F.collect_list(F.struct("path", "pos", "low", "high", "kind"))).alias("x")).select("work", "liber", "x.path", "x.pos", "x.low", "x.high", "x.kind")
+    owners = books.mapInPandas(_owners, "work string, liber int, path string, pos int, o_path string, o_pos int, starts array<int>")
     place = ["work", "liber", "path", "pos"]
     met = rows.join(owners, place)
     mine = (F.col("path") == F.col("o_path")) & (F.col("pos") == F.col("o_pos"))

@@ -241,3 +241,12 @@ def test_batches_go_out_under_their_own_report(spark):
     pages = table(spark, [("b1", 1, "h1"), ("b1", 2, "h2"), ("b2", 1, "h3")], "batch string, page int, sha256 string")
     uploads = table(spark, [("b1", 1, 200, 1), ("b1", 2, 503, 1), ("b1", 2, 201, 2), ("b2", 1, 429, 1)], "batch string, page int, status int, ts int")
     assert {(r.batch, r.page, r.sha256) for r in editions.recorded_pages(pages, uploads).collect()} == {("b1", 1, "h1"), ("b1", 2, "h2"), ("b2", 1, None)}
+
+
+def test_books_pass_in_batches(spark):
+    """A batch holds many books: none has a Python call of its own, and records are cut once."""
+    files = [(f"w{i}", "1", f"[1] S A, lib. 1 cap. 1 tit. t{i} [2] S A, lib. 1 cap. 2-3 n. a [3] S A, lib. 1 cap. 2 n. b") for i in range(30)]
+    got = corpus.edition_chapters(table(spark, files, "w string, path string, text string"), work="w")
+    assert sorted((r.work, r.cap, r.title, r.text) for r in got.collect()) == sorted(x for i in range(30) for x in ((f"w{i}", 1, f"t{i}", ""), (f"w{i}", 2, "", "a b"), (f"w{i}", 3, "", "a b")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "regexp_extract_all" not in plan
