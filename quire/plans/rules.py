@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import assemble, gates, ledger
 from quire.plans.catalog import query, table
+from quire.sources.shared import staged
 
 
 def _one_of(values: tuple, nth: Column) -> Column:
@@ -113,6 +114,7 @@ WHERE regexp_matches(form, '^[a-z]{4,}$') AND length(form) % 5 <> 0 AND length(f
 def readings_waived(spark, d):
     """Each word of four ASCII letters or more as a waived form, read blind with a bar for ``an``, in capitals with long s, and wrongly or not at all by its length; lengths also leave out the quotation. [P17, T23]"""
     forms = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("form")).where("form rlike '^[a-z]{4,}$'").distinct()
+    forms = staged(forms, "forms")  # waivers and readings both start from them
     size, barred = F.length("form"), F.replace("form", F.lit("an"), F.lit("ã"))
     quoted = F.when(size % 5 == 0, "seen by eye").otherwise(F.concat(F.lit('blind read: "'), barred, F.lit('", agreed')))
     reads = F.array_compact(F.array(

@@ -101,3 +101,11 @@ def test_spelling_map(spark):
     words = spark.createDataFrame([(w,) for w in ("Theatre", "THEAT", "therein", "thereof", "other", "thers", "on", "one", "ON", "Silvius", "SILVIUS", "silvius", "nacion", "NACION", "cion", None)], "word string")
     got = {r.word: r.new for r in lexicon.respell_words(words, rows).collect()}
     assert got == {"Theatre": "Thatre", "THEAT": "THAT", "thers": "theirs", "on": "un", "ON": "UN", "Silvius": "Sylvius", "SILVIUS": "SYLVIUS", "nacion": "nation", "NACION": "NATION"}
+
+
+def test_waived_readings_cut_the_documents_once(spark):
+    """Waivers and readings start from the same staged forms."""
+    from quire.plans import rules
+
+    plan = rules.readings_waived(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(text" not in plan
