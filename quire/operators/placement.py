@@ -7,7 +7,9 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,67 +26,110 @@ START_WORDS, LONG, START_MIN, START_GAP = 30, 5, 45, 15
 # ---------------------------------------------------------------- streams in OCR
 
 
-def _voted(segments: DataFrame, stream: DataFrame, ocr: DataFrame, n_ocr: DataFrame) -> DataFrame:
-    """(key, lo, hi, off) of segments (key, lo, hi) whose trigrams agree on where they stand; of offsets with as many votes the least."""
-    words = lambda df, name: df.select("key", F.col("pos").alias(name), "gram")
-    own = stream.join(segments, "key").where("pos >= lo and pos <= hi - 3 and hi - lo >= 4").select("key", "lo", "hi", "pos", "gram")
-    known = ocr.groupBy("key", "gram").agg(F.count("*").alias("c")).where(F.col("c") <= MOST_HITS).select("key", "gram")
-    met = own.join(words(ocr.join(known, ["key", "gram"]), "at"), ["key", "gram"])
-    votes = met.groupBy("key", "lo", "hi", (F.col("at") - (F.col("pos") - F.col("lo"))).alias("off")).agg(F.count("*").alias("n"))
-    near = W.partitionBy("key", "lo", "hi").orderBy("off").rangeBetween(-SMOOTH, SMOOTH)
-    votes = votes.withColumn("n", F.sum("n").over(near))
-    best = votes.groupBy("key", "lo", "hi").agg(F.max(F.struct("n", (-F.col("off")).alias("o"))).alias("m"))
-    return best.where(F.col("m.n") >= LEAST_VOTES).select("key", "lo", "hi", (-F.col("m.o")).alias("off")).join(n_ocr, "key")
-
-
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matching words of a segment and its window, both of bounded length."""
-    for b in batches:
-        out = []
-        for r in b.itertuples(index=False):
-            m = SequenceMatcher(None, list(r.seg), list(r.window), autojunk=False)
-            hits = [(r.lo + x.a + d, r.at + x.b + d) for x in m.get_matching_blocks() for d in range(x.size)]
-            out.append((r.key, r.lo, r.hi, [h[0] for h in hits], [h[1] for h in hits]))
-        yield pd.DataFrame(out, columns=["key", "lo", "hi", "pos", "ocr_pos"])
+def _blocks(seg: list[int], window: list[int]) -> list[tuple[int, int, int]]:
+    """Matching blocks (a, b, size) in order, as SequenceMatcher has them without junk: the longest run of equal words, the first of those, then the same on both its sides."""
+    where, runs, open_at = {}, [], {}
+    for j, w in enumerate(window):
+        where.setdefault(w, []).append(j)
+    for i, w in enumerate(seg):
+        at = {}
+        for j in where.get(w, ()):
+            run = open_at.get(j - 1)
+            if run is None:
+                runs.append(run := [i, j, 0])
+            run[2] += 1
+            at[j] = run
+        open_at = at
+    out, todo = [], [(0, len(seg), 0, len(window), runs)] if runs else []
+    while todo:
+        a, a_end, b, b_end, within = todo.pop()
+        size = 0
+        for i, j, n in within:
+            # the part of the run inside these bounds
+            x, y, n = i, j, i + n
+            if x < a:
+                x, y = a, y + a - x
+            if y < b:
+                x, y = x + b - y, b
+            n = (n if n < a_end else a_end) - x
+            if n > b_end - y:
+                n = b_end - y
+            if n > size or (n == size and n > 0 and (x < at_a or (x == at_a and y < at_b))):
+                at_a, at_b, size = x, y, n
+        if size > 0:
+            out.append((at_a, at_b, size))
+            if len(within) > 1:
+                end_a, end_b = at_a + size, at_b + size
+                if before := [r for r in within if r[0] < at_a and r[1] < at_b]:
+                    todo.append((a, at_a, b, at_b, before))
+                if after := [r for r in within if r[0] + r[2] > end_a and r[1] + r[2] > end_b]:
+                    todo.append((end_a, a_end, end_b, b_end, after))
+    return sorted(out)
+
+
+def _place(stream: list[int], ocr: list[int], chunk: int) -> tuple[list[int], list[int]]:
+    """(pos, ocr_pos) of one page's words, given by number."""
+    three = lambda x: zip(x, x[1:], x[2:])
+    grams = {g: [] for g in three(stream)}
+    for k, g in enumerate(three(ocr)):
+        if g in grams:
+            grams[g].append(k)
+    hits = [at if len(at := grams[g]) <= MOST_HITS else () for g in three(stream)]
+    todo = [(lo, min(lo + chunk, len(stream))) for lo in range(0, len(stream), chunk)]
+    pos, ocr_pos = [], []
+    while todo:
+        lo, hi = todo.pop()
+        votes: dict[int, int] = defaultdict(int)
+        for k in range(lo, hi - 2 if hi - lo >= 4 else lo):
+            for p in hits[k]:
+                votes[p - k] += 1
+        # of offsets with as many votes the least
+        n, off = max(((sum(votes.get(o + d, 0) for d in range(-SMOOTH, SMOOTH + 1)), -o) for o in votes), default=(0, 0))
+        if n < LEAST_VOTES:
+            continue
+        start = lo - off
+        at, last = max(start - MARGIN, 0), lo
+        for i, j, size in [*_blocks(stream[lo:hi], ocr[at : start + hi - lo + MARGIN]), (hi - lo, 0, 0)]:
+            # what lies before a match, or before the segment's end, is tried again
+            if LEAST_RUN <= lo + i - last < hi - lo:
+                todo.append((last, lo + i))
+            last = lo + i + size
+            pos += range(lo + i, last)
+            ocr_pos += range(at + j, at + j + size)
+    return pos, ocr_pos
+
+
+def place_words(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``place_stream`` of pages (key, stream, ocr) whose words stand in two arrays of one row: nothing is shuffled or staged. Words become numbers batch by batch; null words equal nothing. [J9]"""
+    small_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b.column(1), b.column(2)]
+            ids = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode().indices
+            nulls = ids.is_null().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy().astype("int64")
+            ids[nulls] = -1 - np.arange(nulls.sum())
+            sizes = [x.value_lengths().to_numpy() for x in sides]
+            ends = [np.cumsum(sizes[0]), sizes[0].sum() + np.cumsum(sizes[1])]
+            found = [_place(*(ids[e[k] - n[k] : e[k]].tolist() for e, n in zip(ends, sizes, strict=True)), chunk) for k in range(b.num_rows)]
+            keys = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), [len(x[0]) for x in found])))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([i for x in found for i in x[side]], pa.int32()) for side in (0, 1))], ["key", "pos", "ocr_pos"])
+
+    kind = pages.schema["key"].dataType.simpleString()
+    rows = pages.where("key is not null and size(stream) > 0 and size(ocr) > 0").select("key", "stream", "ocr")
+    return rows.mapInArrow(run, f"key {kind}, pos int, ocr_pos int")
 
 
 def place_stream(stream: DataFrame, ocr: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(key, pos, ocr_pos): for tokens of a stream (key, pos, w; pos from 0 without gaps) the OCR token (key, pos, w) that each equals, where one is found. [J9]
 
     OCR reads a page in its own order of blocks, so each chunk of the stream is placed by itself: its trigrams vote on an offset, and the words
-    there, with a margin, are aligned with it. Runs that stay unplaced, shorter than their segment, are placed in the same way, until none is left. Each
-    round is a few joins over all pages; only a segment and its window meet in a task's memory.
+    there, with a margin, are aligned with it. Runs that stay unplaced, shorter than their segment, are placed in the same way, until none is left. A
+    page's words are brought together once; its segments are then placed in one pass.
     """
-    stream, ocr = staged(stream.select("key", F.col("pos").cast("int").alias("pos"), "w"), "stream"), staged(ocr.select("key", F.col("pos").cast("int").alias("pos"), "w"), "ocr")
-
-    def grams(df: DataFrame) -> DataFrame:
-        w = W.partitionBy("key").orderBy("pos")
-        three = F.concat_ws("\x01", "w", F.lead("w", 1).over(w), F.lead("w", 2).over(w))
-        return staged(df.withColumn("gram", three).where(F.col("w").isNotNull()).withColumn("_last", F.max("pos").over(W.partitionBy("key"))).where("pos <= _last - 2").select("key", "pos", "gram"), "grams")
-
-    own, theirs = grams(stream), grams(ocr)
-    n_ocr = ocr.groupBy("key").agg((F.max("pos") + 1).alias("n_ocr"))
-    length = stream.groupBy("key").agg((F.max("pos") + 1).alias("n"))
-    segments = length.select("key", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))).alias("lo"))
-    segments = staged(segments.select("key", "lo", F.least(F.col("lo") + chunk, F.col("n")).alias("hi")), "segments")
-    found = None
-    while not segments.isEmpty():
-        at = _voted(segments, own, theirs, n_ocr)
-        at = at.select("key", "lo", "hi", F.greatest(F.col("off") - MARGIN, F.lit(0)).alias("at"), F.least(F.col("off") + (F.col("hi") - F.col("lo")) + MARGIN, F.col("n_ocr")).alias("end"))
-        at = staged(at, "placed")
-        seg = stream.join(at, "key").where("pos >= lo and pos < hi").groupBy("key", "lo", "hi", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("x"))
-        win = ocr.join(at, "key").where("pos >= at and pos < end").groupBy("key", "lo", "hi", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("y"))
-        both = seg.join(win, ["key", "lo", "hi", "at"]).select("key", "lo", "hi", "at", F.col("x.w").alias("seg"), F.col("y.w").alias("window"))
-        key = stream.schema["key"].dataType.simpleString()
-        got = staged(both.mapInPandas(_aligned, f"key {key}, lo int, hi int, pos array<int>, ocr_pos array<int>"), "aligned")
-        pairs = got.select("key", F.explode(F.arrays_zip("pos", "ocr_pos")).alias("p")).select("key", "p.pos", "p.ocr_pos")
-        found = pairs if found is None else found.unionByName(pairs)
-        # what lies between matched tokens of a segment
-        ends = F.concat(F.array(F.col("lo") - 1), F.col("pos"), F.array(F.col("hi")))
-        gaps = got.select("key", "lo", "hi", F.explode(F.arrays_zip(F.slice(ends, 1, F.size("pos") + 1).alias("a"), F.slice(ends, 2, F.size("pos") + 1).alias("b"))).alias("g"))
-        gaps = gaps.select("key", (F.col("g.a") + 1).alias("a"), F.col("g.b").alias("b"), (F.col("hi") - F.col("lo")).alias("n"))
-        segments = staged(gaps.where(f"b - a >= {LEAST_RUN} and b - a < n").select("key", F.col("a").alias("lo"), F.col("b").alias("hi")), "segments")
-    return found if found is not None else stream.select("key", "pos", F.lit(None).cast("int").alias("ocr_pos")).limit(0)
+    row = lambda df, name: df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "w")))["w"].alias(name))
+    return place_words(row(stream, "stream").join(row(ocr, "ocr"), "key"), chunk)
 
 
 # ---------------------------------------------------------------- openings on leaves
