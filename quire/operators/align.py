@@ -16,6 +16,7 @@ from quire.functions.text import fold_accents, tokens
 from quire.functions.unicode import fold as fold_as
 from quire.operators.order import in_blocks
 from quire.operators.order import positions as in_order
+from quire.sources.shared import small_batches, staged
 
 
 def positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -24,9 +25,11 @@ def positions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
-    """(key, pos, gram) of each run of n tokens, built in the row without a window."""
-    t = df.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") >= n)
-    return t.select(key, F.posexplode(F.expr(f"transform(sequence(1, size(t) - {n - 1}), i -> concat_ws(' ', slice(t, i, {n})))")).alias("pos", "gram"))
+    """(key, pos, gram) of each run of n tokens, built in the row without a window: its tokens, each beginning one later, are laid side by side."""
+    t = df.select(key, tokens(F.col(text)).alias("t"))
+    runs = F.greatest(F.size("t") - (n - 1), F.lit(0))
+    beside = F.arrays_zip(*[F.slice("t", k + 1, runs).alias(f"w{k}") for k in range(n)])
+    return t.select(key, F.posexplode(beside).alias("pos", "g")).select(key, "pos", F.concat_ws(" ", *[F.col(f"g.w{k}") for k in range(n)]).alias("gram"))
 
 
 #: Grams of a witness set that are broadcast as 8-byte hashes to thin out the texts' grams; larger sets are joined as they are.
@@ -49,7 +52,11 @@ def candidate_pairs(docs: DataFrame, items: DataFrame, n: int = 5, key: str = "d
 
 
 def omission_runs(docs: DataFrame, items: DataFrame, pairs: DataFrame, least: int = 4, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(key, item, start, length): maximal runs of a witness's tokens that the page lacks, counting occurrences. [A4, W1, U3]"""
+    """(key, item, start, length): maximal runs of a witness's tokens that the page lacks, counting occurrences. [A4, W1, U3]
+
+    The pairs are staged, as both the pages and the witnesses are joined with them.
+    """
+    pairs = staged(pairs.select(key, item), "pairs")
     own = positions(items, item).withColumn("k", F.row_number().over(W.partitionBy(item, "w").orderBy("pos")))
     have = positions(docs.join(pairs.select(key).distinct(), key, "left_semi"), key).groupBy(key, "w").agg(F.count("*").alias("n"))
     rows = pairs.join(own, item).join(have, [key, "w"], "left").withColumn("absent", F.coalesce("n", F.lit(0)) < F.col("k"))
