@@ -142,43 +142,67 @@ def near_words(a: str, b: str) -> F.Column:
     return (x == y) | ((F.abs(F.length(x) - F.length(y)) <= 1) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)) & (F.levenshtein(x, y) <= most))
 
 
+def _scores(asked: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(section, leaf, score) of openings (section, leaf, x: their words as structs of i and w)."""
+    first = lambda c: F.substring(c, 1, 1)
+    # one edit leaves the first or the second half of a word as it is
+    half = lambda w, side: F.when(F.length(w) < 9, side(w, F.floor(F.length(w) / 2).cast("int"))).otherwise("")
+    probe = lambda x: F.struct(x["i"].alias("i"), x["w"].alias("a"), half(x["w"], F.left).alias("head"), half(x["w"], F.right).alias("tail"))
+    some = lambda x: F.filter(x, lambda y: y["w"] != "")
+    by_initial = lambda x: F.map_from_entries(F.transform(F.array_distinct(F.transform(x, lambda y: first(y["w"]))), lambda k: F.struct(k, F.transform(F.filter(x, lambda y: first(y["w"]) == k), probe))))
+    asked = asked.select("section", "leaf", F.size("x").cast("long").alias("n"), some("x").alias("x")).withColumns({"least": F.array_min(F.transform("x", lambda y: F.length(y["w"]))), "own": by_initial(F.col("x"))})
+    if "words" in leaves.columns:
+        leaves, each = leaves.select("leaf", "words"), F.posexplode_outer("words").alias("pos", "b")
+    else:
+        leaves, each = leaves.groupBy("leaf").agg(F.collect_list(F.struct("pos", F.col("w").alias("b"))).alias("words")), F.inline_outer("words").alias("pos", "b")
+    met = asked.join(leaves, "leaf").select("section", "leaf", "n", "least", "own", each).where("length(b) >= least - 1")
+    hits = met.select("section", "leaf", "n", "pos", "b", F.explode_outer(F.try_element_at("own", first("b"))).alias("x"))
+    hits = hits.select("section", "leaf", "n", F.col("pos").cast("long").alias("pos"), "x.*", "b").where((F.startswith("b", "head") | F.endswith("b", "tail")) & near_words("a", "b"))
+    before = F.coalesce(F.lag("pos").over(W.partitionBy("section", "leaf", "i").orderBy("pos")), F.lit(-1))
+    spans = hits.select("section", "leaf", "pos", (F.greatest(before, F.col("pos") - 3 * F.col("n")) + 1).alias("s")).where("s <= pos")
+    ends = spans.select("section", "leaf", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("d")))))
+    best = ends.withColumn("c", F.sum("d").over(W.partitionBy("section", "leaf").orderBy("at"))).groupBy("section", "leaf").agg(F.max("c").alias("c"))
+    out = asked.select("section", "leaf", "n").join(best, ["section", "leaf"], "left")
+    return out.select("section", "leaf", (100.0 * F.coalesce("c", F.lit(0)) / F.col("n")).alias("score"))
+
+
 def start_scores(probes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(section, leaf, score): the percentage of a section's opening words (section, leaf, i, w) that one stretch of a leaf (leaf, pos, w) holds, nearly spelled; a stretch is three times as long as the opening. [J20]
+    """(section, leaf, score): the percentage of a section's opening words (section, leaf, i, w) that one stretch of a leaf (leaf, pos, w; or leaf, words) holds, nearly spelled; a stretch is three times as long as the opening. [J20]
 
-    Words meet by leaf and initial. A stretch starts at any hit; of the openings' words it holds each counts once.
+    An opening meets its leaf in one row, and only words with the same initial are compared. A hit counts for the stretches that start after the word's hit
+    before and reach it; most of these meet at one of their ends, which is a hit, so a running sum over starts and ends finds the best.
     """
-    first = lambda c: F.substring(c, 1, 1)
-    size = probes.groupBy("section", "leaf").agg(F.count("*").alias("n"))
-    ours = probes.where("w <> ''").withColumn("k", first("w")).withColumnRenamed("w", "a")
-    theirs = leaves.where("w <> ''").withColumn("k", first("w")).withColumnRenamed("w", "b")
-    hits = ours.join(theirs, ["leaf", "k"]).where(near_words("a", "b")).select("section", "leaf", "i", F.col("pos").cast("long").alias("pos")).distinct()
-    hits = hits.join(size, ["section", "leaf"])
-    # how many words a stretch that starts here holds: each word at its first hit in it, that is at hits whose word has none between
-    starts = hits.select("section", "leaf", "n", F.col("pos").alias("s")).distinct()
-    at = W.partitionBy("section", "leaf", "i").orderBy("pos")
-    spans = hits.withColumn("before", F.coalesce(F.lag("pos").over(at), F.lit(-1)))
-    # a hit counts for the starts after the word's hit before and up to itself, if the stretch reaches it
-    held = starts.join(spans.drop("n"), ["section", "leaf"]).where("s > before and s <= pos and pos < s + 3 * n")
-    best = held.groupBy("section", "leaf", "s", "n").agg(F.count("*").alias("c")).groupBy("section", "leaf", "n").agg(F.max("c").alias("c"))
-    out = size.join(best, ["section", "leaf", "n"], "left")
-    return out.select("section", "leaf", (100.0 * F.coalesce("c", F.lit(0)) / F.col("n")).alias("score"))
+    return _scores(probes.groupBy("section", "leaf").agg(F.collect_list(F.struct("i", "w")).alias("x")), leaves)
 
 
 def start_findings(openings: DataFrame, leaves: DataFrame, least: float = START_MIN, gap: float = START_GAP) -> DataFrame:
     """(section, leaf, score, next_score) of sections whose opening isn't on the first leaf they are filed on: under ``least``, or the next leaf is better by more than ``gap``. [J20]
 
-    ``openings`` (section, leaf, next_leaf, i, w) hold the first long words of a section, title included; ``leaves`` are (leaf, pos, w).
+    ``openings`` (section, leaf, next_leaf, i, w) hold the first long words of a section, title included; ``leaves`` are (leaf, pos, w). Both may have
+    an array ``words`` instead, with a row for each section and leaf, which spares a shuffle of words. Openings and scores are staged, as both leaves of a section ask for them.
     """
-    sides = openings.select("section", "leaf", "i", "w").unionByName(openings.where("next_leaf is not null").select("section", F.col("next_leaf").alias("leaf"), "i", "w")).distinct()
-    scores = start_scores(sides, leaves)
+    if "words" in openings.columns:
+        openings = openings.select("section", "leaf", "next_leaf", F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))).alias("x"))
+    else:
+        openings = openings.groupBy("section", "leaf", "next_leaf").agg(F.collect_set(F.struct("i", "w")).alias("x"))
+    openings = staged(openings, "openings").where("size(x) > 0")
+    sides = openings.select("section", F.explode(F.array("leaf", "next_leaf")).alias("leaf"), "x").where("leaf is not null")
+    sides = sides.groupBy("section", "leaf").agg(F.collect_list("x").alias("x"))
+    sides = sides.withColumn("x", F.when(F.size("x") == 1, F.col("x")[0]).otherwise(F.array_distinct(F.flatten("x"))))
+    scores = staged(_scores(sides, leaves), "scores")
     filed = openings.select("section", "leaf", "next_leaf").distinct()
     met = filed.join(scores, ["section", "leaf"]).join(scores.select("section", F.col("leaf").alias("next_leaf"), F.col("score").alias("next_score")), ["section", "next_leaf"], "left")
     return met.where((F.col("score") < least) | (F.col("next_score") > F.col("score") + gap)).select("section", "leaf", "score", "next_score")
 
 
+def long_words(words: F.Column, most: int = START_WORDS, long: int = LONG) -> F.Column:
+    """The first ``most`` words of ``long`` letters or more of an array column."""
+    return F.slice(F.filter(words, lambda w: F.length(w) >= long), 1, most)
+
+
 def opening_words(sections: DataFrame, words: F.Column, most: int = START_WORDS, long: int = LONG) -> DataFrame:
-    """The sections with (i, w): their first ``most`` words of ``long`` letters or more of an array column."""
-    return sections.select("*", F.posexplode(F.slice(F.filter(words, lambda w: F.length(w) >= long), 1, most)).alias("i", "w"))
+    """The sections with (i, w): their ``long_words``, a row each."""
+    return sections.select("*", F.posexplode(long_words(words, most, long)).alias("i", "w"))
 
 
 # ---------------------------------------------------------------- order in a source
