@@ -152,6 +152,7 @@ def monotone(rows: DataFrame, key: str = "doc_id", item: str = "item_id") -> Dat
 
 def coverage(pairs: DataFrame, page: str = "page", witness: str = "witness", fail: float = 0.90, watch: float = 0.94) -> DataFrame:
     """Add recall, precision and status of a page against a witness by matching blocks of folded letters and digits. [A3]"""
+    small_batches(pairs.sparkSession)
     fold = lambda c: fold_as(F.coalesce(F.col(c), F.lit("")), "coverage")
 
     @F.pandas_udf("long")
@@ -201,6 +202,7 @@ def word_errors(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     A run that only one side has costs one character more, for its space. Null counts as empty. [M2]
     """
+    small_batches(pairs.sparkSession)
 
     @F.pandas_udf(StructType().add("edits", LongType()).add("char_edits", LongType()))
     def edits(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -297,14 +299,15 @@ def collation_sites(pairs: DataFrame, a: str, b: str, third: str, keys: list[str
     """(keys, kind, start, a, b, before, after, third, agrees): each run of folded words in which witness ``b`` differs from ``a``, and which of them the third voice reads.
 
     Runs of numerals and words of two letters or fewer are left out. A null third voice is unknown everywhere; null texts are empty. The rows given
-    are compared one by one, each whole, in a task. [J8, J12]
+    are compared one by one, each whole, in a task; words go there as lines of one string, in batches of 2 MB. [J8, J12]
     """
+    small_batches(pairs.sparkSession)
 
     @F.pandas_udf(_SITE)
     def compare(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series([_sites(list(p), list(q), None if r is None else list(r)) for p, q, r in zip(x, y, z, strict=True)])
+        return pd.Series([_sites(p.split(), q.split(), None if r is None else r.split()) for p, q, r in zip(x, y, z, strict=True)])
 
-    w = lambda c: F.regexp_extract_all(fold_accents(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    w = lambda c: F.array_join(F.regexp_extract_all(fold_accents(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), "\n")
     rows = pairs.select(*keys, w(a).alias("_a"), w(b).alias("_b"), F.when(F.col(third).isNotNull(), w(third)).alias("_c"))
     return rows.select(*keys, F.inline(compare("_a", "_b", "_c")))
 

@@ -158,3 +158,17 @@ def test_tokens_meet_forms_by_one_key(spark):
         tried = tried if not uv else tried.where("token <> 'Ta\u0304tum'")
         want = sorted((r.token, r.form, r.reading) for r in tried.collect())
         assert want and sorted((r.token, r.form, r.reading) for r in edition._met(tokens, lex, uv).collect()) == want
+
+
+def test_collation_goes_to_python_in_small_batches(spark):
+    """2 MB a batch and whole strings, not 10,000 rows of words, however many rows a task has."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(1, "unum duo tres", "unum quinque tres", None), (2, None, "", "")], "k int, a string, b string, c string")
+    for run in (lambda: align.collation_sites(df, "a", "b", "c", ["k"]), lambda: align.word_errors(df, "a", "b"), lambda: align.coverage(df, "a", "b")):
+        spark.conf.set(key, str(1 << 30))
+        out = run()
+        assert int(spark.conf.get(key)) <= 2 << 20
+        assert out.count()
+    sites = align.collation_sites(df, "a", "b", "c", ["k"])
+    assert [(r.k, r.start, r.a, r.b) for r in sites.collect()] == [(1, 1, "duo", "quinque")]
+    assert "array_join" in sites._jdf.queryExecution().optimizedPlan().toString()
