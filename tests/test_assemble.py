@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions.notes import by_text
 from quire.operators import assemble
 from quire.sources import corpus, editions
 
@@ -155,6 +156,25 @@ def test_join_decisions_are_bound_to_both_pages(spark):
     assert [(r.n, r.problem) for r in assemble.bound_joins(df, none)[1].orderBy("n").collect()] == [(5, "declared otherwise: decide")]
 
 
+def test_only_pages_before_a_hyphen_go_to_python(spark, monkeypatch):
+    """Of a hundred pages and ten decisions one asks for its page's end: one text is walked, once, in batches of 2 MB."""
+    seen, foot = spark.sparkContext.accumulator(0), assemble._foot
+
+    def counted(text):
+        seen.add(1)
+        return dict(zip(("main", "notes"), foot(text), strict=True))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(1 << 30))
+    monkeypatch.setattr(assemble, "foot_notes", by_text(counted, "struct<main:string,notes:string>"))
+    df = table(spark, [("w", i, f"page {i}-", f"h{i}") for i in range(100)], "work string, n int, body string, sha256 string")
+    rows = [("w", i, "hyphen" if i == 30 else "space", None, f"h{i - 1}", f"h{i}", "seen") for i in range(10, 110, 10)]
+    good, problems = assemble.bound_joins(df, table(spark, rows, "work string, n int, join string, printed_hyphen boolean, left_sha256 string, right_sha256 string, evidence string"))
+    assert sorted(r.n for r in good.collect()) == list(range(10, 100, 10))
+    assert [(r.n, r.problem) for r in problems.collect()] == [(100, "unknown boundary")]
+    assert seen.value == 1 and int(spark.conf.get(key)) <= 2 << 20
+
+
 def test_published_sections(spark):
     rows = [("w", 1, "a", "^[⟦M⟧⟦R⟧ On *things*.] **1.** Text ^[⟦M⟧ a marginal] here^[9. note].\n\nMore ^[Editor's note: x]."), ("w", 2, "b", "Next ^[4. y] ⟦M⟧ <!-- z -->"), ("w", 3, "c", " \n"), ("w", 4, "d", "open ^[ note"), ("v", 1, "e", "Fine ^[3. n].")]
     out, found = assemble.published_sections(table(spark, rows, "work string, n int, key string, body string"))
