@@ -172,3 +172,29 @@ def test_collation_goes_to_python_in_small_batches(spark):
     sites = align.collation_sites(df, "a", "b", "c", ["k"])
     assert [(r.k, r.start, r.a, r.b) for r in sites.collect()] == [(1, 1, "duo", "quinque")]
     assert "array_join" in sites._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_of_many_open_letters_are_decided(spark, tmp_path):
+    """A token of nine or more bars, u or v meets the dictionary as any other; one without a reading is none, not left out."""
+    import duckdb
+
+    from quire.plans import catalog, edition as plans
+
+    many, uv = "anbencindonfun" * 2, "subuululatuumuuuu"
+    words = lex(spark, **{many: 50, many.replace("n", "m"): 2, uv: 7, uv.replace("u", "v"): 100, "i\u0307sam": 4})
+    barred = many.replace("n", BAR)
+    got = {r.token: (r.status, r.form) for r in edition.expand_nasals(tokens(spark, barred, barred.capitalize(), f"\u0130sa{BAR}"), words).collect()}
+    assert got == {barred: ("frequency", many), barred.capitalize(): ("frequency", many.capitalize()), f"\u0130sa{BAR}": ("unique", "\u0130sam")}
+    open_, none = barred.replace("f", "u"), f"a{BAR}" * 9
+    known = words.union(lex(spark, **{open_.replace(BAR, "n").replace("u", "v"): 3}))
+    got = {r.token: (r.status, r.form) for r in edition.decide_uv(tokens(spark, uv, open_, none), known).collect()}
+    assert got == {uv: ("frequency", uv.replace("u", "v")), open_: ("unique", open_.replace(BAR, "n").replace("u", "v")), none: ("none", None)}
+
+    d = str(tmp_path)
+    texts = [(i, (many + " ") * 3 + f"{uv} usui{i}") for i in range(25)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    for run in (plans.uv_decision, plans.nasal_expansion):
+        want = con.execute(catalog.ORACLE[run.__name__]).fetchall()
+        assert want and sorted(map(tuple, run(spark, d).select("token", "status", "form", "n").collect())) == sorted(want)
