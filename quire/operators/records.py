@@ -34,11 +34,22 @@ def gate_status(found: DataFrame, waivers: DataFrame, gates: list[str], on: list
     return every.withColumn("status", F.when(F.col("n_open") > 0, "fail").when(F.col("n_waived") > 0, "waived").otherwise("pass"))
 
 
-def compare_runs(results: DataFrame, key: str, label: str, value: str, a: str, b: str) -> DataFrame:
-    """(key, mean_a, mean_b, spread, delta, within_noise) of two labels' samples. [A12]"""
+def compare_runs(results: DataFrame, key: str, label: str, value: str, a: str, b: str, order: list[str] | None = None) -> DataFrame:
+    """(key, mean_a, mean_b, spread, delta, within_noise) of two labels' samples. [A12]
+
+    Sums of doubles depend on their order. With ``order`` (columns that are unique in a key) each label's values are added one by one in it, and
+    the means are the same whatever the files and partitions; without it, in the order in which they come.
+    """
+    held = lambda x: F.when(F.col(label) == x, F.col(value))
+    total = lambda x: F.sum(held(x))
+    if order:
+        w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        results = results.where(F.col(label).isin(a, b)).select(key, label, value, *[c for c in order if c not in (key, label, value)])
+        results = results.withColumns({"_ta": F.sum(held(a)).over(w), "_tb": F.sum(held(b)).over(w), "_at": F.struct(*order)})
+        total = lambda x: F.max_by("_ta" if x == a else "_tb", "_at")
     agg = results.groupBy(key).agg(
-        *[F.avg(F.when(F.col(label) == x, F.col(value))).alias(f"mean_{n}") for n, x in (("a", a), ("b", b))],
-        *[(F.max(F.when(F.col(label) == x, F.col(value))) - F.min(F.when(F.col(label) == x, F.col(value)))).alias(f"_s{n}") for n, x in (("a", a), ("b", b))],
+        *[(total(x) / F.count(held(x))).alias(f"mean_{n}") for n, x in (("a", a), ("b", b))],
+        *[(F.max(held(x)) - F.min(held(x))).alias(f"_s{n}") for n, x in (("a", a), ("b", b))],
     )
     out = agg.where("mean_a is not null and mean_b is not null").select(key, "mean_a", "mean_b", F.greatest("_sa", "_sb").alias("spread"), (F.col("mean_b") - F.col("mean_a")).alias("delta"))
     return out.withColumn("within_noise", F.abs("delta") <= F.col("spread"))

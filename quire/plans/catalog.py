@@ -411,7 +411,7 @@ def incident_lifecycle(spark, d):
 
 @query("WITH r AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS mean_a, avg(value) FILTER (event_type = 'view') AS mean_b, max(value) FILTER (event_type = 'click') - min(value) FILTER (event_type = 'click') AS sa, max(value) FILTER (event_type = 'view') - min(value) FILTER (event_type = 'view') AS sb FROM events GROUP BY 1) SELECT user_id, floor(mean_a * 1000 + 0.5)::BIGINT AS mean_a, floor(mean_b * 1000 + 0.5)::BIGINT AS mean_b, abs(mean_b - mean_a) <= greatest(sa, sb) AS within_noise FROM r WHERE mean_a IS NOT NULL AND mean_b IS NOT NULL")
 def replay_compare(spark, d):
-    out = records.compare_runs(table(spark, d, "events"), "user_id", "event_type", "value", "click", "view")
+    out = records.compare_runs(table(spark, d, "events"), "user_id", "event_type", "value", "click", "view", ["event_id", "ts", "value"])
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c)
     return out.select("user_id", milli("mean_a"), milli("mean_b"), "within_noise")
 
