@@ -1,18 +1,20 @@
-"""Nested manifests of any depth as rows, and rows as manifests: VARIANT trees walked by recursive queries."""
+"""Nested manifests of any depth as rows, and rows as manifests, whose sections are climbed by recursive queries."""
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import let
-from quire.sources.shared import staged
+from quire.sources.shared import small_batches
 
-#: The deepest nesting that is walked; deeper trees are an error of Spark's, never cut.
+#: The highest that sections are climbed; higher trees are an error of Spark's, never cut.
 DEEPEST = 100
 
 
@@ -35,65 +37,110 @@ def _unbounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(DEEPEST))
 
 
-_NODE, _TEXT = "struct<name:string,v:variant,place:string,entries:array<struct<key:string,pos:int,value:variant>>>", "struct<name:string,language:string,content:string,place:string>"
+class _Number(str):
+    """A number as the JSON text writes it; whole ones may be int."""
 
 
-def _depth(text: Column) -> Column:
-    """How deep brackets of a JSON text are nested, those in its strings left out."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"|[^\[\]{}"]+', "")
-    step = lambda acc, c: F.struct((acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(acc["most"], acc["d"] + 1).alias("most"))
-    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+_WORK = re.compile("works/([0-9]{9})")
+_ESCAPED = re.compile("[\x00-\x1f]")
+_UNIT_ROWS = "unit string, language string, content string, place string"
 
 
-def _get(v: Column, field: str, kind: str = "string") -> Column:
-    return F.try_variant_get(v, f"$.{field}", kind)
+def _json(v: object) -> str:
+    """A value as compact JSON, as VARIANT writes it."""
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_json, v)) + "]"
+    if isinstance(v, str) and not isinstance(v, _Number):
+        return re.sub(r"\\u00[01][a-f]", lambda m: m[0][:4] + m[0][4:].upper(), json.dumps(v, ensure_ascii=False)) if _ESCAPED.search(v) else json.dumps(v, ensure_ascii=False)
+    if isinstance(v, _Number) and v.endswith("Infinity"):
+        return f'"{v}"'
+    return "null" if v is None else _said(v)
 
 
-def _own(v: Column, name: Column) -> Column:
-    """A node's key, else that of the node it stands in."""
-    full = lambda f: F.nullif(_get(v, f), F.lit(""))
-    outline = _get(v, "section_type").isNotNull() & _get(v, "id").isNotNull() & full("section_key").isNull()
-    return F.when(outline, F.concat(F.lit("section-"), _get(v, "id"))).otherwise(F.coalesce(full("section_key"), full("slug"), full("id"), name))
-
-
-def _is_text(v: Column) -> Column:
-    return F.coalesce((_get(v, "op") == "put_text") & _get(v, "content").isNotNull(), F.lit(False))
-
-
-def _nth(i: Column) -> Column:
-    return F.lpad(i.cast("string"), 9, "0")
-
+def _said(v: object) -> str | None:
+    """A value as a string; null stays null."""
+    if v is None or type(v) is str:
+        return v
+    return "true" if v is True else "false" if v is False else str(v) if isinstance(v, (_Number, int)) else _json(v)
 
-def _entries(v: Column) -> Column:
-    """(key, pos, value) of what an object, by name, or a list holds."""
-    entry = lambda key, i, value: F.struct(key.cast("string").alias("key"), i.cast("int").alias("pos"), value.alias("value"))
-    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: entry(e["key"], i, e["value"]))
-    return F.coalesce(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: entry(F.lit(None), i, x)), fields)
 
-
-def _texts() -> Column:
-    """The texts of a node (node, _own, _put) as (node, text): itself, or those that it lists."""
-    v, place = F.col("node.v"), F.col("node.place")
-    shaped = lambda name, language, content, at: F.struct(F.lit(None).cast(_NODE).alias("node"), F.struct(name.alias("name"), language.alias("language"), content.alias("content"), at.alias("place")).alias("text"))
-
-    def held(e: Column) -> Column:
-        said, plain = F.try_variant_get(e["value"], "$.content", "variant"), F.try_variant_get(e["value"], "$", "string")
-        content = F.when(e["key"].isNotNull() & (F.schema_of_variant(e["value"]) == "STRING"), plain).when(F.schema_of_variant(said) == "STRING", F.try_variant_get(said, "$", "string"))
-        return shaped(F.col("_own"), F.coalesce(e["key"], _get(e["value"], "language")), content, F.concat(place, F.lit("/"), _nth(e["pos"])))
-
-    put = F.array(shaped(F.concat(F.lit("section-"), _get(v, "section_id")), _get(v, "language"), _get(v, "content"), place))
-    listed = F.filter(F.transform(_entries(_get(v, "texts", "variant")), held), lambda x: x["text"]["content"].isNotNull())
-    return F.when(F.col("_put"), put).otherwise(F.coalesce(listed, F.array().cast(f"array<struct<node:{_NODE},text:{_TEXT}>>")))
-
-
-def _below() -> Column:
-    """The nodes below a node (node, _own, _put) as (node, text); a text has none."""
-    place = F.col("node.place")
-    at = lambda e: F.concat(place, F.when(place == "", "").otherwise("/"), F.coalesce(e["key"], _nth(e["pos"])))
-    node = lambda e: F.struct(F.col("_own").alias("name"), e["value"].alias("v"), at(e).alias("place"), _entries(e["value"]).alias("entries"))
-    named = F.filter("node.entries", lambda e: F.coalesce(e["key"], F.lit("")) != "texts")
-    down = F.filter(F.transform(named, lambda e: F.struct(node(e).alias("node"), F.lit(None).cast(_TEXT).alias("text"))), lambda x: x["node"]["entries"].isNotNull())
-    return F.when(F.col("_put"), F.array().cast(f"array<struct<node:{_NODE},text:{_TEXT}>>")).otherwise(F.coalesce(down, F.array().cast(f"array<struct<node:{_NODE},text:{_TEXT}>>")))
+def _own(v: dict, name: str) -> str:
+    """A node's key, else that of the node it stands in."""
+    full = _said(v.get("section_key"))
+    if not full and v.get("section_type") is not None and v.get("id") is not None:
+        return f"section-{_said(v['id'])}"
+    return full or _said(v.get("slug")) or _said(v.get("id")) or name
+
+
+def _texts(root: object) -> Iterator[tuple[str | None, str | None, str, str]]:
+    """(name, language, content, place) of a manifest's texts, node by node; no recursion, so that any depth is walked."""
+    todo: list[tuple[str, object, str]] = [("", root, "")]
+    while todo:
+        name, v, place = todo.pop()
+        if isinstance(v, dict):
+            name = _own(v, name)
+            if v.get("op") == "put_text" and v.get("content") is not None:
+                section = _said(v.get("section_id"))
+                yield None if section is None else f"section-{section}", _said(v.get("language")), _said(v["content"]), place
+                continue
+            texts = v.get("texts")
+            if isinstance(texts, dict):
+                for i, (key, x) in enumerate(texts.items()):
+                    content = x.get("content") if isinstance(x, dict) else x
+                    if type(content) is str:
+                        yield name, key, content, f"{place}/{i:09d}"
+            elif isinstance(texts, list):
+                for i, x in enumerate(texts):
+                    if isinstance(x, dict) and type(content := x.get("content")) is str:
+                        yield name, _said(x.get("language")), content, f"{place}/{i:09d}"
+        above = f"{place}/" if place else ""
+        if isinstance(v, dict):
+            todo.extend((name, x, above + key) for key, x in v.items() if isinstance(x, (dict, list)) and key != "texts")
+        elif isinstance(v, list):
+            todo.extend((name, x, f"{above}{i:09d}") for i, x in enumerate(v) if isinstance(x, (dict, list)))
+
+
+_READ = json.JSONDecoder(parse_float=_Number, parse_constant=_Number).decode
+_READ_NUMBERS = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_Number).raw_decode
+
+
+def _numbered(v: object, written: object) -> object:
+    """The value with numbers beyond a double's reach, which VARIANT gives back as strings, as numbers again, where they are written so."""
+    if isinstance(v, dict) and isinstance(written, dict):
+        return {k: _numbered(x, written.get(k)) for k, x in v.items()}
+    if isinstance(v, list) and isinstance(written, list):
+        return [_numbered(x, y) for x, y in zip(v, written, strict=True)]
+    return _Number(v) if isinstance(written, _Number) else v
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of manifests (path, json, written) to rows of their texts, some thousand at a time."""
+    for b in batches:
+        of, rows = [], []
+
+        def done(b: pa.RecordBatch = b) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * 4
+            out = pa.RecordBatch.from_arrays([b.column("path").take(pa.array(of, pa.int32())), *[pa.array(c, pa.string()) for c in columns]], ["path", *[f.split()[0] for f in _UNIT_ROWS.split(", ")]])
+            of.clear()
+            rows.clear()
+            return out
+
+        for n, (text, written) in enumerate(zip(b.column("json").to_pylist(), b.column("written").to_pylist(), strict=True)):
+            root = _READ(text)
+            if written is not None:
+                root = _numbered(root, _READ_NUMBERS(written.lstrip())[0])
+            works = root.get("works") if isinstance(root, dict) else None
+            slugs = [_said(w.get("slug")) if isinstance(w, dict) else None for w in works] if isinstance(works, list) and len(works) > 1 else []
+            for name, language, content, place in _texts(root):
+                at = _WORK.match(place) if slugs else None
+                slug = slugs[int(at[1])] if at and int(at[1]) < len(slugs) else None
+                of.append(n)
+                rows.append((name if slug is None else slug if name is None else f"{slug}/{name}", language, content, place))
+                if len(rows) >= most:
+                    yield done()
+        yield done()
 
 
 def manifest_units(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -103,25 +150,12 @@ def manifest_units(files: DataFrame, path: str = "path", text: str = "text") ->
     section_key, slug or id, else that of the node it stands in. Texts are a list of objects or a map from language to an object or a
     string; an object ``op: put_text`` is a text of ``section-<section_id>``. Where a manifest has several works, units are
     ``<slug>/<key>``. ``place`` orders a manifest's texts: lists keep their order, fields of an object go by name. Broken JSON has no texts.
+    Spark reads the JSON and brings its fields in order; a helper walks one manifest at a time.
     """
-    files = staged(files.select(F.col(path).alias("path"), F.col(text).alias("text")), "manifests")
-    deepest = files.agg(F.max(_depth(F.col("text")))).first()[0] or 0
-    if deepest > DEEPEST:  # of broken ones it says nothing
-        deepest = files.where(F.try_parse_json("text").isNotNull()).agg(F.max(_depth(F.col("text")))).first()[0] or 0
-    if deepest > DEEPEST:
-        raise ValueError(f"a manifest is nested {deepest} deep; {DEEPEST} are walked")
-    roots = files.select("path", F.explode(F.array(F.try_parse_json("text"))).alias("v")).where("v is not null")  # exploded, so that a text is parsed once
-    works = lambda w: F.when(F.size(w) > 1, F.transform(w, lambda x: _get(x, "slug")))
-    slugs = let(F.try_variant_get("v", "$.works", "array<variant>"), works).alias("slugs")
-    rows = roots.select("path", slugs, F.struct(F.lit("").alias("name"), "v", F.lit("").alias("place"), _entries(F.col("v")).alias("entries")).alias("node"), F.lit(None).cast(_TEXT).alias("text"))
-    for _ in range(deepest):  # narrow steps of one stage: a node gives way to its texts and to the nodes below it, a text stays
-        rows = rows.withColumns({"_own": _own(F.col("node.v"), F.col("node.name")), "_put": _is_text(F.col("node.v"))})
-        kept = F.array(F.struct("node", "text"))
-        rows = rows.select("path", "slugs", F.explode(F.when(F.col("node").isNull(), kept).otherwise(F.concat(_texts(), _below()))).alias("x")).select("path", "slugs", "x.node", "x.text")
-    at_work = F.nullif(F.regexp_extract("text.place", r"^works/(\d{9})", 1), F.lit("")).cast("int")
-    slug = F.get("slugs", at_work)
-    unit = F.when(slug.isNotNull(), F.concat_ws("/", slug, "text.name")).otherwise(F.col("text.name"))
-    return rows.where("text.content is not null").select("path", unit.alias("unit"), "text.language", "text.content", "text.place")
+    small_batches(files.sparkSession)
+    rows = files.select(F.col(path).alias("path"), F.to_json(F.try_parse_json(F.col(text))).alias("json"), F.col(text).alias("written")).where("json is not null")
+    rows = rows.withColumn("written", F.when(F.col("json").rlike('"-?Infinity"'), F.col("written")))
+    return rows.mapInArrow(_unit_rows, f"path {rows.schema['path'].dataType.simpleString()}, {_UNIT_ROWS}")
 
 
 # ---------------------------------------------------------------- rows to manifests

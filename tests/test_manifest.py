@@ -77,3 +77,15 @@ def test_units_are_walked_without_a_shuffle(spark):
     got = manifest.manifest_units(files)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.unit, r.content) for r in got.collect()] == [("w/w", "A")]
+
+
+def test_units_are_walked_in_one_pass_however_deep(spark):
+    """Each manifest is read and walked once, not once for each level of brackets; numbers stay numbers, whatever their size."""
+    deep = '{"slug": "x", "texts": {"la": "D"}}'
+    for _ in range(150):
+        deep = f'{{"children": [{deep}]}}'
+    numbers = '{"id": 1e3, "texts": {"la": 1E400, "en": "Infinity", "de": 12}, "a": {"id": 100.0, "texts": [{"language": -0, "content": "A"}, {"content": -1E999}]}, "op": "put_text", "section_id": 1E400, "content": null}'
+    files = spark.createDataFrame([("deep", deep), ("numbers", numbers)], "path string, text string")
+    got = manifest.manifest_units(files)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("deep", "x", "la", "D", "/".join(["children/000000000"] * 150) + "/000000000"), ("numbers", "100", "0", "A", "a/000000000"), ("numbers", "1000.0", "en", "Infinity", "/000000001")]
